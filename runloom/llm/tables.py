@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.sources.scratch import saved, shared_folder
+
+__all__ = ["SENT_ROWS", "WORD", "documents", "keep_ids", "saved", "shared_folder", "text_bytes", "without_ids"]
+
 #: At most this many rows of one or two short columns are sent to every task; larger sides are joined.
 SENT_ROWS = 1_000_000
 
 #: Word characters end at ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see.
-
-    It lies in ``spark.checkpoint.dir``. Where that is unset, it lies in the warehouse, or for a
-    local master in a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local["):
-        base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="runloom-"))
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/runloom-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, written once as Parquet in the shared folder: lineage ends here, and a lost executor takes nothing with it."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
