@@ -181,7 +181,7 @@ def test_ngram_jaccard(docs, rows, n, num, den):
 def test_ngram_jaccard_edges(nothing):
     assert ngram_jaccard.ngram_jaccard_components(nothing).count() == 0
     with pytest.raises(ValueError, match="similarity"):
-        ngram_jaccard.Threshold(1, 3)
+        ngram_jaccard.Threshold(4, 3)
 
 
 def test_components(spark):
