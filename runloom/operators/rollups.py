@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from runloom.config import ALL_WORKSPACES, Range, UsageFilter
 from runloom.functions import times, tokens
+from runloom.functions.formatting import hours_of
 
 #: Presets that are summed in one pass.
 TOTALS = ("today", "last7", "last30", "last90", "all")
@@ -92,6 +93,26 @@ def longest_streak(runs: DataFrame, by: Sequence[str] = (), time: str = "start_t
     return streaks.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest_streak_days"))
 
 
+def chart_points(buckets: DataFrame, span: Range | None = None) -> DataFrame:
+    """key, tokens and hours of each bucket for a chart; with a range, its days without runs are zero."""
+    points = buckets.select("key", "tokens", hours_of(F.col("agent_time_ms")).alias("hours"))
+    if span is None:
+        return points.orderBy("key")
+    days = buckets.sparkSession.range(span.days).select(F.date_format(F.date_add(F.lit(span.start), F.col("id").cast("int")), "yyyy-MM-dd").alias("key"))
+    return days.join(points, "key", "left").na.fill(0, ["tokens"]).na.fill(0.0, ["hours"]).orderBy("key")
+
+
+def visible_runs(runs: DataFrame, threads_n: DataFrame) -> DataFrame:
+    """Runs of workspaces that are not hidden. Totals count hidden ones too unless this is applied first."""
+    hidden = threads_n.where("hidden").select("workspace_id").distinct()
+    return runs.join(hidden, "workspace_id", "left_anti")
+
+
+def top_workspaces(summary: DataFrame, k: int = 8) -> DataFrame:
+    """The first k workspaces by score; this limit is the report's feature."""
+    return summary.orderBy((F.col("all_time_tokens") + F.col("all_time_agent_time_ms")).desc(), "workspace_id").limit(k)
+
+
 def peak_bucket(buckets: DataFrame, metric: str) -> DataFrame:
     """The bucket with most of a metric, the earliest of several."""
     return buckets.agg(F.min_by(F.struct("key", metric), F.struct((-F.col(metric)).alias("low"), "key")).alias("p")).select("p.key", f"p.{metric}")

@@ -109,6 +109,14 @@ SELECT id, start_time, end_time, CAST(CASE WHEN active > 0 THEN active ELSE leas
     "preset_totals": f"""SELECT event_type AS workspace_id, {_preset("today", "ts >= DATE '2024-01-30' AND ts < DATE '2024-01-31'")}, {_preset("last7", "ts >= DATE '2024-01-24' AND ts < DATE '2024-01-31'")},
   {_preset("last30", "ts >= DATE '2024-01-01' AND ts < DATE '2024-01-31'")}, {_preset("last90", "ts >= DATE '2023-11-02' AND ts < DATE '2024-01-31'")}, {_preset("all", "true")} FROM events GROUP BY 1""",
     "range_summary_custom": _RANGE,
+    "chart_points": f"""WITH {_RUNS}, r AS (SELECT strftime(start_time, '%Y-%m-%d') AS key, CAST(sum(total_tokens) AS BIGINT) AS tokens, sum(duration_ms) AS ms FROM runs GROUP BY 1),
+d AS (SELECT strftime(DATE '1996-02-20' + CAST(i AS INTEGER), '%Y-%m-%d') AS key FROM range(380) t(i))
+SELECT d.key AS key, coalesce(tokens, 0) AS tokens, coalesce(floor(ms / 36000.0 + 0.5) / 100, 0.0) AS hours FROM d LEFT JOIN r ON r.key = d.key""",
+    "visible_runs": f"WITH {_RUNS} SELECT model, count(*) AS runs, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM runs WHERE NOT starts_with(workspace_path, 'C:\\ASIA\\') GROUP BY 1",
+    "top_workspaces": f"""WITH {_RUNS}, w AS (SELECT workspace_id, workspace_name, count(*) AS runs, CAST(sum(total_tokens) AS BIGINT) AS all_time_tokens, CAST(sum(duration_ms) AS BIGINT) AS all_time_agent_time_ms FROM runs GROUP BY 1, 2)
+SELECT workspace_name, runs, all_time_tokens, all_time_agent_time_ms FROM w ORDER BY all_time_tokens + all_time_agent_time_ms DESC, workspace_id LIMIT 8""",
+    "orphan_sessions": f"""WITH {_THREADS} SELECT CAST(l_orderkey AS VARCHAR) AS id, min(l_shipdate) AS start_time, max(l_shipdate) AS end_time FROM lineitem
+WHERE l_orderkey % 5 IN (0, 1) AND l_orderkey NOT IN (SELECT o_orderkey FROM threads WHERE NOT archived) GROUP BY l_orderkey""",
     "peak_bucket_time": f"WITH {_buckets(False)} SELECT key, agent_time_ms FROM buckets ORDER BY agent_time_ms DESC, key LIMIT 1",
     "peak_bucket_tokens": f"WITH {_buckets(True)} SELECT key, tokens FROM buckets ORDER BY tokens DESC, key LIMIT 1",
     "longest_streak": """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), i AS (SELECT user_id, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM d)

@@ -170,6 +170,32 @@ def range_summary_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rollups.range_summary(rollups.filter_runs(runs(spark, sf_dir), "all", span), span)).withColumns({c: F.round(c, 4) for c in ("tokens_per_run", "tokens_per_day", "time_per_run_ms", "time_per_active_day_ms", "time_per_day_ms", "runs_per_day")})
 
 
+def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05").resolve(RUNS_NOW)
+    held = rollups.filter_runs(runs(spark, sf_dir), "all", span)
+    return rollups.chart_points(rollups.usage_buckets(held, weekly=False), span)
+
+
+def visible_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threads = fact.normalize_threads(thread_table(spark, sf_dir), UsageConfig(ignored=("C:/asia",)))
+    return rollups.visible_runs(runs(spark, sf_dir), threads).groupBy("model").agg(F.count("*").alias("runs"), F.sum("total_tokens").alias("tokens"))
+
+
+def top_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
+    return rollups.top_workspaces(rollups.workspace_summary(runs(spark, sf_dir), threads)).select("workspace_name", "runs", "all_time_tokens", "all_time_agent_time_ms")
+
+
+def orphan_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of orders whose customer is in the table, held against the runs of unarchived threads."""
+    config = UsageConfig(ignored=(), include_archived=False)
+    held = fact.normalize_threads(thread_table(spark, sf_dir), config)
+    ids, stems = (order_sessions(spark, sf_dir, "l_orderkey % 5 in (0, 1)", k) for k in ("id", "stem"))
+    found = ids.withColumn("stem", F.concat(F.lit("rollout-"), F.col("id")))
+    made = fact.build_runs(held, ids, stems, token_logs(spark, sf_dir), config)
+    return plain_times(diagnostics.orphan_sessions(found, made).select("id", "start_time", "end_time"))
+
+
 def peak_bucket_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.peak_bucket(rollups.usage_buckets(runs(spark, sf_dir), weekly=False), "agent_time_ms")
 
@@ -372,7 +398,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         session_active_time, session_last_meta, session_best_breakdown, session_dedup_by_id, session_dedup_by_stem, runs_two_key_lookup, run_breakdown_coalesce,
-        epoch_fallback, schema_drift_defaults, daily_usage, weekly_usage, preset_totals, range_summary_custom, peak_bucket_time, peak_bucket_tokens, longest_streak,
+        epoch_fallback, schema_drift_defaults, daily_usage, weekly_usage, preset_totals, range_summary_custom, chart_points, visible_runs, top_workspaces, orphan_sessions,
+        peak_bucket_time, peak_bucket_tokens, longest_streak,
         all_time_bounds, workspace_summary, model_usage, recent_runs, recent_sessions, cache_hit_rate, path_normalize, workspace_id, display_name, alias_rewrite,
         hidden_workspaces, anonymize_runs, anonymize_workspaces, anonymize_buckets, log_text_tokens, log_json_tokens, log_recursive_tokens, format_metrics,
         metric_cards, project_detail, source_profile, parse_warnings_capped, daily_csv_roundtrip, runs_csv_roundtrip, summary_json, materialized_runs,
