@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
+# Names of ranges, and limits and defaults of settings.
 PRESETS = ("today", "last7", "last30", "last90", "all", "custom")
 #: Days before today at which the rolling presets begin.
 ROLLING = {"today": 0, "last7": 6, "last30": 29, "last90": 89}

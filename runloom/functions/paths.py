@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.config import AliasRule
 
+# Labels of paths that are not known.
 UNKNOWN = "(unknown)"
 UNKNOWN_NAME = "Unknown workspace"
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 PARTS = ("input", "output", "cached", "reasoning")
 BREAKDOWN = "struct<input: bigint, output: bigint, cached: bigint, reasoning: bigint>"
-#: Keys of session events and of usage objects, in the order of PARTS.
+# Keys of session events and of usage objects, in the order of PARTS, and what follows a token name in text.
 SESSION_KEYS = ("input_tokens", "output_tokens", "cached_input_tokens", "reasoning_output_tokens")
 USAGE_PATHS = ("input_tokens", "output_tokens", "input_tokens_details.cached_tokens", "output_tokens_details.reasoning_tokens")
+TEXT_COUNT = r"[_-]?tokens?[\"'\s:=]+(\d+)"
 
 
 def strict_json(text: Column) -> Column:
@@ -140,7 +141,7 @@ def text_breakdown(body: Column) -> Column:
     """Sums of the numbers that follow token names in free text; null where there is none."""
 
     def matches(part: str) -> Column:
-        found = F.regexp_extract_all(body, F.lit(rf"(?i){part}[_-]?tokens?[\"'\s:=]+(\d+)"), F.lit(1))
+        found = F.regexp_extract_all(body, F.lit(f"(?i){part}{TEXT_COUNT}"), F.lit(1))
         total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.try_cast("long"), F.lit(0)))
         return F.when(F.size(found) > 0, total)
 

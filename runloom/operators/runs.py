@@ -10,6 +10,8 @@ from runloom.functions import paths, tokens
 from runloom.functions.times import from_epoch, millis
 from runloom.sources.readers import threads
 
+# What stands for missing fields.
+UNTITLED, UNNAMED = "Untitled run", "unknown"
 NO_BREAKDOWN = "Breakdown unavailable for this run."
 
 
@@ -25,7 +27,7 @@ def normalize_threads(df: DataFrame, config: UsageConfig) -> DataFrame:
         held.withColumn("workspace_path", paths.normalize(F.col("cwd"), config.aliases))
         .select(
             F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("thread-"), F.lower(F.hex(F.xxhash64(*held.columns))))).alias("id"),
-            _filled("title", "Untitled run").alias("title"), _filled("model", "unknown").alias("model"), _filled("model_provider", "unknown").alias("model_provider"),
+            _filled("title", UNTITLED).alias("title"), _filled("model", UNNAMED).alias("model"), _filled("model_provider", UNNAMED).alias("model_provider"),
             F.nullif("rollout_path", F.lit("")).alias("rollout_path"), _filled("cwd", paths.UNKNOWN).alias("cwd"),
             F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), (F.coalesce("archived", F.lit(0)) != 0).alias("archived"),
             from_epoch(F.col("created_at_ms"), F.col("created_at")).alias("created_at"), from_epoch(F.col("updated_at_ms"), F.col("updated_at")).alias("updated_at"),
