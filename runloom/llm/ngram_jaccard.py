@@ -5,33 +5,37 @@ bit of one block. Two sets whose symmetric difference is d differ in at most d b
 most d blocks (the Hamming distance bounds the symmetric difference from below). Sets of similar
 size share a size band, all sketches of a band have the same number of blocks, and that number
 exceeds the greatest difference that the similarity allows, so two similar sets agree in a whole
-block (pigeonhole). Joining on (band, block, bits) therefore misses no pair; candidates are then
-verified on the sets themselves.
+block (pigeonhole). Joining on (band, block, bits) therefore misses no pair.
 
 A set of size s in a band of D blocks has partners that agree with it in at least D - d(s) blocks,
-so it may leave out the first D - d(s) - 1 blocks of an order that all sets of the band share: of
-the agreeing blocks, the last one in that order stays on both sides. The order is by set bits, so
-empty and nearly empty blocks, whose keys many sets share, are left out first.
+so it may leave out the first D - d(s) - COMMON blocks of an order that all sets of the band share:
+of the agreeing blocks, the last COMMON ones in that order stay on both sides, and pairs that share
+fewer keys are no candidates. The order is by set bits, so empty and nearly empty blocks, whose keys
+many sets share, are left out first.
 
-Equal sets are one class and only one representative of each is joined. Within a block key, sets are
-first compared with a hub alone (the set with the most company over all its keys), then components
-are found, and only sets of the key outside of the hub's component are compared with the rest.
+Candidates are first compared by a second sketch, one of about as many bits as the sets have members:
+a pair whose sketches differ in more bits than similar sets of these sizes can is no pair. What is
+left is verified on the sets.
+
+Equal sets are one class and only one representative of each is joined. See linking.py for how sets
+that share a key are compared.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from runloom.llm.components import components
+from runloom.llm.linking import linked
 from runloom.llm.tables import keep_ids, saved, text_bytes
 
+COMMON = 3
 _WORDS_KEPT = 200_000
 _ODD = 0x9E3779B97F4A7C15
 
@@ -75,7 +79,17 @@ class Threshold:
     def __init__(self, num: int, den: int):
         if not 0 < num <= den:
             raise ValueError("the similarity must be above 0 and at most 1")
-        self.num, self.den = num, den
+        self.num, self.den, self.edges = num, den, [1]
+
+    def band(self, size: int) -> int:
+        """Size band: a band ends where the largest partner of its smallest size's largest partner does, so partners are at most one band apart."""
+        while self.edges[-1] <= size:
+            self.edges.append(self.partner(self.partner(self.edges[-1])) + 1)
+        return bisect_right(self.edges, size) - 1
+
+    def top(self, band: int) -> int:
+        """Largest size of a band whose smaller ones have been asked for."""
+        return self.partner(self.partner(self.edges[band]))
 
     def partner(self, size: int) -> int:
         """Size of the largest partner."""
@@ -89,18 +103,16 @@ class Threshold:
 def band_keys(grams: np.ndarray, t: Threshold) -> list[np.ndarray]:
     """Keys of the blocks that a set is joined on, for each of its size bands.
 
-    Band j is the home of sizes from 2**j to 2**(j+1) - 1 and takes in smaller sets that may have a partner there.
+    A set is at home in the band of its size and a guest in the next one if it may have a partner there.
     """
     size, keys = len(grams), []
     if not size:
         return keys
-    home = size.bit_length() - 1
-    for band in (home, home + 1):
-        top = 2 ** (band + 1) - 1
+    home = t.band(size)
+    for band in range(home, t.band(t.partner(size)) + 1):
+        top = t.top(band)
         largest = min(t.partner(size), top)
-        if largest < 2**band:
-            continue
-        blocks = t.difference(top, top) * 11 // 10 + 2
+        blocks = t.difference(top, top) * 11 // 10 + 1 + COMMON
         spread = _mix(grams + np.uint64(band * _ODD % 2**64))
         block = (spread % np.uint64(blocks)).astype(np.int64)
         flips = np.uint64(1) << (spread >> np.uint64(58))
@@ -108,27 +120,44 @@ def band_keys(grams: np.ndarray, t: Threshold) -> list[np.ndarray]:
         sketch, at = np.zeros(blocks, np.uint64), block[order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         sketch[at[first]] = np.bitwise_xor.reduceat(flips[order], first)
-        kept = np.argsort(np.bitwise_count(sketch), kind="stable")[-(t.difference(size, largest) + 1) :]
-        name = np.uint64(band << 40) + kept.astype(np.uint64)
+        kept = np.argsort(np.bitwise_count(sketch), kind="stable")[-(t.difference(size, largest) + COMMON) :]
+        name = np.uint64(band << 32) + kept.astype(np.uint64)
         keys.append(_mix(sketch[kept] ^ _mix(name * np.uint64(_ODD))))
     return keys
 
 
+def parity(grams: np.ndarray, band: int, top: int) -> np.ndarray:
+    """The comparing sketch of a band: bit i tells whether an odd number of members fall on i."""
+    bits = max(64, 1 << top.bit_length())
+    spread = _mix(grams ^ np.uint64(~band * _ODD % 2**64)) % np.uint64(bits)
+    return np.packbits((np.bincount(spread.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
+
+_MADE = "doc_id long, n_shingles long, high long, low long, band int, sketch array<long>, above array<long>, keys array<long>"
+
+
 def _classes(n: int, t: Threshold):
+    """A row for each text: size and digest of its set, its home band, sketches for this band and the next one, and its keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for batch in batches:
-            sizes, high, low, keys = [], [], [], []
+            numbers, sketches, above, keys = [], [], [], []
             for text in batch.column("text"):
                 grams = shingle_set(text.as_py(), n, hashes)
-                digest = xxhash.xxh128_digest(grams.tobytes())
-                sizes.append(len(grams))
-                high.append(int.from_bytes(digest[:8], "big", signed=True))
-                low.append(int.from_bytes(digest[8:], "big", signed=True))
+                digest, band = xxhash.xxh128_digest(grams.tobytes()), t.band(max(1, len(grams)))
+                numbers.append((len(grams), *(int.from_bytes(half, "big", signed=True) for half in (digest[:8], digest[8:])), band))
+                sketches.append(parity(grams, band, t.top(band)))
+                above.append(parity(grams, band + 1, t.top(band + 1)) if t.band(max(1, t.partner(len(grams)))) > band else np.empty(0, np.int64))
                 keys.append(np.concatenate(band_keys(grams, t) or [grams]).view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], ["doc_id", "n_shingles", "high", "low", "keys"])
+            columns = zip(*numbers, strict=True) if numbers else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), _lists(sketches), _lists(above), _lists(keys)], [c.split()[0] for c in _MADE.split(", ")])
 
     return run
 
@@ -156,6 +185,19 @@ def _similar(t: Threshold):
     return run
 
 
+def _near(t: Threshold):
+    """Whether two marks' sketches differ in no more bits than similar sets of their sizes can."""
+
+    def near(x: str, y: str) -> Column:
+        x, y = F.col(x), F.col(y)
+        bits_x = F.when(x["band"] < y["band"], x["above"]).otherwise(x["sketch"])
+        bits_y = F.when(y["band"] < x["band"], y["above"]).otherwise(y["sketch"])
+        distance = F.aggregate(F.zip_with(bits_x, bits_y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0).cast("long"), lambda total, bits: total + bits)
+        return distance * (t.den + t.num) <= (x["n"] + y["n"]) * (t.den - t.num)
+
+    return near
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
     """The pairs (a, b) of ids that are similar indeed."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -174,41 +216,15 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int
     component of equal texts that have one, else component_id is null. An empty table gives none.
     """
     t, docs = Threshold(num, den), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = saved(docs.select("doc_id", text_bytes()).mapInArrow(_classes(n, t), "doc_id long, n_shingles long, high long, low long, keys array<long>"))
-    members = made.drop("keys")
-    classes = saved(members.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")))
-    nodes = classes.where("id is not null").select("id", "n")
-
-    # a row for each block key that several representatives share
-    keyed = made.join(nodes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    shared = keyed.withColumn("company", F.count("*").over(W.partitionBy("key"))).where("company > 1")
-    shared = saved(shared)
-    weight = shared.groupBy("id").agg(F.sum("company").alias("weight"))
-    by_key = W.partitionBy("key")
-    shared = saved(
-        shared.select("key", "id").join(nodes.join(weight, "id"), "id")
-        .withColumn("hub", F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).over(by_key))
-        .select("key", "id", "n", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"))
-    )
+    made = saved(docs.select("doc_id", text_bytes()).mapInArrow(_classes(n, t), _MADE))
+    members = made.select("doc_id", "n_shingles", "high", "low")
+    classes = saved(members.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("id")))
+    ids = classes.where("id is not null").select("id")
+    reps = made.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumn("id", F.col("doc_id"))
+    mark = F.struct(F.col("n_shingles").alias("n"), "band", "sketch", "above").alias("mark")
+    nodes = saved(reps.select("id", F.col("n_shingles").alias("n"), mark).dropDuplicates(["id"]))
     fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
-    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    first = saved(shared.where((F.col("id") != F.col("hub")) & fits("n", "hub_n")).select(F.col("id").alias("x"), F.col("hub").alias("y")).select(*ordered).distinct())
-    links = _verified(first, docs, n, t)
-
-    # what is not yet in its hub's component meets all others of the key
-    found = components(links)
-    root = found.select("id", F.col("component").alias("root"))
-    hub_root = found.select(F.col("id").alias("hub"), F.col("component").alias("hub_root"))
-    placed = saved(
-        shared.join(root, "id", "left").join(hub_root, "hub", "left")
-        .select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
-    )
-    out = placed.where("root != hub_root").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    all_ = placed.select("key", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"), (F.col("root") == F.col("hub_root")).alias("central"))
-    meet = (F.col("x_root") != F.col("y_root")) & (F.col("central") | (F.col("x") < F.col("y"))) & fits("x_n", "y_n")
-    rest = saved(out.join(all_, "key").where(meet).select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionAll(_verified(rest, docs, n, t))
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links))
+    found = linked(reps.select(F.explode("keys").alias("key"), "id"), nodes, fits, _near(t), lambda pairs: _verified(pairs, docs, n, t), COMMON)
 
     labels = classes.join(found, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
