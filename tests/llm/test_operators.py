@@ -317,6 +317,30 @@ def test_signatures_estimate_similarity():
     assert (line_dedup.signatures(["short", "short", "shart"])[0] == line_dedup.signatures(["short"])[0]).all()
 
 
+EDITS = [
+    ("the river turned slowly past the old mill and under the bridge", "the river turned slowly past the old mill and under the fridge"),
+    ("some people walk along the quiet harbour every morning before the shops open again", "some people walk along the quiet harbour every morning before shops open again"),
+    ("we counted nineteen boats near the island before the fog came", "we counted nineteen boots near the island before the fog came"),
+]
+
+
+def test_edits_of_lines_of_40_to_100_characters(spark):
+    """One letter or one word, as a set of shingles of 5 sees them; a short line is not alike to just any other."""
+    texts = [(i, line) for i, line in enumerate(line for pair in EDITS for line in pair)] + [(10, "nothing like the other lines stands here, to be sure")]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(40 <= len(line) <= 100 for _, line in texts)
+    assert got == {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 10: 1}
+
+
+def test_sketches_lose_no_pair():
+    rng = random.Random(12)
+    lines = [edited(rng, base, share) for base in (prose(rng, n) for n in (1, 2, 5, 12, 30, 90, 300)) for share in (0, 0.02, 0.05, 0.3)]
+    sets, (counts, bits) = [line_dedup.shingles(x) for x in lines], line_dedup.sketches(lines)
+    assert list(counts) == list(map(len, sets))
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        assert sum((x ^ y).bit_count() for x, y in zip(bits[a].view(np.uint64).tolist(), bits[b].view(np.uint64).tolist(), strict=True)) <= len(sets[a] ^ sets[b])
+
+
 # 7
 
 
