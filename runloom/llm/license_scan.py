@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 # Identifier of a licence sentence and the pattern of its normalised form.
 SENTENCES = (
-    ("spdx", r"(?:.* )?spdx license identifier (?P<spdx>[a-z0-9.]+(?: [a-z0-9.]+)*?)"),
+    ("spdx", r"spdx license identifier (?P<spdx>[a-z0-9.]+(?: [a-z0-9.]+)*?)"),
     ("apache-ref", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:terms of the )?apache license(?: version)? v?2(?:\.0)?(?: the license)?"),
     ("apache-use", r"you may not use this file except in compliance with the license"),
     ("apache-copy", r"you may obtain a copy of the license at(?: .*)?"),
@@ -46,7 +46,7 @@ SENTENCES = (
     ("mpl-ref", r"this source code form is subject to the terms of the mozilla public license v\.? ?2\.0"),
     ("mpl-short", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:terms of the )?mozilla public license(?: version)? v?2(?:\.0)?"),
     ("cc-ref", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:an? |the )?(?:cc|creative commons) (?P<cc>(?:by|attribution)(?: (?:nc|noncommercial|non commercial))?(?: (?:sa|sharealike|share alike|nd|noderivatives|no derivatives))?) (?P<ccv>\d\.\d)(?: international)?(?: license)?"),
-    ("cc0-ref", r"(?:.* )?(?:cc0 1\.0|public domain dedication)(?: universal)?(?: license)?"),
+    ("cc0-ref", r"(?:cc0 1\.0|public domain dedication)(?: universal)?(?: license)?"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
 )
 
@@ -72,16 +72,18 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("{spdx}", ("spdx",)),
 )
-#: Every known sentence holds one of these, in any case.
-TRIGGERS = ("licens", "permission", "copyright", "redistribut", "warrant", "free software", "free and unencumbered", "public domain", "cc0", "the software is provided", "liable", "neither the name")
+#: Every known sentence holds one of these, in any case, with anything but letters and digits between the words.
+TRIGGERS = ("released under", "distributed under", "creative commons", "licens", "permission", "copyright", "redistribut", "warrant", "free software", "free and unencumbered", "public domain", "cc0", "the software is provided", "liable", "neither the name")
 #: Pieces that one wrapped sentence may have, and other pieces that may stand between two sentences of a rule.
 PIECES, GAP = 24, 3
 
 _PATTERNS = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
-_TRIGGER = re.compile("|".join(map(re.escape, TRIGGERS)), re.I)
+_TRIGGER = re.compile("|".join(t.replace(" ", "[^a-z0-9]+") for t in TRIGGERS))
 _CUT = re.compile(r"(?<=[.!?;:])\s+|\n+")
 _DROP = re.compile(r"[^a-z0-9.]+|\.(?!\d)|(?<!\d)\.")
-_START = re.compile(r"(?:this|the|you|see|unless|permission|redistribution|redistributions|neither|in no|licensed|released|distributed|mit|spdx|\d|cc0|public)\b|.*(?:spdx|cc0|public domain)")
+_START = re.compile(r"(?:this|the|you|see|unless|permission|redistribution|redistributions|neither|in no|in$|licensed|released|distributed|mit|spdx|\d|cc0|public)\b")
+#: What may stand before a sentence in its first piece: any words before a mark, and a subject with its verb.
+_BEFORE = re.compile(r".*\b(?=(?:spdx|cc0|public(?: domain|$))\b)|.*\b(?:is|are) (?:also |hereby )?(?=(?:licensed|released|distributed)\b)")
 
 
 @dataclass(frozen=True)
@@ -118,32 +120,44 @@ def _pieces(text: str) -> list[tuple[str, int, int]]:
 
 
 def known_sentences(text: str | None) -> list[Sentence]:
-    """Licence sentences in order; where several begin at a piece, the one with most pieces."""
-    if not text or not _TRIGGER.search(text):
+    """Licence sentences in order; where several begin at a piece, the one with most pieces.
+
+    A sentence may have a subject and "is" or "are" before its verb, and an identifier of a licence may
+    have any words before it, in the piece that it begins in. How long pieces are does not matter.
+    """
+    if not text or not _TRIGGER.search(text.lower()):
         return []
     pieces, found, i = _pieces(text), [], 0
     while i < len(pieces):
-        best, joined = None, ""
-        if _START.match(pieces[i][0]):
+        best = None
+        for start in _starts(pieces[i][0]):
             for j in range(i, min(i + PIECES, len(pieces))):
-                joined = f"{joined} {pieces[j][0]}".lstrip()
-                if len(joined) > 2000:
-                    break
+                joined = start if j == i else f"{joined} {pieces[j][0]}"
                 for name, pattern in _PATTERNS:
                     if m := pattern.fullmatch(joined):
                         captured = tuple((k, v.strip()) for k, v in m.groupdict().items() if v)
                         if best is None or best.name != name or not _open_end(name):
                             best = Sentence(name, i, j, pieces[i][1], pieces[j][2], captured)
                         break
+            if best:
+                break
         if best:
             found.append(best)
         i = best.last + 1 if best else i + 1
     return found
 
 
+def _starts(piece: str) -> list[str]:
+    """Where in its first piece a sentence can begin: at once, and after what may stand before it."""
+    out = [piece] if _START.match(piece) else []
+    if (m := _BEFORE.match(piece)) and m.end():
+        out.append(piece[m.end() :])
+    return out
+
+
 def _open_end(name: str) -> bool:
     """Whether a pattern would go on to take any text: its first match is enough."""
-    return dict(SENTENCES)[name].endswith((".*", "(?: .*)?")) or name == "spdx"
+    return ".*" in dict(SENTENCES)[name] or name == "spdx"
 
 
 def _name(template: str, captured: dict[str, str]) -> str:

@@ -17,7 +17,7 @@ from runloom.llm import chat_format as chat
 from runloom.llm import line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, warc
 from runloom.llm.components import components
 from runloom.llm.decontaminate import anchors, build_index, decontaminate, exact_matches, proximity_matches, windows, words_of
-from runloom.llm.license_scan import license_scan
+from runloom.llm.license_scan import known_sentences, license_scan
 from runloom.llm.tables import saved
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -271,6 +271,38 @@ def test_licenses(spark):
     assert license_scan(df.limit(0)).count() == 0
 
 
+SAMPLES = {
+    "spdx": "SPDX-License-Identifier: MIT", "apache-ref": "Released under the Apache License, Version 2.0.", "apache-use": "you may not use this file except in compliance with the License.",
+    "apache-copy": "You may obtain a copy of the License at", "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
+    "mit-ref": "Distributed under the MIT License.", "mit-title": "The MIT License (MIT)", "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "asis": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, AND SO ON.", "no-liability": "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, at all.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, as said.", "isc-asis": "The software is provided \"as is\" and the author disclaims all warranties of all kinds.",
+    "bsd-ref": "Released under the BSD 3-Clause License.", "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list.", "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list.",
+    "bsd-endorse": "Neither the name of X nor others may be used to endorse or promote products derived from this software without leave.",
+    "bsd-asis": "This software is provided by X \"as is\" and any express or implied warranties, all of them, are disclaimed.", "gpl-ref": "Distributed under the GNU General Public License v3 or later.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY, at all.", "gpl-see": "See the GNU General Public License for more details.",
+    "mpl-ref": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-short": "Released under the Mozilla Public License 2.0.",
+    "cc-ref": "Released under CC BY 4.0.", "cc0-ref": "CC0 1.0 Universal", "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+@pytest.mark.parametrize("name", SAMPLES)
+def test_license_sentences_pass_the_trigger(name):
+    for text in (SAMPLES[name], SAMPLES[name].upper(), SAMPLES[name].replace(" ", "\n", 8)):
+        assert [s.name for s in known_sentences(text)] == [name]
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("distributed under Creative Commons Attribution 4.0 International", ["cc-ref"]), ("Given to all by public\ndomain dedication", ["cc0-ref"]),
+    ("word " * 600 + "SPDX-License-Identifier: MIT\ncode", ["spdx"]), ("word " * 600 + "\nThe code is released under the MIT License.", ["mit-ref"]),
+    ("All of our old code is released\nunder the MIT License.", ["mit-ref"]), ("The code is not released under the MIT License.", []),
+    ("Licensed under the Apache License, Version 2.0.\nThe text is also licensed under CC BY 4.0.\n# SPDX-License-Identifier: MIT", ["apache-ref", "cc-ref", "spdx"]),
+])
+def test_license_sentences_after_other_words(text, names):
+    assert [s.name for s in known_sentences(text)] == names
+
+
 # 6
 
 
