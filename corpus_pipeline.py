@@ -26,24 +26,54 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored(docs, model).where("predicted = 1").select(*docs.columns)
 
 
+def _own_ids(docs: DataFrame) -> bool:
+    """Whether each row has a doc_id, and one that no other row has."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def _keyed(docs: DataFrame, own: bool) -> DataFrame:
+    """``docs`` with _row, which no two rows share: doc_id if that will do, else a number that is written with the rows."""
+    return docs.withColumn("_row", F.col("doc_id")) if own else saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """``rows`` with _row for the operators' doc_id."""
+    return rows.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: five words, similarity 0.8."""
-    found = saved(ngram_jaccard_components(docs))
-    return without_ids(docs, found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id")
+    """The document with the smallest id of each group of near duplicates: five words, similarity 0.8.
+
+    Of equal rows one stays, with or without words. Rows that share a doc_id, or have none, are
+    documents of their own; those without come last, so one of them stays only if its group has no other.
+    """
+    own = _own_ids(docs)
+    rows = _keyed(docs if own else docs.dropDuplicates(), own)
+    found = saved(ngram_jaccard_components(_by_row(rows)).select(F.col("doc_id").alias("_row"), "component_id"))
+    if not own:
+        place = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row").alias("place"))
+        first = found.join(place, "_row").groupBy("component_id").agg(F.min("place")["_row"].alias("first"))
+        found = saved(found.join(first, "component_id").select("_row", F.col("first").alias("component_id")))
+    return without_ids(rows, found.where("_row != component_id").select("_row"), "_row").drop("_row")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = saved(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return without_ids(docs, found.where("contaminated").select("doc_id").distinct(), "doc_id")
+    """Documents without a benchmark passage. Each row is judged by its own text, whatever its doc_id."""
+    rows = _keyed(docs, _own_ids(docs))
+    found = saved(decontaminate(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return without_ids(rows, found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row").drop("_row")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: its words of a document over the document's size, to the nearest whole number."""
+    """Documents as often as the mix takes them: its words of a document over the document's size, to the nearest whole number.
+
+    Each row comes as often as its own words are taken, whatever its doc_id.
+    """
+    rows = _keyed(docs, _own_ids(docs))
     times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    taken = saved(mix_documents(docs).where("taken > 0").groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0"))
-    again = keep_ids(docs, taken.where("times > 1").select("doc_id"), "doc_id")
-    return keep_ids(docs, taken.select("doc_id"), "doc_id").unionByName(again)
+    taken = saved(mix_documents(_by_row(rows)).where("taken > 0").select(F.col("doc_id").alias("_row"), times.alias("times")).where("times > 0"))
+    again = keep_ids(rows, taken.where("times > 1").select("_row"), "_row")
+    return keep_ids(rows, taken.select("_row"), "_row").unionByName(again).drop("_row")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -11,7 +12,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import connection, rows_of_spark, rows_of_sql  # noqa: E402
-from test_operators import brute_components, brute_hits, filled  # noqa: E402
+from test_operators import DOCS, brute_components, brute_hits, filled, prose  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from runloom.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
@@ -78,3 +79,30 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def _documents(spark, rows):
+    return saved(spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS))
+
+
+def test_pipeline_with_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (None, d), (7, c + " more"), (8, ""), (8, ""), (9, ""), (None, None)]
+    got = corpus_pipeline.distinct(spark, _documents(spark, [(*r, "a") for r in rows]), SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, a), (1, b), (None, d), (7, c + " more"), (8, ""), (9, ""), (None, None)])
+
+    item = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    rows = [(None, item), (None, a), (5, item), (5, b), (6, c), (6, c)]
+    got = corpus_pipeline.uncontaminated(spark, _documents(spark, [(*r, "a") for r in rows]), SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(None, a), (5, b), (6, c), (6, c)])
+
+    rows = [(rng.choice([None, 1, 2, 3]), prose(rng, rng.randrange(20, 120)), rng.choice("abc")) for _ in range(600)]
+    got = corpus_pipeline.mixed(spark, _documents(spark, rows), SF).collect()
+    sizes, total = Counter(), Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    for r in got:
+        total[r["source"]] += len(r["text"].split())
+    assert {r["doc_id"] for r in got} == {None, 1, 2, 3}
+    assert all(abs(total[s] - t) <= 120 + 0.02 * t for s, t in filled(sizes).items())
