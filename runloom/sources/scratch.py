@@ -4,23 +4,48 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Deletes a query's shuffle files when the query has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset, in the warehouse, or for a local master in a temporary folder."""
+    """A new folder in spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; a cluster is refused, as its machines share none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local["):
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="runloom-"))
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/runloom-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The same rows, written once as Parquet in a shared folder: lineage ends here, and a lost executor takes nothing with it."""
+    """The same rows, written once as Parquet in a shared folder: lineage ends here, and a lost executor takes nothing with it.
+
+    Nothing reads the shuffle files of this query again, so they are released with it.
+    """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of saved() that nothing will read again."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            context = table.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
