@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.tables import saved
+from runloom.llm.tables import discard, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of ``edges`` (a, b): component is the smallest id reachable.
+    """(id, component) of every vertex of ``edges`` (a, b), a written table: component is the smallest id reachable.
 
     Each round is two shuffles of the edges and ends in a written table; the number of rounds grows
     with the logarithm of the longest path. Null ends and self loops are ignored; repeated edges
@@ -37,10 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
     e = saved(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(e)
     while mark[0]:
-        e = saved(_small_star(_large_star(e)))
+        before, e = e, saved(_small_star(_large_star(e)))
+        discard(before)
         new = _mark(e)
         if new == mark:
             break
         mark = new
     roots = e.select("v").distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    found = saved(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots.select(F.col("v").alias("id"), F.col("v").alias("component"))))
+    discard(e)
+    return found

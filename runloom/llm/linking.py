@@ -3,11 +3,11 @@
 Nodes that share a key are candidates. Comparing all pairs of a key would be quadratic in a group of
 near copies, so the nodes of a key are first compared with its hub alone, the node with the most
 company over all its keys (in a group of variants, the one in their middle). The links found give
-components. Only nodes outside of the component of their key's hub are then compared with the others
-of the key. A mark of each node, such as a sketch, rules most of these pairs out: for keys of many
-nodes within the join, so that it puts out plausible pairs only, for others, where marks would
-outweigh the pairs, after it. Every pair that shares a key has then been compared or is known to be
-connected.
+components. Nodes outside of their hub's component choose a hub among themselves and are compared
+with that, and so on for HUBS hubs. Only nodes that are then still outside of the first hub's
+component meet the other nodes of the key, and a mark of each node, such as a sketch, rules out
+within the join those pairs that cannot be linked. Every pair that shares a key has then been
+compared or is known to be connected.
 """
 
 from __future__ import annotations
@@ -19,59 +19,65 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from runloom.llm.components import components
-from runloom.llm.tables import saved
+from runloom.llm.tables import discard, saved
 
+#: Hubs of a key, one after the other; more of them leave fewer nodes to meet all others.
+HUBS = 2
 
-#: Keys of more nodes are wide: marks travel with their nodes into the join.
-WIDE = 32
 
-
-def linked(keyed: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column], near: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame], common: int = 1) -> DataFrame:
-    """(id, component) of the nodes that have links; component is the smallest id of it.
+def linked(keyed: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column], near: Callable[[str, str], Column], verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(id, component) of the nodes that have links, a written table; component is the smallest id of it.
 
     ``keyed``: rows (key, id); repeated ones cost time and change nothing. ``nodes``: (id, n, mark), unique by id. ``fits`` and ``near`` take two
-    columns of n or mark and tell which pairs of nodes can be linked at all. ``verified``: of a
-    written table of distinct pairs (a, b), a < b, those that are links. ``common``: nodes that are linked share
-    this many keys at least, so pairs with fewer are left out as soon as they are counted.
+    columns of n or mark and tell which pairs of nodes can be linked at all. ``verifier`` takes the
+    ids that share keys and gives a function that tells, of a written table of distinct pairs (a, b),
+    a < b, of these ids, those that are links.
     """
     by_key = W.partitionBy("key")
     shared = saved(keyed.withColumn("company", F.count("*").over(by_key)).where("company > 1"))
     weight = shared.groupBy("id").agg(F.sum("company").alias("weight"))
-    shared = saved(
-        shared.join(nodes.select("id", "n").join(weight, "id"), "id")
-        .withColumn("hub", F.max(F.struct("weight", "id", "n")).over(by_key))
-        .select("key", "company", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    )
-    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of those in enough rows; a pair has a row for each key that brings it together."""
-        return pairs.select(*ordered).groupBy("a", "b").agg(F.count("*").alias("rows")).where(F.col("rows") >= common).select("a", "b")
-
-    first = saved(counted(shared.where((F.col("id") != F.col("hub")) & fits("n", "hub_n")).select(F.col("id").alias("x"), F.col("hub").alias("y"))))
-    marks = [nodes.select(F.col("id").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab"]
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        return pairs.join(marks[0], "a").join(marks[1], "b").where(near("mark_a", "mark_b")).select("a", "b")
-
-    links = verified(saved(plausible(first)))
-
-    found = components(links)
-    root = found.select("id", F.col("component").alias("root"))
-    hub_root = found.select(F.col("id").alias("hub"), F.col("component").alias("hub_root"))
-    placed = shared.join(root, "id", "left").join(hub_root, "hub", "left")
-    placed = saved(placed.select("key", "company", "id", "n", F.coalesce("root", "id").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")))
-
-    def met(rows: DataFrame, fields: tuple[str, ...], also: Column) -> DataFrame:
-        """Pairs of nodes outside of their hub's component and others of the key, a row for each key."""
-        x, y = (side.select("key", *(F.col(c).alias(f"{name}_{c}") for c in fields)) for side, name in ((rows.where("root != hub_root"), "x"), (rows, "y")))
-        once = (F.col("y_root") == F.col("y_hub_root")) | (F.col("x_id") < F.col("y_id"))
-        pairs = x.join(y, "key").where((F.col("x_root") != F.col("y_root")) & once & fits("x_n", "y_n") & also)
-        return pairs.select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
-
-    plain = ("id", "n", "root", "hub_root")
-    narrow = met(placed.where(F.col("company") <= WIDE), plain, F.lit(True))
-    wide = met(placed.where(F.col("company") > WIDE).join(nodes.select("id", "mark"), "id"), (*plain, "mark"), near("x_mark", "y_mark"))
-    rest = counted(narrow.unionAll(wide)).join(first, ["a", "b"], "left_anti")
-    more = verified(saved(plausible(rest)))
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+    marked = saved(nodes.join(weight, "id"))
+    held = shared.select("key", "id").join(marked.select("id", "n", "weight"), "id")
+    rows = saved(held.withColumn("hub", F.max(F.struct("weight", "id", "n")).over(by_key)).select("key", "id", "n", "weight", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
+    discard(shared)
+    verified = verifier(marked.select("id"))
+    marks = [marked.select(F.col("id").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab"]
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (x, y)."""
+        once = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        plausible = saved(once.join(marks[0], "a").join(marks[1], "b").where(near("mark_a", "mark_b")).select("a", "b"))
+        found = verified(plausible)
+        discard(plausible)
+        return found
+
+    def placed(found: DataFrame) -> DataFrame:
+        """The rows of keys that have nodes outside of their hub's component, with root (the component) and outside."""
+        root = F.coalesce("component", "id")
+        at = rows.join(found, "id", "left").select("key", "id", "n", "weight", "hub", root.alias("root"))
+        at = at.withColumn("outside", F.col("root") != F.max(F.when(F.col("id") == F.col("hub"), F.col("root"))).over(by_key))
+        return saved(at.withColumn("open", F.max("outside").over(by_key)).where("open").drop("open"))
+
+    found = components(links(rows.where((F.col("id") != F.col("hub")) & fits("n", "hub_n")).select(F.col("id").alias("x"), F.col("hub").alias("y"))))
+    for _ in range(1, HUBS):
+        open_ = placed(found)
+        next_ = open_.where("outside").withColumn("next", F.max(F.struct("weight", "id", "n", "root")).over(by_key))
+        met = next_.where(F.col("root") != F.col("next.root")).where(fits("n", "next.n")).select(F.col("id").alias("x"), F.col("next.id").alias("y"))
+        found = _with(found, links(met))
+        discard(open_)
+
+    open_ = placed(found)
+    full = open_.select("key", "id", "n", "root", "outside").join(marked.select("id", "mark"), "id")
+    x, y = (side.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "root", "outside", "mark"))) for side, name in ((full.where("outside"), "x"), (full, "y")))
+    once = ~F.col("y_outside") | (F.col("x_id") < F.col("y_id"))
+    met = x.join(y, "key").where((F.col("x_root") != F.col("y_root")) & once & fits("x_n", "y_n") & near("x_mark", "y_mark"))
+    found = _with(found, links(met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))))
+    discard(open_, rows, marked)
+    return found
+
+
+def _with(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what is connected already and more links."""
+    out = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links))
+    discard(found, links)
+    return out

@@ -1,17 +1,20 @@
 """Operator 3: join of texts by the Jaccard similarity of their word n-grams.
 
-Parity sketches. A set of n-grams is hashed into a row of blocks of 64 bits; each n-gram flips one
-bit of one block. Two sets whose symmetric difference is d differ in at most d bits, hence in at
-most d blocks (the Hamming distance bounds the symmetric difference from below). Sets of similar
-size share a size band, all sketches of a band have the same number of blocks, and that number
-exceeds the greatest difference that the similarity allows, so two similar sets agree in a whole
-block (pigeonhole). Joining on (band, block, bits) therefore misses no pair.
+Parity sketches. A set of n-grams is hashed into a row of blocks; each n-gram changes one block by
+exclusive or, in 64 bits that name it and in one bit of a smaller row. Two sets whose symmetric
+difference is d differ in at most d blocks (and in at most d bits: the Hamming distance bounds the
+symmetric difference from below). Sets of similar size share a size band, all sketches of a band
+have the same number of blocks, and that number exceeds the greatest difference that the similarity
+allows, so two similar sets agree in a whole block (pigeonhole). Joining on (band, block, value)
+therefore misses no pair, and as the value names the block's members, sets that have none of them
+in common do not meet. Where no difference is allowed between sets of a size, only equal ones link.
 
 A set of size s in a band of D blocks has partners that agree with it in at least D - d(s) blocks,
-so it may leave out the first D - d(s) - COMMON blocks of an order that all sets of the band share:
-of the agreeing blocks, the last COMMON ones in that order stay on both sides, and pairs that share
-fewer keys are no candidates. The order is by set bits, so empty and nearly empty blocks, whose keys
-many sets share, are left out first.
+so it may leave out the first D - d(s) - 1 blocks of an order that all sets of the band share: of the
+agreeing blocks, the last one in that order stays on both sides. The order is by set bits, so empty
+and nearly empty blocks, which many sets share, are left out first. Two sets whose last agreeing
+block is empty are found under another seed, named by the block. At low similarities small sets
+would mostly have empty blocks; each of their members is a block of its own.
 
 Candidates are first compared by a second sketch, one of about as many bits as the sets have members:
 a pair whose sketches differ in more bits than similar sets of these sizes can is no pair. What is
@@ -23,6 +26,7 @@ that share a key are compared.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 from runloom.llm.linking import linked
 from runloom.llm.tables import keep_ids, saved, text_bytes
 
-COMMON = 3
+#: Sketches of a set that has empty blocks under one seed after the other.
+DEEPEST = 8
+MOST_BITS = 1 << 14
 _WORDS_KEPT = 200_000
 _ODD = 0x9E3779B97F4A7C15
 
@@ -79,7 +85,7 @@ class Threshold:
     def __init__(self, num: int, den: int):
         if not 0 < num <= den:
             raise ValueError("the similarity must be above 0 and at most 1")
-        self.num, self.den, self.edges = num, den, [1]
+        self.num, self.den, self.edges, self._blocks = num, den, [1], {}
 
     def band(self, size: int) -> int:
         """Size band: a band ends where the largest partner of its smallest size's largest partner does, so partners are at most one band apart."""
@@ -91,6 +97,22 @@ class Threshold:
         """Largest size of a band whose smaller ones have been asked for."""
         return self.partner(self.partner(self.edges[band]))
 
+    def blocks(self, band: int) -> int:
+        """Blocks of a band's sketches: a few more than the greatest difference, or as many as it takes for hardly any set to keep an empty one; 0 if none will do."""
+        if band not in self._blocks:
+            top, low = self.top(band), self.edges[band]
+            sizes = {max(1, low * self.num // self.den), low, top}
+            tried = [self.difference(top, top) * 11 // 10 + 1]
+            while tried[-1] < 3 * top + 3:
+                tried.append(tried[-1] * 5 // 4 + 1)
+
+            def kept_empty(blocks: int) -> float:
+                empty = ((blocks * math.exp(-s / blocks), self.difference(s, min(self.partner(s), top)) + 1) for s in sizes)
+                return max(need * max(0.0, e + math.sqrt(e) - blocks + need) for e, need in empty)
+
+            self._blocks[band] = next((b for b in tried if kept_empty(b) < 0.5), 0)
+        return self._blocks[band]
+
     def partner(self, size: int) -> int:
         """Size of the largest partner."""
         return size * self.den // self.num
@@ -100,35 +122,43 @@ class Threshold:
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
 
-def band_keys(grams: np.ndarray, t: Threshold) -> list[np.ndarray]:
-    """Keys of the blocks that a set is joined on, for each of its size bands.
+def _block_keys(grams: np.ndarray, blocks: int, need: int, seed: int, depth: int = 0) -> list[int]:
+    """Keys of the last ``need`` blocks of a sketch. For an empty block, which tells nothing, keys of the set's sketch under another seed stand in."""
+    spread = _mix(grams + np.uint64(seed))
+    block = (spread % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    sketch, whole, at = np.zeros(blocks, np.uint64), np.zeros(blocks, np.uint64), block[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    sketch[at[first]] = np.bitwise_xor.reduceat((np.uint64(1) << (spread >> np.uint64(58)))[order], first)
+    whole[at[first]] = np.bitwise_xor.reduceat(grams[order], first)
+    kept = np.lexsort((np.bitwise_count(sketch), whole != 0))[-need:]
+    names = _mix(np.uint64(seed) ^ (kept + 1).astype(np.uint64) * np.uint64(_ODD))
+    full = whole[kept] != 0
+    keys = _mix(whole[kept] ^ names)[full | (depth == DEEPEST)].tolist()
+    for name in names[~full].tolist() if depth < DEEPEST else ():
+        keys += _block_keys(grams, blocks, need, name, depth + 1)
+    return keys
+
+
+def band_keys(grams: np.ndarray, t: Threshold) -> list[int]:
+    """Keys of the blocks that a set is joined on, over its size bands; none where its size links with equal sets only.
 
     A set is at home in the band of its size and a guest in the next one if it may have a partner there.
     """
     size, keys = len(grams), []
     if not size:
         return keys
-    home = t.band(size)
-    for band in range(home, t.band(t.partner(size)) + 1):
+    for band in range(t.band(size), t.band(t.partner(size)) + 1):
         top = t.top(band)
-        largest = min(t.partner(size), top)
-        blocks = t.difference(top, top) * 11 // 10 + 1 + COMMON
-        spread = _mix(grams + np.uint64(band * _ODD % 2**64))
-        block = (spread % np.uint64(blocks)).astype(np.int64)
-        flips = np.uint64(1) << (spread >> np.uint64(58))
-        order = np.argsort(block, kind="stable")
-        sketch, at = np.zeros(blocks, np.uint64), block[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        sketch[at[first]] = np.bitwise_xor.reduceat(flips[order], first)
-        kept = np.argsort(np.bitwise_count(sketch), kind="stable")[-(t.difference(size, largest) + COMMON) :]
-        name = np.uint64(band << 32) + kept.astype(np.uint64)
-        keys.append(_mix(sketch[kept] ^ _mix(name * np.uint64(_ODD))))
+        if apart := t.difference(size, min(t.partner(size), top)):
+            seed, blocks = band * _ODD % 2**64, t.blocks(band)
+            keys += _block_keys(grams, blocks, apart + 1, seed) if blocks else _mix(grams ^ np.uint64(seed)).tolist()
     return keys
 
 
 def parity(grams: np.ndarray, band: int, top: int) -> np.ndarray:
-    """The comparing sketch of a band: bit i tells whether an odd number of members fall on i."""
-    bits = max(64, 1 << top.bit_length())
+    """The comparing sketch of a band: bit i tells whether an odd number of members fall on i. Larger sets share MOST_BITS bits, which only weakens the bound."""
+    bits = min(max(64, 1 << top.bit_length()), MOST_BITS)
     spread = _mix(grams ^ np.uint64(~band * _ODD % 2**64)) % np.uint64(bits)
     return np.packbits((np.bincount(spread.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -154,7 +184,7 @@ def _classes(n: int, t: Threshold):
                 numbers.append((len(grams), *(int.from_bytes(half, "big", signed=True) for half in (digest[:8], digest[8:])), band))
                 sketches.append(parity(grams, band, t.top(band)))
                 above.append(parity(grams, band + 1, t.top(band + 1)) if t.band(max(1, t.partner(len(grams)))) > band else np.empty(0, np.int64))
-                keys.append(np.concatenate(band_keys(grams, t) or [grams]).view(np.int64))
+                keys.append(np.array(band_keys(grams, t), np.uint64).view(np.int64))
             columns = zip(*numbers, strict=True) if numbers else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), _lists(sketches), _lists(above), _lists(keys)], [c.split()[0] for c in _MADE.split(", ")])
@@ -198,12 +228,15 @@ def _near(t: Threshold):
     return near
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """The pairs (a, b) of ids that are similar indeed."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = saved(keep_ids(docs, ids, "doc_id").select("doc_id", text_bytes()).mapInArrow(_sets(n), "id long, grams binary"))
-    a, b = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-    return saved(pairs.join(a, "a").join(b, "b").mapInArrow(_similar(t), "a long, b long"))
+def _verifier(docs: DataFrame, n: int, t: Threshold):
+    """For linked(): the sets of the ids that share keys are written once."""
+
+    def of(ids: DataFrame):
+        sets = saved(keep_ids(docs, ids.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", text_bytes()).mapInArrow(_sets(n), "id long, grams binary").dropDuplicates(["id"]))
+        a, b = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
+        return lambda pairs: saved(pairs.join(a, "a").join(b, "b").mapInArrow(_similar(t), "a long, b long"))
+
+    return of
 
 
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -224,7 +257,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int
     mark = F.struct(F.col("n_shingles").alias("n"), "band", "sketch", "above").alias("mark")
     nodes = saved(reps.select("id", F.col("n_shingles").alias("n"), mark).dropDuplicates(["id"]))
     fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
-    found = linked(reps.select(F.explode("keys").alias("key"), "id"), nodes, fits, _near(t), lambda pairs: _verified(pairs, docs, n, t), COMMON)
+    found = linked(reps.select(F.explode("keys").alias("key"), "id"), nodes, fits, _near(t), _verifier(docs, n, t))
 
     labels = classes.join(found, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.sources.scratch import saved, shared_folder
+from runloom.sources.scratch import discard, saved, shared_folder
 
-__all__ = ["SENT_ROWS", "WORD", "documents", "keep_ids", "saved", "shared_folder", "text_bytes", "without_ids"]
+__all__ = ["SENT_ROWS", "WORD", "discard", "documents", "keep_ids", "saved", "shared_folder", "text_bytes", "without_ids"]
 
 #: At most this many rows of one or two short columns are sent to every task; larger sides are joined.
 SENT_ROWS = 1_000_000
