@@ -25,22 +25,23 @@ from runloom.llm.tables import discard, saved
 HUBS = 2
 
 
-def linked(keyed: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column], near: Callable[[str, str], Column], verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def linked(keyed: DataFrame, nodes: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], near: Callable[[str, str], Column], verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """(id, component) of the nodes that have links, a written table; component is the smallest id of it.
 
-    ``keyed``: rows (key, id); repeated ones cost time and change nothing. ``nodes``: (id, n, mark), unique by id. ``fits`` and ``near`` take two
-    columns of n or mark and tell which pairs of nodes can be linked at all. ``verifier`` takes the
-    ids that share keys and gives a function that tells, of a written table of distinct pairs (a, b),
-    a < b, of these ids, those that are links.
+    ``keyed``: rows (key, id); repeated ones cost time and change nothing. ``nodes`` gives, for the ids that
+    share keys, a table (id, n, mark), unique by id. ``fits`` and ``near`` take two columns of n or
+    mark and tell which pairs of nodes can be linked at all. ``verifier`` takes these nodes and gives a
+    function that tells, of a written table of distinct pairs (a, b), a < b, those that are links.
     """
     by_key = W.partitionBy("key")
-    shared = saved(keyed.withColumn("company", F.count("*").over(by_key)).where("company > 1"))
-    weight = shared.groupBy("id").agg(F.sum("company").alias("weight"))
-    marked = saved(nodes.join(weight, "id"))
+    several = keyed.withColumns({"least": F.min("id").over(by_key), "most": F.max("id").over(by_key)}).where("least < most")
+    shared = saved(several.select("key", "id").distinct().withColumn("company", F.count("*").over(by_key)))
+    weight = saved(shared.groupBy("id").agg(F.sum("company").alias("weight")))
+    marked = saved(nodes(weight.select("id")).join(weight, "id"))
     held = shared.select("key", "id").join(marked.select("id", "n", "weight"), "id")
     rows = saved(held.withColumn("hub", F.max(F.struct("weight", "id", "n")).over(by_key)).select("key", "id", "n", "weight", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    discard(shared)
-    verified = verifier(marked.select("id"))
+    discard(shared, weight)
+    verified = verifier(marked)
     marks = [marked.select(F.col("id").alias(x), F.col("mark").alias(f"mark_{x}")) for x in "ab"]
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -58,26 +59,35 @@ def linked(keyed: DataFrame, nodes: DataFrame, fits: Callable[[str, str], Column
         at = at.withColumn("outside", F.col("root") != F.max(F.when(F.col("id") == F.col("hub"), F.col("root"))).over(by_key))
         return saved(at.withColumn("open", F.max("outside").over(by_key)).where("open").drop("open"))
 
+    def done() -> DataFrame:
+        discard(open_, rows, marked)
+        return found
+
     found = components(links(rows.where((F.col("id") != F.col("hub")) & fits("n", "hub_n")).select(F.col("id").alias("x"), F.col("hub").alias("y"))))
     for _ in range(1, HUBS):
         open_ = placed(found)
+        if open_.isEmpty():
+            return done()
         next_ = open_.where("outside").withColumn("next", F.max(F.struct("weight", "id", "n", "root")).over(by_key))
         met = next_.where(F.col("root") != F.col("next.root")).where(fits("n", "next.n")).select(F.col("id").alias("x"), F.col("next.id").alias("y"))
         found = _with(found, links(met))
         discard(open_)
 
     open_ = placed(found)
+    if open_.isEmpty():
+        return done()
     full = open_.select("key", "id", "n", "root", "outside").join(marked.select("id", "mark"), "id")
     x, y = (side.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "root", "outside", "mark"))) for side, name in ((full.where("outside"), "x"), (full, "y")))
     once = ~F.col("y_outside") | (F.col("x_id") < F.col("y_id"))
     met = x.join(y, "key").where((F.col("x_root") != F.col("y_root")) & once & fits("x_n", "y_n") & near("x_mark", "y_mark"))
     found = _with(found, links(met.select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))))
-    discard(open_, rows, marked)
-    return found
+    return done()
 
 
 def _with(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components of what is connected already and more links."""
+    if links.isEmpty():
+        return found
     out = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links))
     discard(found, links)
     return out

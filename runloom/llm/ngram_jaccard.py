@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.linking import linked
-from runloom.llm.tables import keep_ids, saved, text_bytes
+from runloom.llm.tables import discard, keep_ids, saved, text_bytes
 
 #: Sketches of a set that has empty blocks under one seed after the other.
 DEEPEST = 8
@@ -228,11 +228,12 @@ def _near(t: Threshold):
     return near
 
 
-def _verifier(docs: DataFrame, n: int, t: Threshold):
-    """For linked(): the sets of the ids that share keys are written once."""
+def _verifier(docs: DataFrame, n: int, t: Threshold, kept: list[DataFrame]):
+    """For linked(): the sets of the ids that share keys are written once, to a table that ``kept`` gets."""
 
-    def of(ids: DataFrame):
-        sets = saved(keep_ids(docs, ids.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", text_bytes()).mapInArrow(_sets(n), "id long, grams binary").dropDuplicates(["id"]))
+    def of(nodes: DataFrame):
+        sets = saved(keep_ids(docs, nodes.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", text_bytes()).mapInArrow(_sets(n), "id long, grams binary").dropDuplicates(["id"]))
+        kept.append(sets)
         a, b = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
         return lambda pairs: saved(pairs.join(a, "a").join(b, "b").mapInArrow(_similar(t), "a long, b long"))
 
@@ -255,9 +256,11 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int
     ids = classes.where("id is not null").select("id")
     reps = made.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumn("id", F.col("doc_id"))
     mark = F.struct(F.col("n_shingles").alias("n"), "band", "sketch", "above").alias("mark")
-    nodes = saved(reps.select("id", F.col("n_shingles").alias("n"), mark).dropDuplicates(["id"]))
+    nodes = reps.select("id", F.col("n_shingles").alias("n"), mark).dropDuplicates(["id"])
     fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
-    found = linked(reps.select(F.explode("keys").alias("key"), "id"), nodes, fits, _near(t), _verifier(docs, n, t))
+    kept: list[DataFrame] = []
+    found = linked(reps.select(F.explode("keys").alias("key"), "id"), lambda ids: nodes.join(ids, "id", "left_semi"), fits, _near(t), _verifier(docs, n, t, kept))
+    discard(*kept)
 
     labels = classes.join(found, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
