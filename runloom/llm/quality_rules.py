@@ -5,10 +5,15 @@ the shares of its common words, which are all words that make up at least COMMON
 document is held against the reference of its language by the Jensen-Shannon distance of both
 histograms. Short documents are not judged, as their histograms are mostly noise.
 
-Common words are found in two passes. A word with a share s of a language has at least that share
-in one of the parts that tasks read, so each task reports the words that may have it there; it
-counts with bounded memory, dropping rare words and remembering how much was dropped (an upper bound
-of each count). The second pass counts the reported words exactly.
+Common words are found in two passes. In the first, each task counts the words of each language with
+bounded memory, dropping rare words and remembering how much was dropped, and reports every word that
+may have a share of SPOTTED in its part. What a word has over that floor, summed over the parts that
+report it, plus the floors of all parts bounds its count from above; words whose bound stays below
+COMMON are out, so about 1 / (COMMON - SPOTTED) a language are left. The second pass counts these exactly.
+
+A reference is itself guarded by length: a language with under REFERENCE_WORDS words in all has none,
+as the shares of its common words would rest on counts of under 40, and its documents are not judged
+by distance.
 """
 
 from __future__ import annotations
@@ -22,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.tables import saved, text_bytes
+from runloom.llm.tables import discard, saved, text_bytes
 
-COMMON = 0.002
+COMMON, SPOTTED = 0.002, 0.0002
 #: Counters of a language and task between two rounds of dropping.
 COUNTERS = 16_384
 #: A language with fewer words in all has no reference.
 REFERENCE_WORDS = 20_000
-#: More values than there are language codes: the column names no languages, and all rows share one reference.
-LANGUAGES = 10_000
+#: References of so many languages, a few kilobytes each, are sent to all tasks; more are joined to their documents.
+SENT_LANGUAGES = 2_000
 
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 
@@ -74,42 +79,57 @@ class Limits:
 
 
 def _spotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that may be common, per language, and the character classes (word null, counts)."""
-    words: dict[str | None, Counter] = {}
-    dropped: Counter = Counter()
-    total: Counter = Counter()
-    classes: dict[str | None, np.ndarray] = {}
+    """Words that may be spotted, per language, with what they may have over a floor, and the words, floor and character classes of a language (word null, counts). A task reports in several parts if it has many counters."""
+    held: dict[str | None, _Part] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            if not (text := text.as_py()):
-                continue
-            classes[lang] = classes.get(lang, 0) + class_counts(text)
-            found = text.split()
-            total[lang] += len(found)
-            seen = words.setdefault(lang, Counter())
-            seen.update(found)
-            if len(seen) > COUNTERS:
-                least = np.partition(np.fromiter(seen.values(), np.int64, len(seen)), -COUNTERS // 2)[-COUNTERS // 2]
-                words[lang] = Counter({w: n for w, n in seen.items() if n > least})
-                dropped[lang] += int(least)
-    langs, names, counts = [], [], []
-    for lang, seen in words.items():
-        names += [None, *(w for w, n in seen.items() if n + dropped[lang] >= COMMON * total[lang])]
-        counts += [[float(total[lang]), *classes[lang]]] + [None] * (len(names) - len(counts) - 1)
-        langs += [lang] * (len(names) - len(langs))
-    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()), pa.array(counts, pa.list_(pa.float64()))], ["lang", "word", "counts"])
-
-
-def _counted(candidates: dict[str | None, frozenset[bytes]]):
+            if text := text.as_py():
+                held.setdefault(lang, _Part()).add(text)
+        if sum(len(p.seen) for p in held.values()) > 64 * COUNTERS:
+            yield from (p.report(lang) for lang, p in held.items())
+            held = {}
+    yield from (p.report(lang) for lang, p in held.items())
+
+
+class _Part:
+    """Counts of one language in a part of a task."""
+
+    def __init__(self) -> None:
+        self.seen: Counter = Counter()
+        self.dropped, self.total, self.classes = 0, 0, np.zeros(N_CLASSES)
+
+    def add(self, text: bytes) -> None:
+        found = text.split()
+        self.classes += class_counts(text)
+        self.total += len(found)
+        self.seen.update(found)
+        if len(self.seen) > COUNTERS:
+            least = int(np.partition(np.fromiter(self.seen.values(), np.int64, len(self.seen)), COUNTERS // 4)[COUNTERS // 4])
+            self.seen = Counter({w: n for w, n in self.seen.items() if n > least})
+            self.dropped += least
+
+    def report(self, lang: str | None) -> pa.RecordBatch:
+        floor = max(SPOTTED * self.total, float(self.dropped))  # no word that is not reported has more
+        found = [(w, n + self.dropped - floor) for w, n in self.seen.items() if n + self.dropped >= floor]
+        names, over = [None, *(w for w, _ in found)], [None, *(x for _, x in found)]
+        counts = [[float(self.total), floor, *self.classes], *[None] * len(found)]
+        columns = [pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()), pa.array(over, pa.float64()), pa.array(counts, pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "word", "over", "counts"])
+
+
+def _counted(candidates: dict[str | None, frozenset[bytes]] | None):
+    """Counts of the candidates, or of all words, in each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str | None, Counter] = {lang: Counter() for lang in candidates}
         for batch in batches:
+            seen: dict[str | None, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                if lang in seen and (text := text.as_py()):
-                    seen[lang].update(filter(candidates[lang].__contains__, text.split()))
-        rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
-        langs, names, counts = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
+                if (text := text.as_py()) and (candidates is None or lang in candidates):
+                    found = text.split()
+                    seen.setdefault(lang, Counter()).update(found if candidates is None else filter(candidates[lang].__contains__, found))
+            rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
+            langs, names, counts = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
 
     return run
 
@@ -123,27 +143,30 @@ class Reference:
     counts: np.ndarray
 
 
-def references(docs: DataFrame) -> dict[str | None, Reference]:
-    """The reference of each language of ``docs`` (lang, text). A few hundred numbers a language, and at most LANGUAGES languages, reach the driver."""
+def references(docs: DataFrame) -> DataFrame:
+    """The reference of each language of ``docs`` (lang, text) that has one: lang, classes, words and counts; a written table."""
     held = docs.select("lang", text_bytes())
-    spotted = saved(held.mapInArrow(_spotted, "lang string, word binary, counts array<double>"))
-    sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(N_CLASSES + 1)]
-    large = spotted.where("word is null").groupBy("lang").agg(*sums).where(F.col("c0") >= REFERENCE_WORDS)
-    totals = large.limit(LANGUAGES + 1).collect()
-    if len(totals) > LANGUAGES:
-        return references(docs.withColumn("lang", F.lit("")))
-    totals = {r["lang"]: r for r in totals}
-    words: dict[str | None, set] = {lang: set() for lang in totals}
-    listed = spotted.where("word is not null").select("lang", "word").distinct()  # at most about 1 / COMMON for each language and part, mostly the same
-    for r in listed.collect():
-        if r["lang"] in words:
-            words[r["lang"]].add(bytes(r["word"]))
-    counted = held.mapInArrow(_counted({k: frozenset(v) for k, v in words.items()}), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
-    out = {}
-    for lang, row in totals.items():
-        common = sorted((bytes(r["word"]), r["n"]) for r in counted if r["lang"] == lang and r["n"] >= COMMON * row["c0"])
-        counts = [n for _, n in common]
-        out[lang] = Reference(np.array(row[2:], float), tuple(w for w, _ in common), np.array([*counts, row["c0"] - sum(counts)], float))
+    spotted = saved(held.mapInArrow(_spotted, "lang string, word binary, over double, counts array<double>"))
+    sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(N_CLASSES + 2)]
+    totals = spotted.where("word is null").groupBy(F.col("lang").alias("_lang")).agg(*sums).where(F.col("c0") >= REFERENCE_WORDS)
+    totals = saved(totals.select("_lang", F.col("c0").alias("total"), F.col("c1").alias("floor"), F.array(*(f"c{i}" for i in range(2, N_CLASSES + 2))).alias("classes")))
+    same = F.col("lang").eqNullSafe(F.col("_lang"))
+    over = spotted.where("word is not null").groupBy("lang", "word").agg(F.sum("over").alias("over"))
+    likely = saved(over.join(totals, same).where(F.col("over") + F.col("floor") >= COMMON * F.col("total") * (1 - 1e-9)).select("lang", "word"))
+    candidates = None
+    if totals.limit(SENT_LANGUAGES + 1).count() <= SENT_LANGUAGES:  # about 1 / (COMMON - SPOTTED) words a language
+        candidates = {r["lang"]: frozenset(map(bytes, r["words"])) for r in likely.groupBy("lang").agg(F.collect_list("word").alias("words")).collect()}
+    counted = held.mapInArrow(_counted(candidates), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    if candidates is None:
+        x, y = counted.alias("x"), likely.alias("y")
+        counted = x.join(y, F.col("x.lang").eqNullSafe(F.col("y.lang")) & (F.col("x.word") == F.col("y.word")), "left_semi")
+    common = counted.join(totals.select("_lang", "total"), same).where(F.col("n") >= COMMON * F.col("total"))
+    listed = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("common"))
+    made = totals.join(listed, same, "left").select(F.col("_lang").alias("lang"), "total", "classes", F.coalesce("common", F.array().cast("array<struct<word: binary, n: bigint>>")).alias("common"))
+    known = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    counts = F.concat(F.transform("common", lambda x: x["n"].cast("double")), F.array(F.col("total") - known))
+    out = saved(made.select("lang", "classes", F.col("common.word").alias("words"), counts.alias("counts")))
+    discard(spotted, likely, totals)
     return out
 
 
@@ -169,16 +192,30 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
     return int(held.sum())
 
 
-def _judged(refs: dict[str | None, Reference], one: bool, limits: Limits):
+def _reference(classes: list, words: list, counts: list) -> Reference:
+    return Reference(np.array(classes, float), tuple(map(bytes, words)), np.array(counts, float))
+
+
+def _row_references(batch: pa.RecordBatch) -> Iterator[Reference | None]:
+    """The reference that each row brings along; rows of a language mostly follow each other."""
+    before, ref = None, None
+    for row in zip(batch.column("lang").to_pylist(), *(batch.column(c) for c in ("classes", "words", "counts")), strict=True):
+        if before is None or row[0] != before[0]:
+            before, ref = row, _reference(*(c.as_py() for c in row[1:])) if row[1].is_valid else None
+        yield ref
+
+
+def _judged(refs: dict[str | None, Reference] | None, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            known = _row_references(batch) if refs is None else map(refs.get, batch.column("lang").to_pylist())
+            for ref, text in zip(known, batch.column("text"), strict=True):
                 text = text.as_py() or b""
                 words, classes = text.split(), class_counts(text)
                 lines = [line for line in text.split(b"\n") if line.strip()]
                 by_class = by_word = None
-                if (ref := refs.get("" if one else lang)) is not None:
+                if ref is not None:
                     if len(words) >= limits.class_words:
                         by_class = js_distance(classes, ref.classes)
                     if len(words) >= limits.word_words:
@@ -206,8 +243,13 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # n
     results; an empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    refs = references(docs)
-    judged = docs.select("doc_id", "lang", text_bytes()).mapInArrow(_judged(refs, set(refs) == {""}, limits), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double")
+    found, held, refs = references(docs), docs.select("doc_id", "lang", text_bytes()), None
+    if found.limit(SENT_LANGUAGES + 1).count() <= SENT_LANGUAGES:
+        refs = {r["lang"]: _reference(*r[1:]) for r in found.collect()}
+    else:
+        of = found.withColumnRenamed("lang", "_lang")
+        held = held.join(of, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    judged = held.mapInArrow(_judged(refs, limits), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= limits.class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.word_distance)
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
