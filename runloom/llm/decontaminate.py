@@ -1,12 +1,12 @@
 """Operator 2: benchmark passages in training texts, by a positional inverted index.
 
 Items are cut into windows of consecutive words. The corpus frequency of every item word is counted
-over all texts; windows with a word that no text has are dropped. Each window keeps its rarest words
-as anchors. The index holds the postings (term, document, position) of all anchor terms of the
-corpus; those of a first anchor also carry the words around the position. Lists of a window's
-anchors are shifted by the anchors' offsets in the window and intersected on (document, start);
-what remains is compared word by word with the context. Starts that lie close together instead of
-being equal are proximity matches.
+over all texts, and each window keeps its rarest words that occur as anchors. The index holds the
+postings (term, document, position) of all anchor terms of the corpus; those of a first anchor also
+carry the words around the position, and count only where most of the window's words are among them.
+Lists of a window's anchors are shifted by the anchors' offsets in the window and intersected on
+(document, window): starts that are equal, with all words in place, are exact matches; starts that
+lie up to a few words apart, or equal ones with a word replaced, are proximity matches.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from runloom.llm.tables import SENT_ROWS, saved, text_bytes
+from runloom.llm.tables import SENT_ROWS, discard, keep_ids, saved, text_bytes
 
+#: At most this many anchors, each with the words of its window, are sent to all tasks; more are joined.
+SENT_ANCHORS = 200_000
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a blank.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -105,14 +107,14 @@ def windows(items: DataFrame, width: int = 10) -> DataFrame:
 
 
 def anchors(docs: DataFrame, wins: DataFrame, rarest: int = 2) -> DataFrame:
-    """The ``rarest`` words of each window that can occur: item, first, phrase, n_anchors, rank (0: rarest), term, offset."""
+    """The ``rarest`` words of each window among those that occur in ``docs``: item, first, phrase, n_anchors, rank (0: rarest), term, offset."""
     words = wins.select("item", "first", "phrase", F.posexplode("phrase").alias("offset", "term"))
     vocabulary = wins.select(F.explode("phrase").alias("term")).distinct()
     counts = docs.select(text_bytes()).mapInArrow(_counts(_listed(vocabulary)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = saved(vocabulary.join(counts, "term"))
     window = W.partitionBy("item", "first", "phrase")
-    ranked = words.join(counts, "term", "left").withColumns({"rank": F.row_number().over(window.orderBy(F.coalesce("n", F.lit(0)), "offset")) - 1, "least": F.min(F.coalesce("n", F.lit(0))).over(window)})
-    return saved(ranked.where((F.col("least") > 0) & (F.col("rank") < rarest)).select("item", "first", "phrase", F.least(F.size("phrase"), F.lit(rarest)).alias("n_anchors"), "rank", "term", "offset"))
+    ranked = words.join(counts, "term").withColumns({"rank": F.row_number().over(window.orderBy("n", "offset")) - 1, "n_anchors": F.least(F.count("*").over(window), F.lit(rarest))})
+    return saved(ranked.where(F.col("rank") < rarest).select("item", "first", "phrase", "n_anchors", "rank", "term", "offset"))
 
 
 def build_index(docs: DataFrame, anchor: DataFrame, width: int = 10) -> DataFrame:
@@ -122,37 +124,55 @@ def build_index(docs: DataFrame, anchor: DataFrame, width: int = 10) -> DataFram
     return saved(index)
 
 
-def _shifted(index: DataFrame, anchor: DataFrame) -> DataFrame:
-    """Postings of each window's anchors, shifted to where the window would start."""
-    return index.where("term is not null").join(anchor, "term").withColumn("start", F.col("pos") - F.col("offset"))
+def matches(index: DataFrame, anchor: DataFrame, slop: int = 2, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """doc_id, item, first, start, width, exact and gap of exact and proximity matches of windows, a written table.
+
+    Exact: all words of the window follow each other from start on (gap 0). Proximity: the two rarest
+    words of the window that occur stand up to ``slop`` words off their distance in the window, or as
+    far apart as there with another word between or beside them, and at least ``share`` of the window's
+    distinct words are among those around the first. A window of which only one word occurs has none.
+    """
+    phrase, near = F.col("phrase"), F.split("around", " ")
+    most = share[1] * F.size(F.array_intersect(phrase, near)) >= share[0] * F.size(F.array_distinct(phrase))
+    whole = F.expr("lead >= offset and slice(split(around, ' '), lead - offset + 1, size(phrase)) = phrase")
+    start = (F.col("pos") - F.col("offset")).alias("start")
+    few = anchor.limit(SENT_ANCHORS + 1).count() <= SENT_ANCHORS
+    firsts, rest = (F.broadcast(x) if few else x for x in (anchor.where("rank = 0"), anchor.where("rank > 0")))
+    leading = index.where("lead is not null").join(firsts, "term").where(most)
+    leading = saved(leading.select("doc_id", "item", "first", start, F.size("phrase").alias("width"), whole.alias("whole"), "n_anchors"))
+    known = leading.where("doc_id is not null").select("doc_id").distinct()
+    postings = index.where("term is not null")
+    postings = keep_ids(postings, known, "doc_id").unionByName(postings.where("doc_id is null"))
+    others = postings.join(rest, "term").select("doc_id", "item", "first", "rank", start)
+    here = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "item", "first")]
+    gap = F.col("y.start") - F.col("x.start")
+    pairs = leading.alias("x").join(others.alias("y"), here, "left").select("x.*", "y.rank", gap.alias("gap"))
+    each = pairs.groupBy("doc_id", "item", "first", "start", "width", "whole", "n_anchors").agg(
+        F.count_distinct(F.when(F.col("gap") == 0, F.col("rank"))).alias("met"), F.min_by("gap", F.when((F.col("rank") == 1) & (F.abs("gap") <= slop), F.struct(F.abs("gap"), "gap"))).alias("gap")
+    )
+    exact = F.col("whole") & (F.col("met") == F.col("n_anchors") - 1)
+    found = each.withColumn("exact", exact).where(F.col("exact") | F.col("gap").isNotNull())
+    found = saved(found.select("doc_id", "item", "first", "start", "width", "exact", F.when(F.col("exact"), F.lit(0).cast("long")).otherwise(F.col("gap")).alias("gap")))
+    discard(leading)
+    return found
 
 
 def exact_matches(index: DataFrame, anchor: DataFrame) -> DataFrame:
     """doc_id, item, start and width of every place where all words of a window follow each other."""
-    at = ["doc_id", "item", "first", "start"]
-    here = _shifted(index, anchor)
-    first = here.where("rank = 0")
-    others = here.where("rank > 0").groupBy(*at).agg(F.countDistinct("rank").alias("met"))
-    null_safe = [F.col("f.doc_id").eqNullSafe(F.col("o.doc_id")), *(F.col(f"f.{c}").eqNullSafe(F.col(f"o.{c}")) for c in at[1:])]
-    both = first.alias("f").join(others.alias("o"), null_safe, "left").where((F.col("n_anchors") == 1) | (F.col("met") == F.col("n_anchors") - 1))
-    same = F.expr("lead >= offset and slice(split(around, ' '), lead - offset + 1, size(phrase)) = phrase")
-    return both.where(same).select("f.doc_id", "f.item", "f.start", F.size("phrase").alias("width"))
+    return matches(index, anchor).where("exact").select("doc_id", "item", "start", "width")
 
 
 def proximity_matches(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
-    """doc_id, item, first, start and gap of places where the two rarest words of a window stand up to ``slop`` words off their distance there."""
-    here = _shifted(index, anchor)
-    a = here.where("rank = 0").select("doc_id", "item", "first", "start", (F.floor(F.col("start") / (slop + 1))).alias("cell"))
-    b = here.where("rank = 1").select("doc_id", "item", "first", F.col("start").alias("other"), F.explode(F.array(*(F.floor(F.col("start") / (slop + 1)) + k for k in (-1, 0, 1)))).alias("cell"))
-    near = a.join(b, ["doc_id", "item", "first", "cell"]).withColumn("gap", F.col("other") - F.col("start"))
-    return near.where((F.abs("gap") <= slop) & (F.col("gap") != 0)).select("doc_id", "item", "first", "start", "gap").distinct()
+    """doc_id, item, first, start and gap of the places of matches() that are not exact."""
+    return matches(index, anchor, slop).where("not exact").select("doc_id", "item", "first", "start", "gap")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs`` (doc_id, text).
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2, slop: int = 2, near: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, with ``near``, n_near of every row of ``docs`` (doc_id, text).
 
     Words are runs of digits, lower-cased A-Z and characters beyond ASCII. A word is hit if it lies in
-    an occurrence of a window of an item (item_id, text). A text or item that is null or empty has no
+    an occurrence of a window of an item (item_id, text). n_near is the number of items without such
+    an occurrence that have proximity matches; these do not make a document contaminated. A text or item that is null or empty has no
     words; such an item has no window. Without items, or without documents, nothing is hit. Repeated
     rows stay and each gets the same result; rows that share a doc_id (or have none) share their hits.
     Other columns are ignored.
@@ -160,15 +180,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, rarest: in
     docs, wins = docs.select("doc_id", "text"), saved(windows(items.select("item_id", "text"), width))
     anchor = anchors(docs, wins, rarest)
     index = build_index(docs, anchor, width)
-    found = saved(exact_matches(index, anchor))
+    found = matches(index, anchor, slop)
+    exact = found.where("exact")
     before = F.max(F.col("start") + F.col("width")).over(W.partitionBy("doc_id").orderBy("start", "width").rowsBetween(W.unboundedPreceding, -1))
-    spans = found.select("doc_id", "start", "width").distinct()
+    spans = exact.select("doc_id", "start", "width").distinct()
     hit = spans.withColumn("new", F.greatest(F.lit(0), F.col("start") + F.col("width") - F.greatest("start", F.coalesce(before, F.lit(0))))).groupBy("doc_id").agg(F.sum("new").alias("n_hit"))
-    listed = found.select("doc_id", "item").distinct().groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    hits = hit.alias("h").join(listed.alias("l"), F.col("h.doc_id").eqNullSafe(F.col("l.doc_id"))).select(F.col("h.doc_id").alias("hit_id"), "n_hit", "n_items", "items")
+    listed = found.groupBy("doc_id", "item").agg(F.max("exact").alias("exact")).groupBy("doc_id").agg(
+        F.count_if("exact").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))), ",").alias("items"), F.count_if(~F.col("exact")).alias("n_near")
+    )
+    hits = listed.alias("l").join(hit.alias("h"), F.col("h.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select(F.col("l.doc_id").alias("hit_id"), "n_hit", "n_items", "items", "n_near")
     rows = index.where("term is null").select("doc_id", F.col("pos").alias("n_words"))
-    zero = F.lit(0).cast("long")
+    count = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_hit", "n_items", "n_near")}
     return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
+        "doc_id", "n_words", count["n_hit"].alias("n_hit"), count["n_items"].alias("n_items"),
+        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (count["n_hit"] > 0).alias("contaminated"), *([count["n_near"].alias("n_near")] if near else []),
     )

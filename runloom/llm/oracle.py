@@ -22,9 +22,17 @@ iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k:k
 dw AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS p FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS k FROM w, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
 h AS (SELECT doc_id, k, dw.n AS n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.p = iw.p),
 pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS q FROM h) GROUP BY 1),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY 1)
-SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN pos ON pos.doc_id = w.doc_id LEFT JOIN it ON it.doc_id = w.doc_id"""
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY 1),
+dp AS (SELECT doc_id, unnest(ws) AS t, unnest(generate_series(1, len(ws))) AS pos FROM w),
+cnt AS (SELECT t, count(*) AS c FROM dp GROUP BY 1),
+win AS (SELECT item_id, k, ws[k:k + 9] AS p FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS k FROM i WHERE len(ws) > 0)),
+anc AS (SELECT item_id, k, p, a.t AS t, o, row_number() OVER (PARTITION BY item_id, k ORDER BY c, o) AS r FROM (SELECT *, unnest(p) AS t, unnest(generate_series(0, len(p) - 1)) AS o FROM win) a JOIN cnt ON cnt.t = a.t),
+lead AS (SELECT dp.doc_id AS doc_id, item_id, k, p, pos - o AS s FROM dp JOIN anc ON anc.t = dp.t AND r = 1 JOIN w ON w.doc_id = dp.doc_id
+  WHERE 5 * len(list_intersect(list_distinct(p), ws[greatest(pos - 9, 1):pos + 9])) >= 4 * len(list_distinct(p))),
+nr AS (SELECT DISTINCT lead.doc_id AS doc_id, lead.item_id AS item_id FROM lead JOIN anc ON anc.item_id = lead.item_id AND anc.k = lead.k AND r = 2 JOIN dp ON dp.doc_id = lead.doc_id AND dp.t = anc.t WHERE abs(pos - o - s) <= 2),
+nn AS (SELECT nr.doc_id AS doc_id, count(*) AS n_near FROM nr ANTI JOIN h ON h.doc_id = nr.doc_id AND h.item_id = nr.item_id GROUP BY 1)
+SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM w LEFT JOIN pos ON pos.doc_id = w.doc_id LEFT JOIN it ON it.doc_id = w.doc_id LEFT JOIN nn ON nn.doc_id = w.doc_id"""
 
 NGRAM_JACCARD = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS k FROM w WHERE len(ws) > 0)),
