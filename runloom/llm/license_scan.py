@@ -2,7 +2,7 @@
 
 Texts are cut at sentence ends and line breaks; pieces are normalised (lower case, letters, digits
 and dots of versions only). A piece, or several in a row where a sentence was wrapped, that is a
-known licence sentence becomes its identifier. The row of identifiers is then matched against
+known licence sentence becomes its identifier; SPDX marks are one more. The row of identifiers is then matched against
 ordered rules, longer ones first: a rule holds where its identifiers follow each other with few
 other pieces between. Identifiers that no rule takes up are reported as unmatched.
 """
@@ -10,17 +10,19 @@ other pieces between. Identifiers that no rule takes up are reported as unmatche
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Identifier of a licence sentence and the pattern of its normalised form.
 SENTENCES = (
-    ("spdx", r"spdx license identifier (?P<spdx>[a-z0-9.]+(?: [a-z0-9.]+)*?)"),
     ("apache-ref", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:terms of the )?apache license(?: version)? v?2(?:\.0)?(?: the license)?"),
+    ("apache-title", r"apache license version 2(?:\.0)?(?: january 2004)?"),
     ("apache-use", r"you may not use this file except in compliance with the license"),
     ("apache-copy", r"you may obtain a copy of the license at(?: .*)?"),
     ("apache-asis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
@@ -40,10 +42,12 @@ SENTENCES = (
     ("bsd-endorse", r"(?:\d\.? )?neither the name of .* may be used to endorse or promote products derived from this software .*"),
     ("bsd-asis", r"this software is provided by .* as is and any express or implied warranties .* are disclaimed"),
     ("gpl-ref", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:terms of the )?gnu (?P<gnu>lesser |library |affero )?general public license(?: version)? v?(?P<version>\d(?:\.\d)?)(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
+    ("gpl-title", r"gnu (?P<gnu3>lesser |library |affero )?general public license version (?P<version3>\d(?:\.\d)?)(?: \d+ \w+ \d{4})?"),
     ("gpl-free", r"this (?:program|library) is free software you can redistribute it and or modify it under the terms of the gnu (?P<gnu2>lesser |library |affero )?general public license as published by the free software foundation either version (?P<version2>\d(?:\.\d)?) of the license or at your option any later version"),
     ("gpl-hope", r"this (?:program|library) is distributed in the hope that it will be useful but without any warranty .*"),
     ("gpl-see", r"see the gnu (?:lesser |library |affero )?general public license for more details"),
     ("mpl-ref", r"this source code form is subject to the terms of the mozilla public license v\.? ?2\.0"),
+    ("mpl-title", r"mozilla public license version 2(?:\.0)?"),
     ("mpl-short", r"(?:this \w+ is )?(?:licensed|released|distributed) under the (?:terms of the )?mozilla public license(?: version)? v?2(?:\.0)?"),
     ("cc-ref", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:an? |the )?(?:cc|creative commons) (?P<cc>(?:by|attribution)(?: (?:nc|noncommercial|non commercial))?(?: (?:sa|sharealike|share alike|nd|noderivatives|no derivatives))?) (?P<ccv>\d\.\d)(?: international)?(?: license)?"),
     ("cc0-ref", r"(?:cc0 1\.0|public domain dedication)(?: universal)?(?: license)?"),
@@ -62,11 +66,14 @@ RULES = (
     ("ISC", ("isc-grant", "isc-asis")),
     ("{gnu}", ("gpl-free",)),
     ("{gnu}", ("gpl-ref",)),
+    ("{gnu}", ("gpl-title",)),
     ("Apache-2.0", ("apache-ref",)),
+    ("Apache-2.0", ("apache-title",)),
     ("MIT", ("mit-ref",)),
     ("BSD-{bsd}-Clause", ("bsd-ref",)),
     ("MPL-2.0", ("mpl-ref",)),
     ("MPL-2.0", ("mpl-short",)),
+    ("MPL-2.0", ("mpl-title",)),
     ("{cc}", ("cc-ref",)),
     ("CC0-1.0", ("cc0-ref",)),
     ("Unlicense", ("unlicense",)),
@@ -74,16 +81,26 @@ RULES = (
 )
 #: Every known sentence holds one of these, in any case, with anything but letters and digits between the words.
 TRIGGERS = ("released under", "distributed under", "creative commons", "licens", "permission", "copyright", "redistribut", "warrant", "free software", "free and unencumbered", "public domain", "cc0", "the software is provided", "liable", "neither the name")
-#: Pieces that one wrapped sentence may have, and other pieces that may stand between two sentences of a rule.
-PIECES, GAP = 24, 3
+#: Other pieces that may stand between two sentences of a rule.
+GAP = 3
 
-_PATTERNS = tuple((name, re.compile(pattern)) for name, pattern in SENTENCES)
+#: A mark and its expression, in the text as it is: names joined by operators in capitals, in brackets or not. What follows is no part of it.
+_SPDX = re.compile(r"spdx-license-identifier:\s*((?-i:\(?[A-Za-z0-9.+-]*[A-Za-z0-9+]\)*(?:\s+(?:OR|AND|WITH)\s+\(*[A-Za-z0-9.+-]*[A-Za-z0-9+]\)*)*))", re.I)
+
+
+def _compiled(pattern: str) -> re.Pattern:
+    """A sentence's pattern over pieces that are joined by line feeds: it begins where it is tried, ends where a piece ends, and takes no more than it must of any text."""
+    lazy = pattern.replace("(?: .*)?", "(?: .*)??").replace(".*", ".*?").replace(".*??", ".*?")
+    return re.compile(lazy.replace(" ", r"[ \n]") + r"(?=\n|\Z)", re.S)
+
+
+_PATTERNS = tuple((name, _compiled(pattern)) for name, pattern in SENTENCES)
 _TRIGGER = re.compile("|".join(t.replace(" ", "[^a-z0-9]+") for t in TRIGGERS))
 _CUT = re.compile(r"(?<=[.!?;:])\s+|\n+")
 _DROP = re.compile(r"[^a-z0-9.]+|\.(?!\d)|(?<!\d)\.")
-_START = re.compile(r"(?:this|the|you|see|unless|permission|redistribution|redistributions|neither|in no|in$|licensed|released|distributed|mit|spdx|\d|cc0|public)\b")
+_START = re.compile(r"(?:this|the|you|see|unless|permission|redistribution|redistributions|neither|in no|in$|licensed|released|distributed|mit|apache|gnu|mozilla|\d|cc0|public)\b")
 #: What may stand before a sentence in its first piece: any words before a mark, and a subject with its verb.
-_BEFORE = re.compile(r".*\b(?=(?:spdx|cc0|public(?: domain|$))\b)|.*\b(?:is|are) (?:also |hereby )?(?=(?:licensed|released|distributed)\b)")
+_BEFORE = re.compile(r".*\b(?=(?:cc0|public(?: domain|$))\b)|.*\b(?:is|are) (?:also |hereby )?(?=(?:licensed|released|distributed)\b)")
 
 
 @dataclass(frozen=True)
@@ -120,25 +137,31 @@ def _pieces(text: str) -> list[tuple[str, int, int]]:
 
 
 def known_sentences(text: str | None) -> list[Sentence]:
-    """Licence sentences in order; where several begin at a piece, the one with most pieces.
+    """Licence sentences in order; where several begin at a piece, the one that ends last.
 
     A sentence may have a subject and "is" or "are" before its verb, and an identifier of a licence may
-    have any words before it, in the piece that it begins in. How long pieces are does not matter.
+    have any words before it, in the piece that it begins in. Neither the length of pieces nor their
+    number matters. SPDX marks are found first, and their pieces belong to no other sentence.
     """
     if not text or not _TRIGGER.search(text.lower()):
         return []
-    pieces, found, i = _pieces(text), [], 0
+    pieces = _pieces(text)
+    ends = np.cumsum([len(words) + 1 for words, _, _ in pieces]).tolist()  # of each piece in the joined text, with the line feed
+    joined, found, i = "\n".join(words for words, _, _ in pieces), [], 0
+    marks = _marks(text, pieces)
     while i < len(pieces):
-        best = None
+        if i in marks:
+            found.append(marks[i])
+            i = marks[i].last + 1
+            continue
+        begin, best, reach = ends[i] - len(pieces[i][0]) - 1, None, 0
         for start in _starts(pieces[i][0]):
-            for j in range(i, min(i + PIECES, len(pieces))):
-                joined = start if j == i else f"{joined} {pieces[j][0]}"
-                for name, pattern in _PATTERNS:
-                    if m := pattern.fullmatch(joined):
-                        captured = tuple((k, v.strip()) for k, v in m.groupdict().items() if v)
-                        if best is None or best.name != name or not _open_end(name):
-                            best = Sentence(name, i, j, pieces[i][1], pieces[j][2], captured)
-                        break
+            for name, pattern in _PATTERNS:
+                if (m := pattern.match(joined, begin + start)) and m.end() > reach:
+                    last = bisect_left(ends, m.end() + 1)
+                    if not any(k in marks for k in range(i, last + 1)):
+                        reach = m.end()
+                        best = Sentence(name, i, last, pieces[i][1], pieces[last][2], tuple((k, " ".join(v.split())) for k, v in m.groupdict().items() if v))
             if best:
                 break
         if best:
@@ -147,30 +170,40 @@ def known_sentences(text: str | None) -> list[Sentence]:
     return found
 
 
-def _starts(piece: str) -> list[str]:
+def _marks(text: str, pieces: list[tuple[str, int, int]]) -> dict[int, Sentence]:
+    """SPDX marks by the piece that they begin in; the first of a piece counts."""
+    out: dict[int, Sentence] = {}
+    places = [end for _, _, end in pieces]
+    for m in _SPDX.finditer(text):
+        first, last = bisect_left(places, m.start() + 1), bisect_left(places, m.end())
+        if not out or first > next(reversed(out.values())).last:
+            out[first] = Sentence("spdx", first, last, pieces[first][1], pieces[last][2], (("spdx", " ".join(m[1].split())),))
+    return out
+
+
+def _starts(piece: str) -> list[int]:
     """Where in its first piece a sentence can begin: at once, and after what may stand before it."""
-    out = [piece] if _START.match(piece) else []
+    out = [0] if _START.match(piece) else []
     if (m := _BEFORE.match(piece)) and m.end():
-        out.append(piece[m.end() :])
+        out.append(m.end())
     return out
 
 
-def _open_end(name: str) -> bool:
-    """Whether a pattern would go on to take any text: its first match is enough."""
-    return ".*" in dict(SENTENCES)[name] or name == "spdx"
+def spdx_names(expression: str) -> list[str]:
+    """Licences of an SPDX expression, in capitals; an exception stays with its licence."""
+    plain = " ".join(expression.replace("(", " ").replace(")", " ").split())
+    return [name.upper() for name in re.split(" (?:OR|AND) ", plain)]
 
 
 def _name(template: str, captured: dict[str, str]) -> str:
     if template == "{gnu}":
-        kind = {"lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}.get(captured.get("gnu") or captured.get("gnu2", ""), "GPL")
-        version = captured.get("version") or captured["version2"]
+        kind = {"lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}.get(captured.get("gnu") or captured.get("gnu2") or captured.get("gnu3", ""), "GPL")
+        version = captured.get("version") or captured.get("version2") or captured["version3"]
         later = "or-later" if "later" in captured or "version2" in captured else "only"
         return f"{kind}-{version if '.' in version else version + '.0'}-{later}"
     if template == "{cc}":
         short = {"attribution": "BY", "by": "BY", "nc": "NC", "noncommercial": "NC", "commercial": "NC", "sa": "SA", "sharealike": "SA", "alike": "SA", "nd": "ND", "noderivatives": "ND", "derivatives": "ND"}
         return "-".join(["CC", *(short[w] for w in captured["cc"].split() if w in short), captured["ccv"]])
-    if template == "{spdx}":
-        return captured["spdx"].replace(" ", "-").upper()
     return template.format(bsd=captured.get("bsd") or captured.get("bsd2") or "3")
 
 
@@ -194,7 +227,8 @@ def match_rules(found: list[Sentence]) -> tuple[list[Match], list[str]]:
                 for k in chain:
                     used[k] = True
                 captured = {k: v for i in chain for k, v in found[i].captured}
-                matches.append(Match(_name(template, captured), found[start].begin, found[chain[-1]].end, len(chain)))
+                names_ = spdx_names(captured["spdx"]) if template == "{spdx}" else [_name(template, captured)]
+                matches += [Match(name, found[start].begin, found[chain[-1]].end, len(chain)) for name in names_]
     matches.sort(key=lambda m: (m.begin, m.end))
     return matches, [s.name for s, u in zip(found, used, strict=True) if not u]
 
