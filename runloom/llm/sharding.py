@@ -19,17 +19,17 @@ from pyspark.sql.window import Window as W
 
 from runloom.llm.tables import saved
 
-#: Buckets of the numbering: at 3e10 rows, seven million narrow rows a bucket.
-BUCKETS = 4096
+#: Buckets of the numbering, at least, and rows that a bucket has on average, at most.
+BUCKETS, BUCKET_ROWS = 4096, 100_000
 ROUNDS = 6
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
-    """``rows`` with a global number from 0: by hash bucket of the ``order`` columns, then by these columns. Ties get any order."""
-    held = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
+def numbered(rows: DataFrame, order: list[str], n: int, name: str = "row_number") -> DataFrame:
+    """The ``n`` ``rows`` with a global number from 0: by hash bucket of the ``order`` columns, then by these columns. Ties get any order."""
+    held = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(max(BUCKETS, -(-n // BUCKET_ROWS)))))
     before = held.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).select("_bucket", "_before")
     within = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
-    # at most BUCKETS rows are broadcast
+    # one narrow row a bucket: 300,000 at 3e10 rows
     return held.withColumn("_within", within).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_before") + F.col("_within")).drop("_bucket", "_before", "_within")
 
 
@@ -77,7 +77,7 @@ def shard(rows: DataFrame, order: list[str], shards: int = 8, seed: int = 0) ->
     """
     n = rows.count()
     shard_, slot = located(F.col("_place"), shards)
-    placed = numbered(rows.drop("shard", "slot", "row_number"), order).withColumn("_place", permuted(F.col("row_number"), max(n, 1), seed))
+    placed = numbered(rows.drop("shard", "slot", "row_number"), order, n).withColumn("_place", permuted(F.col("row_number"), max(n, 1), seed))
     return placed.withColumns({"shard": shard_, "slot": slot}).drop("_place", "row_number")
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import connection, rows_of_spark, rows_of_sql  # noqa: E402
@@ -106,3 +107,17 @@ def test_pipeline_with_null_and_repeated_ids(spark):
         total[r["source"]] += len(r["text"].split())
     assert {r["doc_id"] for r in got} == {None, 1, 2, 3}
     assert all(abs(total[s] - t) <= 120 + 0.02 * t for s, t in filled(sizes).items())
+
+
+def test_pipeline_passes_columns_of_any_name_through(spark):
+    names = ("score", "predicted", "_stats", "_row", "row", "document", "component_id", "n_words", "taken", "size", "id", "key", "term")
+    docs = saved(documents(spark, SF).withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names}))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in names)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert sorted(last.columns) == sorted([*docs.columns, "shard", "slot"])
+    assert last.count() == docs.count()

@@ -6,18 +6,24 @@ import gzip
 import hashlib
 import io
 import itertools
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from runloom.llm import chat_format as chat
-from runloom.llm import line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, warc
+from runloom.llm import decontaminate as decontaminate_module
+from runloom.llm import license_scan as license_scan_module
+from runloom.llm import line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, tables, warc
 from runloom.llm.components import components
 from runloom.llm.decontaminate import anchors, build_index, decontaminate, exact_matches, proximity_matches, windows, words_of
-from runloom.llm.license_scan import known_sentences, license_scan
+from runloom.llm.license_scan import SENTENCES, _pieces, known_sentences, license_scan
 from runloom.llm.tables import saved
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -153,9 +159,55 @@ def test_proximity(spark):
     assert {(r["doc_id"], abs(r["gap"])) for r in proximity_matches(index, anchor, 2).collect()} == {(2, 1), (3, 2)}
 
 
+def test_near_passages(spark):
+    """A word replaced, left out or added gives a proximity match, also where the passage has a word that no text has."""
+    rng = random.Random(13)
+    passage, other = ([f"{rng.choice(WORDS)}{i}" for i in range(40)] for _ in range(2))
+    texts = [(1, passage), (2, [*passage[:20], "nowhere", *passage[21:]]), (3, [*passage[:5], *passage[6:]]), (4, other), (None, [*passage[:8], "more", *passage[8:]]), (6, list(reversed(passage)))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", " ".join(passage)), ("b", " ".join(["absent", *passage[1:9], "gone"])), ("c", "word")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in decontaminate(df, bench, near=True).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 0), 4: (0, 0), None: (1, 1), 6: (0, 2)}  # reversed: neighbours are two words off
+
+
+def test_decontaminate_beyond_what_is_sent(spark, docs, rows, monkeypatch):
+    """Terms and ids that are too many to be sent are joined; the rows are the same."""
+    long = next(r[1] for r in rows if r[1] and len(r[1]) > 100_000).split()
+    bench = spark.createDataFrame([(1, " ".join(long[3:40])), (2, "one two")], "item_id long, text string")
+    wanted = sorted(map(repr, decontaminate(docs, bench, near=True).collect()))
+    monkeypatch.setattr(decontaminate_module, "SENT_ROWS", 1)
+    monkeypatch.setattr(decontaminate_module, "SENT_ANCHORS", 1)
+    monkeypatch.setattr(tables, "SENT_ROWS", 1)
+    assert sorted(map(repr, decontaminate(docs, bench, near=True).collect())) == wanted
+
+
 # 3
 
 
+def test_unrelated_short_sets_share_no_keys():
+    rng = np.random.default_rng(5)
+    for t in (ngram_jaccard.Threshold(85, 100), ngram_jaccard.Threshold(4, 5)):
+        for size in range(1, 21):
+            keys = [k for _ in range(2000) for k in ngram_jaccard.band_keys(np.unique(rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64)), t)]
+            assert len(keys) - len(set(keys)) < 100
+            assert bool(keys) == (t.partner(size) > size)
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (4, 5), (3, 5), (1, 2)])
+def test_similar_sets_share_a_key(num, den):
+    rng, t = np.random.default_rng(6), ngram_jaccard.Threshold(num, den)
+    for size in [*range(1, 40), 100, 300]:
+        for _ in range(20):
+            base = np.unique(rng.integers(0, 2**63, size, dtype=np.int64).astype(np.uint64))
+            largest = t.partner(size)
+            both = size - rng.integers(0, t.difference(size, size) // 2 + 1)
+            other = np.unique(np.concatenate([base[:both], rng.integers(0, 2**63, int(rng.integers(size - both, largest - both + 1)), dtype=np.int64).astype(np.uint64)]))
+            shared = len(np.intersect1d(base, other))
+            if shared < size or len(other) > size:
+                alike = den * shared >= num * (size + len(other) - shared)
+                assert not alike or set(ngram_jaccard.band_keys(base, t)) & set(ngram_jaccard.band_keys(other, t))
+
+
 def brute_components(texts, n, num, den):
     sets = {}
     for doc, text in texts:
@@ -220,6 +272,31 @@ def test_classifier_without_labels(spark, docs, rows):
     assert quality_classifier.classify_quality(docs, none).count() == len(rows)
 
 
+def test_scores_by_hand(spark, docs, rows):
+    """Scores recomputed from the rules in plain Python."""
+    rng = random.Random(14)
+    table = [(i, prose(rng, 60) if i % 3 else "*** " * rng.randrange(5, 60), int(i % 3 > 0)) for i in range(600)]
+    labelled = saved(spark.createDataFrame(table, "doc_id long, text string, quality int"))
+    model = quality_classifier.train(labelled.select("doc_id", "text"), labelled.select("doc_id", "quality"))
+    assert model.rules
+    got = quality_classifier.scored(docs.select("doc_id", "text"), model).collect()
+    for r in got:
+        held = dict(zip(quality_classifier.STATISTICS, quality_classifier.statistics_of((r["text"] or "").encode()), strict=True))
+        total = model.intercept + sum(weight for rule, weight in model.rules if all((held[b.name] > b.limit) == b.above for b in rule))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+        assert r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_statistics_by_hand():
+    text = "Ab ab, 12\n\nab. é! ab ab\nAb ab, 12"
+    words = text.split()
+    got = dict(zip(quality_classifier.STATISTICS, quality_classifier.statistics_of(text.encode()), strict=True))
+    assert (got["words"], got["chars"], got["breaks"]) == (len(words), len(text), text.count("\n") / len(text))
+    assert got["repeats"] == sum(a == b for a, b in itertools.pairwise(words)) / len(words)
+    assert (got["distinct"], got["same_lines"]) == pytest.approx((len(set(words)) / len(words), 1 / 3))
+    assert (got["capitals"], got["digits"]) == (sum(c in "ABC" for c in text) / len(text), sum(c in "12" for c in text) / len(text))
+
+
 def test_paths_of_a_tree():
     tree = "Tree: uid=x\n  If (feature 3 <= 0.5)\n   If (feature 3 <= 0.2)\n    Predict: 0.0\n   Else (feature 3 > 0.2)\n    Predict: 1.0\n  Else (feature 3 > 0.5)\n   Predict: 1.0\n"
     name = quality_classifier.STATISTICS[3]
@@ -303,9 +380,71 @@ def test_license_sentences_after_other_words(text, names):
     assert [s.name for s in known_sentences(text)] == names
 
 
+def brute_sentences(text):
+    """Every run of pieces against every pattern; of those that begin at a piece, the one that ends last."""
+    pieces, out, i = _pieces(text or ""), [], 0
+    while i < len(pieces):
+        best = None
+        for cut in license_scan_module._starts(pieces[i][0]):
+            for name, pattern in SENTENCES:
+                for j in range(i, len(pieces)):
+                    joined = " ".join([pieces[i][0][cut:], *(p[0] for p in pieces[i + 1 : j + 1])])
+                    if re.fullmatch(pattern, joined):
+                        if best is None or j > best[1]:
+                            best = (name, j, pieces[i][1], pieces[j][2])
+                        if ".*" in pattern:
+                            break
+            if best:
+                break
+        if best:
+            out.append((best[0], best[2], best[3]))
+        i = best[1] + 1 if best else i + 1
+    return out
+
+
+def test_sentences_against_all_runs_of_pieces():
+    rng = random.Random(15)
+    samples = [t for name, t in SAMPLES.items() if name != "spdx"]
+    texts = [t for t, _ in LICENSES if t and "SPDX" not in t and len(t) < 5000]
+    for _ in range(60):
+        parts = [rng.choice([rng.choice(samples), prose(rng, rng.randrange(1, 9)), rng.choice(samples).replace(" ", "\n", rng.randrange(9))]) for _ in range(rng.randrange(1, 7))]
+        texts.append(rng.choice(["\n", " ", ".\n"]).join(parts))
+    for text in texts:
+        assert [(s.name, s.begin, s.end) for s in known_sentences(text)] == brute_sentences(text)
+
+
+def test_long_and_wrapped_licences():
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, " + "including\nwithout\nlimit\n" * 300 + "and so on, subject to the following conditions:"
+    assert [s.name for s in known_sentences(wrapped)] == ["mit-grant"]
+    full = {"Apache License\n   Version 2.0, January 2004\n  http://www.apache.org/licenses/\n": "Apache-2.0", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nPreamble": "GPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": None, "Mozilla Public License\nVersion 2.0": "MPL-2.0"}
+    for text, name in full.items():
+        assert [m.license for m in license_scan_module.match_rules(known_sentences(text))[0]] == ([name] if name else [])
+
+
+def test_spdx_expressions():
+    names = lambda text: [m.license for m in license_scan_module.match_rules(known_sentences(text))[0]]
+    assert names("SPDX-License-Identifier: MIT OR Apache-2.0 and trailing words here") == ["MIT", "APACHE-2.0"]
+    assert names("/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND MIT */") == ["GPL-2.0-ONLY WITH CLASSPATH-EXCEPTION-2.0", "MIT"]
+    assert names("x\nspdx-license-identifier: 0BSD.\nReleased under the MIT License.") == ["0BSD", "MIT"]
+
+
 # 6
 
 
+def test_very_long_lines(spark):
+    """Lines that are hashed in pieces have the signatures and sketches of whole ones, and their near copies are found."""
+    rng = random.Random(16)
+    line = line_dedup.normal_line(prose(rng, 150_000).replace("\n", " "))
+    assert len(line) > line_dedup._CHARS
+    assert (line_dedup._long_signature(line, 5) == line_dedup.signatures([line])).all()
+    for x, y in zip(line_dedup._long_sketch(line, 5), line_dedup.sketches([line]), strict=True):
+        assert (x == y).all()
+    rare = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(4_000_000))
+    texts = [(1, rare), (2, rare[:2_000_000] + "x" + rare[2_000_000:] + "\nanother line"), (3, line)]
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: []}
+
+
 def test_lines(spark, docs, rows, nothing):
     places = {}
     for doc, text, *_ in rows:
@@ -410,6 +549,51 @@ def test_divergence(spark):
     assert quality_rules.js_distance(np.array([1.0, 3]), np.array([2.0, 6])) == 0.0
 
 
+def language_rows(rng):
+    """A large language, the empty string and null as languages, and one language with a document in each task."""
+    rows = [(i, prose(rng, 200), "xx") for i in range(150)] + [(1000 + i, prose(rng, 200).upper(), "") for i in range(150)]
+    rows += [(2000 + i, " ".join(w[::-1] for w in prose(rng, 200).split()), "thin") for i in range(150)] + [(3000 + i, prose(rng, 150), None) for i in range(150)]
+    return rows + [(4000, prose(rng, 200), "few"), (4001, prose(rng, 200).upper(), "xx"), (4002, prose(rng, 200), "")]
+
+
+def test_languages_of_any_name(spark):
+    rows = language_rows(random.Random(17))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(12)
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    assert all(got[i]["kept"] for i, _, lang in rows[:600])
+    assert (got[4000]["class_distance"], got[4000]["kept"]) == (None, True)
+    assert not got[4001]["kept"]
+    assert not got[4002]["kept"]
+    total = {lang: Counter(w for _, t, x in rows if x == lang for w in t.split()) for lang in ("xx", "", "thin", None)}
+    refs = {r["lang"]: {bytes(w).decode(): n for w, n in zip(r["words"], r["counts"], strict=False)} for r in quality_rules.references(df.select("lang", "text")).collect()}
+    assert refs == {lang: {w: n for w, n in c.items() if n >= quality_rules.COMMON * c.total()} for lang, c in total.items()}
+
+
+def test_more_languages_than_are_sent(spark, monkeypatch):
+    df = saved(spark.createDataFrame(language_rows(random.Random(17)), "doc_id long, text string, lang string").repartition(5))
+    wanted = sorted(map(repr, quality_rules.quality_rules(df).collect()))
+    monkeypatch.setattr(quality_rules, "SENT_LANGUAGES", 1)
+    assert sorted(map(repr, quality_rules.quality_rules(df).collect())) == wanted
+
+
+def test_rare_words_are_dropped_from_counts(monkeypatch):
+    """With few counters, bounds still hold: no common word is missed."""
+    monkeypatch.setattr(quality_rules, "COUNTERS", 64)
+    rng = random.Random(18)
+    words = [f"w{min(int(rng.paretovariate(1.1)), 100_000)}" for _ in range(60_000)]
+    bounds, floors = Counter(), 0.0
+    for part in range(6):
+        texts = [" ".join(words[i : i + 100]).encode() for i in range(part * 10_000, part * 10_000 + 10_000, 100)]
+        for batch in quality_rules._spotted(iter([pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], ["lang", "text"])])):
+            for r in batch.to_pylist():
+                if r["word"] is None:
+                    floors += r["counts"][1]
+                else:
+                    bounds[r["word"].decode()] += r["over"]
+    for word, n in Counter(words).items():
+        assert n <= bounds[word] + floors + 1e-6
+
+
 # 8
 
 
