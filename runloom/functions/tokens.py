@@ -6,7 +6,7 @@ A breakdown is a struct of input, output, cached and reasoning counts, each null
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,11 +20,15 @@ USAGE_PATHS = ("input_tokens", "output_tokens", "input_tokens_details.cached_tok
 TEXT_COUNT = r"[_-]?tokens?[\"'\s:=]+(\d+)"
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once, however often ``of`` uses it: plans would repeat it for each use."""
+    return F.transform(F.array(value), of)[0]
+
+
 def strict_json(text: Column) -> Column:
     """The one JSON value that the text is, else null. As an element of an array, nothing may follow it."""
     held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    second = F.try_variant_get(held, "$[1]", "variant")
-    return F.when(second.isNull(), F.try_variant_get(held, "$[0]", "variant"))
+    return once(held, lambda h: F.when(F.try_variant_get(h, "$[1]", "variant").isNull(), F.try_variant_get(h, "$[0]", "variant")))
 
 
 def kind(value: Column) -> Column:
@@ -46,7 +50,7 @@ def text_at(value: Column, path: str, only_text: bool = False) -> Column:
 def number_at(value: Column, path: str) -> Column:
     """A number at a path; strings of digits are none."""
     at = F.try_variant_get(value, path, "variant")
-    return F.when(kind(at).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, path, "double").cast("long"))
+    return once(at, lambda x: F.when(kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(x, "$", "double").cast("long")))
 
 
 def breakdown(parts: dict[str, Column]) -> Column:
@@ -79,16 +83,16 @@ def session_breakdown(event: Column, info: str = "$.payload.info") -> Column:
     """The larger of the total and the last usage of an event, the total if they tie; null if all is zero."""
 
     def usage(name: str) -> Column:
-        b = breakdown({p: number_at(event, f"{info}.{name}.{k}") for p, k in zip(PARTS, SESSION_KEYS, strict=True)})
-        return F.when(~is_zero(b), b)
+        at = F.try_variant_get(event, f"{info}.{name}", "variant")
+        return once(once(at, lambda u: breakdown({p: number_at(u, f"$.{k}") for p, k in zip(PARTS, SESSION_KEYS, strict=True)})), lambda b: F.when(~is_zero(b), b))
 
-    total, last = usage("total_token_usage"), usage("last_token_usage")
-    return F.when(total.isNull() | (last.isNotNull() & (score(last) > score(total))), last).otherwise(total)
+    both = F.struct(usage("total_token_usage").alias("total"), usage("last_token_usage").alias("last"))
+    return once(both, lambda b: F.when(b["total"].isNull() | (b["last"].isNotNull() & (score(b["last"]) > score(b["total"]))), b["last"]).otherwise(b["total"]))
 
 
 def usage_breakdown(value: Column, path: str) -> Column:
     """A usage object's counts, zero where absent."""
-    return breakdown({p: F.coalesce(number_at(value, f"{path}.{k}"), F.lit(0)) for p, k in zip(PARTS, USAGE_PATHS, strict=True)})
+    return once(F.try_variant_get(value, path, "variant"), lambda u: breakdown({p: F.coalesce(number_at(u, f"$.{k}"), F.lit(0)) for p, k in zip(PARTS, USAGE_PATHS, strict=True)}))
 
 
 def body_json(body: Column) -> Column:
@@ -96,7 +100,7 @@ def body_json(body: Column) -> Column:
     bare = F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
     brace = F.instr(body, "{")
     value = F.when(bare.rlike(r"^[\[{]"), strict_json(bare)).when(brace > 0, strict_json(F.substring(body, brace, F.length(body))))
-    return F.when(is_container(value), value)
+    return once(value, lambda x: F.when(is_container(x), x))
 
 
 def _scanned(text: str | None) -> tuple[int, int, int, int] | None:

@@ -69,13 +69,16 @@ def log_breakdowns(bodies: DataFrame) -> DataFrame:
     """
     v = F.col("v")
     held = bodies.withColumn("v", tokens.body_json(F.col("body")))
-    response, direct = tokens.usage_breakdown(v, "$.response.usage"), tokens.usage_breakdown(v, "$.usage")
-    held = held.withColumn("usage", F.when(~tokens.is_zero(response), response).when(~tokens.is_zero(direct), direct))
+
+    def counts(path: str, rest: Column) -> Column:
+        return tokens.once(tokens.usage_breakdown(v, path), lambda b: F.when(~tokens.is_zero(b), b).otherwise(rest))
+
+    held = held.withColumn("usage", counts("$.response.usage", counts("$.usage", F.lit(None).cast(tokens.BREAKDOWN))))
     open_ = F.col("usage").isNull() & v.isNotNull() & F.col("body").rlike("(?i)token")
     bare = F.regexp_replace(F.col("body"), r"(?U)^\s+|\s+$", "")
     json_text = F.when(bare.rlike(r"^[\[{]"), bare).otherwise(F.substring(F.col("body"), F.instr("body", "{"), F.length("body")))
     held = held.withColumn("scan", tokens.scan_breakdown(F.when(open_, json_text)))
-    found = F.when(F.col("usage").isNotNull(), F.col("usage")).when(F.coalesce(~tokens.is_zero(F.col("scan")), F.lit(False)), F.col("scan")).otherwise(tokens.text_breakdown(F.col("body")))
-    held = held.select("thread_id", found.alias("b")).where(~tokens.is_zero(F.col("b")))
+    scanned = tokens.once(F.col("scan"), lambda b: F.when(~tokens.is_zero(b), b))  # null where nothing was scanned
+    held = held.select("thread_id", F.coalesce("usage", scanned, tokens.text_breakdown(F.col("body"))).alias("b"))
     sums = [F.sum(F.coalesce(f"b.{p}", F.lit(0))).alias(p) for p in tokens.PARTS]
-    return held.groupBy("thread_id").agg(*sums, F.count("*").alias("rows"))
+    return held.groupBy("thread_id").agg(*sums, F.count_if(~tokens.is_zero(F.col("b"))).alias("rows")).where("rows > 0")
