@@ -15,15 +15,22 @@ threads AS (
 
 _LOGS = """
 logs AS (
-  SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT) * 10) AS BIGINT) AS input, CAST(sum(l_linenumber) AS BIGINT) AS output,
+  SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'gone-' ELSE '' END || l_orderkey AS log_id, CAST(sum(CAST(l_quantity AS BIGINT) * 10) AS BIGINT) AS input, CAST(sum(l_linenumber) AS BIGINT) AS output,
          CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) * 4 ELSE 0 END) AS BIGINT) AS cached
-  FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1)"""
+  FROM lineitem GROUP BY 1)"""
 
-_RUNS = f"""{_THREADS}, {_LOGS},
+_SHIPPED = """
+ship AS (SELECT l_orderkey, l_shipdate AS t, epoch_ms(l_shipdate) - lag(epoch_ms(l_shipdate)) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate) AS gap FROM lineitem),
+sessions AS (SELECT l_orderkey, min(t) AS a, max(t) AS b, coalesce(sum(least(greatest(gap, 0), 1800000)) FILTER (WHERE gap IS NOT NULL), 0) AS active FROM ship GROUP BY 1),
+named AS (SELECT CASE WHEN l_orderkey % 5 < 2 THEN '' ELSE 'gone-' END || l_orderkey AS session_id, a, b, active FROM sessions)"""
+
+_RUNS = f"""{_THREADS}, {_LOGS}, {_SHIPPED},
+timed AS (SELECT t.*, coalesce(a, created_at) AS start_time, coalesce(b, updated_at) AS end_time, coalesce(active, 0) AS active FROM threads t LEFT JOIN named ON session_id = id),
 runs AS (
-  SELECT t.*, created_at AS start_time, updated_at AS end_time, least((o_orderkey % 37) * 1800000, {DAY_CAP}) AS duration_ms,
+  SELECT t.*, CAST(CASE WHEN active > 0 THEN active ELSE least(greatest(epoch_ms(end_time) - epoch_ms(start_time), 0), {DAY_CAP}) END AS BIGINT) AS duration_ms,
+         CASE WHEN active > 0 THEN 'jsonl-events' ELSE 'thread-span' END AS duration_method,
          input, output, cached, CASE WHEN input IS NULL THEN 'Breakdown unavailable for this run.' END AS reason
-  FROM threads t LEFT JOIN logs ON l_orderkey = o_orderkey)"""
+  FROM timed t LEFT JOIN logs ON log_id = id)"""
 
 _RATE = "CASE WHEN {i} > 0 THEN round(CAST(coalesce({c}, 0) AS DOUBLE) / {i}, 6) END"
 _SUMS = f"""CAST(coalesce(sum(input), 0) AS BIGINT) AS input, CAST(coalesce(sum(output), 0) AS BIGINT) AS output, CAST(coalesce(sum(cached), 0) AS BIGINT) AS cached,
@@ -72,7 +79,7 @@ def _preset(name: str, where: str) -> str:
 def _profile() -> str:
     ends = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
     rows = []
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents", "embeddings", "benchmark", "labels", "conversations"):
         e = [f"strftime({f}({ends[t]}), '%Y-%m-%d %H:%M:%S')" if t in ends else "CAST(NULL AS VARCHAR)" for f in ("min", "max")]
         columns = f"(SELECT string_agg(column_name, ',') FROM (DESCRIBE {t}))"
         rows.append(f"SELECT '{t}' AS source, true AS found, count(*) AS rows, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INTEGER) AS n_columns, {columns} AS columns, {e[0]} AS earliest, {e[1]} AS latest FROM {t}")
@@ -85,6 +92,15 @@ a AS (SELECT count(*) AS runs, CAST(sum(total_tokens) AS BIGINT) AS tokens, CAST
 SELECT *, CAST(380 AS INTEGER) AS calendar_days, round(CAST(tokens AS DOUBLE) / runs, 4) AS tokens_per_run, round(tokens / 380.0, 4) AS tokens_per_day, round(CAST(agent_time_ms AS DOUBLE) / runs, 4) AS time_per_run_ms,
   round(CAST(agent_time_ms AS DOUBLE) / active_days, 4) AS time_per_active_day_ms, round(agent_time_ms / 380.0, 4) AS time_per_day_ms, round(runs / 380.0, 4) AS runs_per_day FROM a"""
 
+_FILES = """lines AS (SELECT user_id % 40 AS b, event_id, user_id, event_type, value, ts, epoch_us(ts) // 1000 AS ms, event_id % 7 AS kind, CAST(floor(value) AS BIGINT) AS t_in, event_id % 90 AS t_out, event_id % 50 AS t_c, event_id % 100 AS l_in FROM events),
+used AS (SELECT *, kind >= 3 AND l_in > 0 AND l_in > t_in + t_out AS by_last, kind >= 3 AND (t_in > 0 OR t_out > 0 OR t_c > 0) AS by_total FROM lines),
+counts AS (SELECT *, CASE WHEN by_last THEN l_in WHEN by_total THEN t_in END AS input, CASE WHEN by_last THEN NULL WHEN by_total THEN t_out END AS output, CASE WHEN by_last THEN NULL WHEN by_total THEN t_c END AS cached, by_last OR by_total AS counted FROM used)"""
+_CODES = "'parse_warning' AS code, 'warning' AS severity"
+_BROKEN = f"""f AS (SELECT printf('s%02d', b) AS file, count(*) FILTER (WHERE kind = 1) AS n FROM lines GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY file) AS k FROM f WHERE n > 0)
+SELECT {_CODES}, 'jsonl lines could not be parsed' AS message, CAST(n AS VARCHAR) AS args, file AS source FROM r WHERE k <= 20
+UNION ALL SELECT {_CODES}, 'more files with warnings', CAST(count(*) - 20 AS VARCHAR), '' FROM r HAVING count(*) > 20
+UNION ALL SELECT 'missing_source', 'warning', 'columns are missing', 'created_at,updated_at,cwd', 'threads'"""
+
 _NUMBERS = """numbers AS (SELECT workspace_id, row_number() OVER (ORDER BY age, id, workspace_id) AS number FROM (
   SELECT workspace_id, -epoch_us(start_time) AS age, id, row_number() OVER (PARTITION BY workspace_id ORDER BY start_time DESC, id) AS n FROM runs) WHERE n = 1)"""
 
@@ -94,12 +110,7 @@ ORACLE_SQL = {
     "session_best_breakdown": "SELECT user_id, max_by(event_id, (CAST(floor(value) AS BIGINT), ts, event_id)) FILTER (WHERE event_type <> 'view') AS best_event FROM events GROUP BY 1",
     "session_dedup_by_id": f"WITH {_SESSIONS} SELECT id, event_id, archived FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY archived DESC, event_id) AS n FROM s) WHERE n = 1",
     "session_dedup_by_stem": f"WITH {_SESSIONS} SELECT stem, event_id, archived FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY archived DESC, event_id DESC) AS n FROM s) WHERE n = 1",
-    "runs_two_key_lookup": f"""WITH {_THREADS},
-ship AS (SELECT l_orderkey, l_shipdate AS t, epoch_ms(l_shipdate) - lag(epoch_ms(l_shipdate)) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate) AS gap FROM lineitem WHERE l_orderkey % 5 IN (0, 1)),
-f AS (SELECT l_orderkey, min(t) AS a, max(t) AS b, coalesce(sum(least(greatest(gap, 0), 1800000)) FILTER (WHERE gap IS NOT NULL), 0) AS active FROM ship GROUP BY 1),
-j AS (SELECT id, coalesce(a, created_at) AS start_time, coalesce(b, updated_at) AS end_time, coalesce(active, 0) AS active, total_tokens FROM threads LEFT JOIN f ON l_orderkey = o_orderkey)
-SELECT id, start_time, end_time, CAST(CASE WHEN active > 0 THEN active ELSE least(greatest(epoch_ms(end_time) - epoch_ms(start_time), 0), {DAY_CAP}) END AS BIGINT) AS duration_ms,
-  CASE WHEN active > 0 THEN 'jsonl-events' ELSE 'thread-span' END AS duration_method, total_tokens FROM j""",
+    "runs_two_key_lookup": f"WITH {_RUNS} SELECT id, start_time, end_time, duration_ms, duration_method, total_tokens FROM runs",
     "run_breakdown_coalesce": f"WITH {_RUNS} SELECT id, input, output, cached, CAST(NULL AS BIGINT) AS reasoning, {_RATE.format(i='input', c='cached')} AS cache_hit_rate, reason AS unavailable_reason FROM runs",
     "epoch_fallback": "SELECT event_id, make_timestamp(CASE WHEN event_id % 3 = 0 AND event_id > 0 THEN event_id * 1000003 * 1000 WHEN event_id % 3 < 2 AND event_id > 0 THEN event_id * 1000 * 1000000 ELSE 0 END) AS created_at FROM events",
     "schema_drift_defaults": """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'Untitled run' AS title, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority ELSE 'unknown' END AS model, 'unknown' AS model_provider, '(unknown)' AS cwd,
@@ -116,7 +127,7 @@ SELECT d.key AS key, coalesce(tokens, 0) AS tokens, coalesce(floor(ms / 36000.0
     "top_workspaces": f"""WITH {_RUNS}, w AS (SELECT workspace_id, workspace_name, count(*) AS runs, CAST(sum(total_tokens) AS BIGINT) AS all_time_tokens, CAST(sum(duration_ms) AS BIGINT) AS all_time_agent_time_ms FROM runs GROUP BY 1, 2)
 SELECT workspace_name, runs, all_time_tokens, all_time_agent_time_ms FROM w ORDER BY all_time_tokens + all_time_agent_time_ms DESC, workspace_id LIMIT 8""",
     "orphan_sessions": f"""WITH {_THREADS} SELECT CAST(l_orderkey AS VARCHAR) AS id, min(l_shipdate) AS start_time, max(l_shipdate) AS end_time FROM lineitem
-WHERE l_orderkey % 5 IN (0, 1) AND l_orderkey NOT IN (SELECT o_orderkey FROM threads WHERE NOT archived) GROUP BY l_orderkey""",
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM threads WHERE NOT archived) GROUP BY l_orderkey""",
     "peak_bucket_time": f"WITH {_buckets(False)} SELECT key, agent_time_ms FROM buckets ORDER BY agent_time_ms DESC, key LIMIT 1",
     "peak_bucket_tokens": f"WITH {_buckets(True)} SELECT key, tokens FROM buckets ORDER BY tokens DESC, key LIMIT 1",
     "longest_streak": """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), i AS (SELECT user_id, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM d)
@@ -165,7 +176,35 @@ UNION ALL SELECT 'parse_warning', 'warning', 'more files with warnings', CAST(co
     "runs_csv_roundtrip": f"""WITH {_RUNS}, {_NUMBERS} SELECT id, title, 'Workspace ' || number AS workspace, 'Workspace ' || number AS workspace_path, strftime(start_time, '%Y-%m-%dT%H:%M:%S.000Z') AS start_time, strftime(end_time, '%Y-%m-%dT%H:%M:%S.000Z') AS end_time,
   CAST(duration_ms // 60000 AS VARCHAR) AS duration_minutes, model, CAST(total_tokens AS VARCHAR) AS tokens, CASE WHEN archived THEN 'true' ELSE 'false' END AS archived, '' AS rollout_path FROM runs r JOIN numbers n ON n.workspace_id = r.workspace_id""",
     "summary_json": f"WITH {_RUNS} SELECT count(*) AS runs, CAST(sum(total_tokens) AS BIGINT) AS tokens, CAST(sum(duration_ms) AS BIGINT) AS agent_time_ms, count(DISTINCT CAST(start_time AS DATE)) AS active_days, CAST(count(DISTINCT date_trunc('week', start_time)) AS INTEGER) AS weeks FROM runs",
-    "materialized_runs": f"WITH {_RUNS} SELECT CAST(start_time AS DATE) AS start_date, count(*) AS runs, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM runs WHERE start_time >= DATE '1996-01-01' AND start_time < DATE '1996-02-01' GROUP BY 1",
+    "materialized_runs": f"WITH {_RUNS} SELECT CAST(start_time AS DATE) AS start_date, count(*) AS runs, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM runs GROUP BY 1",
+    "session_jsonl": f"""WITH {_FILES},
+g AS (SELECT b, ts, least(greatest(ms - lag(ms) OVER (PARTITION BY b ORDER BY ts), 0), 10800000) AS gap FROM lines WHERE kind NOT IN (1, 2)),
+t AS (SELECT b, min(ts) AS start_time, max(ts) AS end_time, CAST(coalesce(sum(gap), 0) AS BIGINT) AS active_ms FROM g GROUP BY 1),
+m AS (SELECT b, max_by('u' || user_id, event_id) FILTER (WHERE kind = 0) AS id, max_by('/w/' || event_type, event_id) FILTER (WHERE kind = 0) AS cwd, max_by(event_type, event_id) FILTER (WHERE kind = 0 AND value > 50) AS model,
+  max_by(struct_pack(input, output, cached), (coalesce(input, 0) + coalesce(output, 0), event_id)) FILTER (WHERE counted) AS best, count(*) FILTER (WHERE kind = 1) AS parse_warnings FROM counts GROUP BY 1)
+SELECT printf('s%02d', m.b) AS stem, coalesce(id, printf('s%02d', m.b)) AS id, m.b % 4 = 0 AS archived, cwd, model, start_time, end_time, coalesce(active_ms, 0) AS active_ms, best.input AS input, best.output AS output, best.cached AS cached, CAST(NULL AS BIGINT) AS reasoning, parse_warnings
+FROM m LEFT JOIN t ON t.b = m.b""",
+    "session_jsonl_live": f"WITH {_FILES} SELECT printf('s%02d', b) AS stem, count(*) AS lines, count(*) FILTER (WHERE kind = 1) AS broken, count(*) FILTER (WHERE counted) AS counts FROM counts WHERE b % 4 <> 0 AND kind <> 2 GROUP BY 1",
+    "session_file_count": "SELECT count(DISTINCT user_id % 40) AS files FROM events",
+    "stream_session_lines": f"WITH {_FILES} SELECT printf('s%02d', b) AS stem, count(*) AS lines, count(*) FILTER (WHERE kind = 1) AS broken, count(*) FILTER (WHERE kind <> 1) AS times FROM lines WHERE b % 4 <> 0 AND kind <> 2 GROUP BY 1",
+    "usage_warnings": f"""WITH {_FILES}, {_BROKEN} UNION ALL SELECT 'privacy', 'info', 'conversation text is not read', '', '' UNION ALL SELECT 'no_log_tokens', 'info', 'no log row has tokens', '', ''""",
+    "actionable_warnings": f"WITH {_FILES}, {_BROKEN}",
+    "exports": f"""WITH {_buckets(True)}, e AS (
+  SELECT 'daily-csv' AS kind, count(*) AS rows, CAST(sum(tokens) AS BIGINT) AS tokens, count(DISTINCT top_workspace) AS names, 1 AS hidden FROM buckets
+  UNION ALL SELECT 'summary-json', count(*), CAST(sum(tokens) AS BIGINT), count(DISTINCT top_workspace), 1 FROM buckets
+  UNION ALL SELECT 'runs-csv', count(*), CAST(sum(total_tokens) AS BIGINT), count(DISTINCT workspace_name), count(DISTINCT workspace_id) FROM runs)
+SELECT kind, true AS full_paths, rows, tokens, names FROM e UNION ALL SELECT kind, false, rows, tokens, hidden FROM e""",
+    "project_tables": f"""WITH {_RUNS}, own AS (SELECT * FROM runs WHERE {_NATION_3}), r AS (SELECT * FROM own WHERE start_time >= DATE '1996-02-20' AND start_time < DATE '1997-03-06')
+SELECT 'workspace' AS part, workspace_name AS key, CAST(sum(total_tokens) AS DOUBLE) AS value FROM own GROUP BY 2
+UNION ALL SELECT 'average', 'tokens_per_day', round(sum(total_tokens) / 380.0, 4) FROM r
+UNION ALL SELECT 'bucket', strftime(date_trunc('week', start_time), '%Y-%m-%d'), CAST(sum(total_tokens) AS DOUBLE) FROM r GROUP BY 2
+UNION ALL (SELECT 'recent', id, CAST(total_tokens AS DOUBLE) FROM r ORDER BY start_time DESC, id LIMIT 10)""",
+    "snapshot_tables": f"""WITH {_RUNS}, r AS (SELECT * FROM runs WHERE start_time >= DATE '1996-02-20' AND start_time < DATE '1997-03-06'),
+d AS (SELECT DISTINCT CAST(start_time AS DATE) AS day FROM r), i AS (SELECT day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM d)
+SELECT 'totals' AS part, 'all' AS key, CAST(sum(total_tokens) AS BIGINT) AS value FROM runs
+UNION ALL SELECT 'streak', 'days', max(n) FROM (SELECT island, count(*) AS n FROM i GROUP BY 1)
+UNION ALL (SELECT 'peak', strftime(date_trunc('week', start_time), '%Y-%m-%d') AS k, CAST(sum(total_tokens) AS BIGINT) AS v FROM r GROUP BY 2 ORDER BY v DESC, k LIMIT 1)
+UNION ALL (SELECT 'run', id, total_tokens FROM r ORDER BY start_time DESC, id LIMIT 250)""",
     "stream_active_time": f"WITH {_ACTIVE} SELECT user_id, count(*) AS events, CAST(coalesce(sum(CASE WHEN before IS NOT NULL THEN gap END), 0) AS BIGINT) AS active_ms FROM gaps GROUP BY 1",
     "stream_buckets": "SELECT strftime(ts, '%Y-%m-%d') AS key, count(*) AS events, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1",
     "stream_week_buckets": "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS key, count(*) AS events, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1",

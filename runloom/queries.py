@@ -25,7 +25,7 @@ CAP_MS = 180 * 60_000
 EVENTS_NOW = datetime(2024, 1, 30, 13, 30)
 RUNS_NOW = datetime(2001, 8, 1, 13, 30)
 CONFIG = UsageConfig(ignored=())
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents", "embeddings", "benchmark", "labels", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,27 +53,32 @@ def thread_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as log counts of two thirds of the threads."""
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0")
-    q = F.col("l_quantity").cast("long")
-    return items.groupBy(F.col("l_orderkey").cast("string").alias("thread_id")).agg(
+    """Line items as log counts of threads; those of every third order name a thread that is not there."""
+    items, key, q = table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.col("l_quantity").cast("long")
+    thread = F.concat(F.when(key % 3 == 0, F.lit("gone-")).otherwise(F.lit("")), key.cast("string"))
+    return items.groupBy(thread.alias("thread_id")).agg(
         F.sum(q * 10).alias("input"), F.sum(F.col("l_linenumber").cast("long")).alias("output"),
         F.sum(F.when(F.col("l_returnflag") == "R", q * 4).otherwise(0)).alias("cached"), F.lit(None).cast("long").alias("reasoning"),
     )
 
 
-def order_sessions(spark: SparkSession, sf_dir: str, where: str, key: str) -> DataFrame:
-    """Ship dates of some orders as events of a session."""
-    held = table(spark, sf_dir, "lineitem").where(where).select("l_orderkey", F.col("l_shipdate").cast("timestamp").alias("t"))
+def order_sessions(spark: SparkSession, sf_dir: str, known: Column, name: str, prefix: str = "") -> DataFrame:
+    """Ship dates of each order as events of a session, named by its order where ``known``, else by an order that is not there."""
+    held = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("timestamp").alias("t"))
     found = sessions.active_time(held, ["l_orderkey"], "t", CONFIG.idle_cap_ms)
-    name = F.col("l_orderkey").cast("string") if key == "id" else F.concat(F.lit("rollout-"), F.col("l_orderkey").cast("string"))
-    return found.select(name.alias(key), "start_time", "end_time", "active_ms", F.lit(None).cast(tokens.BREAKDOWN).alias("breakdown"))
+    own = F.concat(F.lit(prefix), F.when(known, F.lit("")).otherwise(F.lit("gone-")), F.col("l_orderkey").cast("string"))
+    return found.select(own.alias(name), "start_time", "end_time", "active_ms", F.lit(None).cast(tokens.BREAKDOWN).alias("breakdown"))
 
 
-def runs(spark: SparkSession, sf_dir: str, by_sessions: bool = False) -> DataFrame:
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
-    ids, stems = (order_sessions(spark, sf_dir, w, k) for w, k in (("l_orderkey % 5 = 0" if by_sessions else "false", "id"), ("l_orderkey % 5 in (0, 1)" if by_sessions else "false", "stem")))
-    return fact.build_runs(threads, ids, stems, token_logs(spark, sf_dir), CONFIG)
+def all_sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions by id, which a fifth of the orders have, and by stem, which these and another fifth have."""
+    fifth = F.col("l_orderkey") % 5
+    return order_sessions(spark, sf_dir, fifth == 0, "id"), order_sessions(spark, sf_dir, fifth < 2, "stem", "rollout-")
+
+
+def runs(spark: SparkSession, sf_dir: str, config: UsageConfig = CONFIG) -> DataFrame:
+    threads = fact.normalize_threads(thread_table(spark, sf_dir), config)
+    return fact.build_runs(threads, *all_sessions(spark, sf_dir), token_logs(spark, sf_dir), config)
 
 
 def plain_times(df: DataFrame) -> DataFrame:
@@ -122,7 +127,7 @@ def session_dedup_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs_two_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain_times(runs(spark, sf_dir, True).select("id", "start_time", "end_time", "duration_ms", "duration_method", "total_tokens"))
+    return plain_times(runs(spark, sf_dir).select("id", "start_time", "end_time", "duration_ms", "duration_method", "total_tokens"))
 
 
 def run_breakdown_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,12 +192,9 @@ def top_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of orders whose customer is in the table, held against the runs of unarchived threads."""
-    config = UsageConfig(ignored=(), include_archived=False)
-    held = fact.normalize_threads(thread_table(spark, sf_dir), config)
-    ids, stems = (order_sessions(spark, sf_dir, "l_orderkey % 5 in (0, 1)", k) for k in ("id", "stem"))
-    found = ids.withColumn("stem", F.concat(F.lit("rollout-"), F.col("id")))
-    made = fact.build_runs(held, ids, stems, token_logs(spark, sf_dir), config)
+    """Sessions of all orders, held against the runs of unarchived threads."""
+    found = order_sessions(spark, sf_dir, F.lit(True), "id").withColumn("stem", F.concat(F.lit("rollout-"), F.col("id")))
+    made = runs(spark, sf_dir, UsageConfig(ignored=(), include_archived=False))
     return plain_times(diagnostics.orphan_sessions(found, made).select("id", "start_time", "end_time"))
 
 
@@ -215,8 +217,7 @@ def all_time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workspace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = UsageConfig(ignored=("C:/asia",), include_archived=False)
     threads = fact.normalize_threads(thread_table(spark, sf_dir), config)
-    none = order_sessions(spark, sf_dir, "false", "id"), order_sessions(spark, sf_dir, "false", "stem")
-    return plain_times(rollups.workspace_summary(fact.build_runs(threads, *none, token_logs(spark, sf_dir), config), threads))
+    return plain_times(rollups.workspace_summary(runs(spark, sf_dir, config), threads))
 
 
 def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,6 +286,74 @@ def anonymize_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.anonymize_buckets(rollups.usage_buckets(runs(spark, sf_dir), weekly=True)).select("key", "label", "runs", "top_workspace")
 
 
+# session files
+
+
+def _session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of 40 session files, by user: what a session is, token counts, blank and broken lines."""
+    e, n = events(spark, sf_dir), F.col("event_id")
+    bucket, kind, at = F.col("user_id") % 40, n % 7, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+    meta = F.struct(F.concat(F.lit("u"), F.col("user_id")).alias("id"), F.concat(F.lit("/w/"), F.col("event_type")).alias("cwd"), F.when(F.col("value") > 50, F.col("event_type")).alias("model"))
+    total = F.struct(F.floor("value").alias("input_tokens"), (n % 90).alias("output_tokens"), (n % 50).alias("cached_input_tokens"))
+    info = F.struct(total.alias("total_token_usage"), F.struct((n % 100).alias("input_tokens")).alias("last_token_usage"))
+    count = F.struct(F.lit("token_count").alias("type"), info.alias("info"))
+    line = F.when(kind == 1, F.lit("{broken")).when(kind == 2, F.lit("  ")).when(kind == 0, F.to_json(F.struct(at, F.lit("session_meta").alias("type"), meta.alias("payload")))).otherwise(F.to_json(F.struct(at, F.lit("event_msg").alias("type"), count.alias("payload"))))
+    return e.select(F.format_string("s%02d", bucket).alias("file"), (bucket % 4 == 0).alias("archived"), n.alias("at"), line.alias("line"))
+
+
+def _session_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The lines as .jsonl files in a folder of live sessions and one of archived ones."""
+    lines, folder = _session_lines(spark, sf_dir), shared_folder(spark)
+    for name, wanted in (("live", ~F.col("archived")), ("archived", F.col("archived"))):
+        sinks.write_session_files(lines.where(wanted), f"{folder}/{name}")
+    return f"{folder}/live", f"{folder}/archived"
+
+
+def session_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session files, scanned and read back: one row a session."""
+    found = sessions.by_id(sessions.session_files(readers.session_events(readers.session_lines(spark, *_session_folders(spark, sf_dir))), CAP_MS))
+    parts = [F.col(f"breakdown.{p}").alias(p) for p in tokens.PARTS]
+    return plain_times(found.select("stem", "id", "archived", "cwd", "model", "start_time", "end_time", "active_ms", *parts, "parse_warnings"))
+
+
+def session_jsonl_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by file, of live sessions only."""
+    lines = readers.session_lines(spark, *_session_folders(spark, sf_dir), include_archived=False)
+    stem = paths.file_stem(F.col("file")).alias("stem")
+    return readers.session_events(lines).groupBy(stem).agg(F.count("*").alias("lines"), F.count_if("broken").alias("broken"), F.count("breakdown").alias("counts"))
+
+
+def session_file_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.file_count(readers.session_lines(spark, *_session_folders(spark, sf_dir)))
+
+
+def stream_session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of live session files as a stream: lines, broken ones and times by file."""
+    found = stream.session_events(spark, _session_folders(spark, sf_dir)[0])
+    stem = paths.file_stem(F.col("file")).alias("stem")
+    return stream.drained(found.groupBy(stem).agg(F.count("*").alias("lines"), F.count_if("broken").alias("broken"), F.sum(F.size("times").cast("long")).alias("times")), "stem", "update")
+
+
+def _warnings(spark: SparkSession, sf_dir: str, use_logs: bool) -> DataFrame:
+    threads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("tokens_used"))
+    bodies = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("thread_id"), F.concat(F.lit("no counts here, "), F.col("event_type")).alias("feedback_log_body"))
+    found = sessions.session_files(readers.session_events(_session_lines(spark, sf_dir).withColumn("at", F.struct(F.lit(0).cast("long").alias("block"), F.col("at").alias("row")))), CAP_MS)
+    missing = {"threads": readers.missing_columns(threads, readers.REQUIRED), "orders": []}
+    return diagnostics.warnings(spark, found, missing, use_logs, sessions.log_breakdowns(readers.log_bodies(bodies)))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("code", "severity", "message", F.coalesce(F.array_join(F.array_sort(F.map_values("args")), ","), F.lit("")).alias("args"), F.coalesce("source", F.lit("")).alias("source"))
+
+
+def usage_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_warnings(spark, sf_dir, True))
+
+
+def actionable_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(diagnostics.actionable(_warnings(spark, sf_dir, False)))
+
+
 # logs
 
 
@@ -331,6 +400,35 @@ def project_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.project_detail(held, rollups.workspace_summary(held, threads), wanted, UsageFilter(preset="all"), RUNS_NOW)["models"]
 
 
+def project_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other tables of project_detail(): workspace, average, buckets, and the newest runs, a row for each with its numbers."""
+    held = runs(spark, sf_dir)
+    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
+    wanted = spark.range(1).select(paths.workspace_id(F.lit("C:\\EUROPE\\NATION_3"))).first()[0]
+    tables = report.project_detail(held, rollups.workspace_summary(held, threads), wanted, UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05"), RUNS_NOW)
+    made = [
+        tables["workspace"].select(F.lit("workspace").alias("part"), F.col("workspace_name").alias("key"), F.col("all_time_tokens").cast("double").alias("value")),
+        tables["average"].select(F.lit("average").alias("part"), F.lit("tokens_per_day").alias("key"), F.round("tokens_per_day", 4).alias("value")),
+        tables["buckets"].select(F.lit("bucket").alias("part"), "key", F.col("tokens").cast("double").alias("value")),
+        tables["recent"].select(F.lit("recent").alias("part"), F.col("id").alias("key"), F.col("total_tokens").cast("double").alias("value")),
+    ]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+def snapshot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, streak, peak and newest runs of a snapshot, a row for each with its number."""
+    held = runs(spark, sf_dir)
+    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
+    tables = report.snapshot(held, rollups.workspace_summary(held, threads), UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05"), RUNS_NOW)
+    made = [
+        tables["totals"].select(F.lit("totals").alias("part"), F.lit("all").alias("key"), F.col("all_tokens").alias("value")),
+        tables["streak"].select(F.lit("streak").alias("part"), F.lit("days").alias("key"), F.col("longest_streak_days").cast("long").alias("value")),
+        tables["peak_by_tokens"].select(F.lit("peak").alias("part"), "key", F.col("tokens").alias("value")),
+        tables["runs"].select(F.lit("run").alias("part"), F.col("id").alias("key"), F.col("total_tokens").alias("value")),
+    ]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
     found = diagnostics.source_profile(spark, {name: (table(spark, sf_dir, name), ends.get(name)) for name in TABLES} | {"threads": (None, None)})
@@ -367,9 +465,31 @@ def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*(F.variant_get(v, f"$.{c}", "long").alias(c) for c in ("runs", "tokens", "agent_time_ms", "active_days")), F.size(F.from_json("json", "daily array<struct<key: string>>")["daily"]).alias("weeks"))
 
 
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three kinds with and without full paths, written and read back: rows, tokens and names of workspaces."""
+    held, span = runs(spark, sf_dir), UsageFilter(preset="all").resolve(RUNS_NOW)
+    buckets = rollups.usage_buckets(held, weekly=True)
+    tables, made = {"buckets": buckets, "runs": held, "summary": rollups.range_summary(held, span), "models": rollups.model_usage(held)}, []
+    likes = {"daily-csv": (sinks.daily_csv(buckets), "top_workspace"), "runs-csv": (sinks.runs_csv(held), "workspace")}
+    for full in (True, False):
+        for kind in ("daily-csv", "runs-csv", "summary-json"):
+            sinks.export(kind, path := shared_folder(spark), tables, full)
+            if kind in likes:
+                like, name = likes[kind]
+                back = sinks.read_csv(like, path).select(F.col("tokens").cast("long").alias("tokens"), F.col(name).alias("name"))
+            else:
+                daily = F.from_json("value", "daily array<struct<tokens: bigint, top_workspace: string>>")["daily"]
+                back = spark.read.text(path).select(F.explode(daily).alias("d")).select("d.tokens", F.col("d.top_workspace").alias("name"))
+            made.append(back.agg(F.lit(kind).alias("kind"), F.lit(full).alias("full_paths"), F.count("*").alias("rows"), F.sum("tokens").alias("tokens"), F.count_distinct("name").alias("names")))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def materialized_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = sinks.materialize_runs(runs(spark, sf_dir), shared_folder(spark))
-    return kept.where("start_date >= '1996-01-01' and start_date < '1996-02-01'").groupBy("start_date").agg(F.count("*").alias("runs"), F.sum("total_tokens").alias("tokens"))
+    return kept.groupBy("start_date").agg(F.count("*").alias("runs"), F.sum("total_tokens").alias("tokens"))
 
 
 # streams
@@ -402,7 +522,7 @@ QUERIES = {
         peak_bucket_time, peak_bucket_tokens, longest_streak,
         all_time_bounds, workspace_summary, model_usage, recent_runs, recent_sessions, cache_hit_rate, path_normalize, workspace_id, display_name, alias_rewrite,
         hidden_workspaces, anonymize_runs, anonymize_workspaces, anonymize_buckets, log_text_tokens, log_json_tokens, log_recursive_tokens, format_metrics,
-        metric_cards, project_detail, source_profile, parse_warnings_capped, daily_csv_roundtrip, runs_csv_roundtrip, summary_json, materialized_runs,
+        metric_cards, project_detail, project_tables, snapshot_tables, source_profile, parse_warnings_capped, session_jsonl, session_jsonl_live, session_file_count, usage_warnings, actionable_warnings, exports, stream_session_lines, daily_csv_roundtrip, runs_csv_roundtrip, summary_json, materialized_runs,
         stream_active_time, stream_buckets, stream_week_buckets,
     )
 }

@@ -49,10 +49,22 @@ def summary_json(summary: DataFrame, buckets: DataFrame, models: DataFrame) -> D
     return summary.crossJoin(days).crossJoin(by_model).select(F.to_json(F.struct(*summary.columns, "daily", "models")).alias("json"))  # three tables of one row
 
 
+def write_session_files(lines: DataFrame, folder: str) -> None:
+    """Lines (file, at, line) as <folder>/<file>.jsonl, each in order. A file is written by one task; the driver only renames files."""
+    lines.repartition("file").sortWithinPartitions("file", "at").select("file", "line").write.partitionBy("file").text(folder)
+    context = lines.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    for status in system.globStatus(path(f"{folder}/file=*/part-*")) or ():
+        name = status.getPath().getParent().getName().removeprefix("file=")
+        system.rename(status.getPath(), path(f"{folder}/{name}.jsonl"))
+
+
 def materialize_runs(runs: DataFrame, path: str) -> DataFrame:
-    """The fact table by start date, so that ranges read their days only."""
-    held = runs.withColumn("start_date", F.to_date("start_time"))
-    held.repartition("start_date", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("start_date").parquet(path)
+    """The fact table by start month, in order of time within its files: a range reads its months only, and of these the row groups of its days."""
+    held = runs.withColumns({"start_date": F.to_date("start_time"), "start_month": F.date_format("start_time", "yyyy-MM")})
+    dealt = held.repartition("start_month", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("start_month", "start_time")
+    dealt.write.mode("overwrite").partitionBy("start_month").parquet(path)
     return runs.sparkSession.read.parquet(path)
 
 

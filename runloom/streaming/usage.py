@@ -17,10 +17,10 @@ from runloom.sources.scratch import shared_folder
 
 
 def session_events(spark: SparkSession, folder: str, archived: bool = False) -> DataFrame:
-    """The session events of files that appear in a folder, as a stream."""
+    """The session events of files that appear in a folder, as a stream. Streams number no lines, so ``at`` orders the events of a file by their time."""
     read = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").text(folder)
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return readers.session_events(read.select(F.col("_metadata.file_path").alias("file"), F.lit(archived).alias("archived"), at.alias("at"), F.col("value").alias("line")))
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.lit(archived).alias("archived"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"))
+    return readers.session_events(lines).withColumn("at", F.struct(F.col("at").alias("block"), F.unix_micros(F.get("times", F.lit(0))).alias("row")))
 
 
 def usage_buckets(events: DataFrame, time: str, late: str, sums: dict[str, str], weekly: bool = False) -> DataFrame:
