@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.config import AliasRule
@@ -37,16 +37,33 @@ def plain_path(path: str) -> str:
     return bare or UNKNOWN
 
 
+def resolved(aliases: Iterable[AliasRule]) -> dict[str, str]:
+    """Where each source, lower-cased, ends up when each rule sees what earlier ones made."""
+    ends: dict[str, str] = {}
+    for rule in reversed([r for r in aliases if r.enabled and r.source.strip()]):
+        target = plain_path(rule.target or rule.source)
+        ends[plain_path(rule.source).lower()] = ends.get(target.lower(), target)
+    return ends
+
+
 def normalize(path: Column, aliases: Iterable[AliasRule] = ()) -> Column:
     """The path in one notation, rewritten by alias rules; each rule sees what earlier ones made."""
-    value = _known(_plain(path))
-    for rule in aliases:
-        if rule.enabled and rule.source.strip():
-            source = plain_path(rule.source)
-            value = F.when(F.lower(value) == source.lower(), F.lit(plain_path(rule.target or rule.source))).otherwise(value)
+    value = plain = _known(_plain(path))
+    for source, target in resolved(aliases).items():
+        value = F.when(F.lower(plain) == source, F.lit(target)).otherwise(value)
     return value
 
 
+def with_path(df: DataFrame, raw: str, name: str, aliases: Iterable[AliasRule] = (), most: int = 32) -> DataFrame:
+    """``df`` with ``name``, the normalised path in ``raw``. More than ``most`` rules are no expression but a table of their ends, sent to all tasks and joined."""
+    ends = resolved(aliases)
+    if len(ends) <= most:
+        return df.withColumn(name, normalize(F.col(raw), aliases))
+    rules = F.broadcast(df.sparkSession.createDataFrame(list(ends.items()), "_source string, _target string"))  # as large as the job's parameter
+    held = df.withColumn(name, normalize(F.col(raw))).join(rules, F.lower(name) == F.col("_source"), "left")
+    return held.withColumn(name, F.coalesce("_target", name)).drop("_source", "_target")
+
+
 def workspace_id(path: Column) -> Column:
     """URL-safe Base64 of the lower-cased path, without padding."""
     coded = F.regexp_replace(F.base64(F.encode(F.lower(path), "UTF-8")), r"[\r\n=]", "")
@@ -69,6 +86,18 @@ def is_ignored(path: Column, ignored: Iterable[str]) -> Column:
     return found
 
 
+def hidden_by(df: DataFrame, name: str, ignored: DataFrame) -> DataFrame:
+    """``df`` with hidden: whether the path in ``name`` equals one of a table ``ignored`` (path) or lies below it, whatever the case.
+
+    Each distinct path is split into itself and the folders above it, and these are joined by equality.
+    """
+    parts = F.split(F.lower("_path"), r"\\")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "\\"))
+    wanted = ignored.select(F.lower(normalize(F.col("path"))).alias("_at")).distinct()
+    hits = df.select(F.col(name).alias("_path")).distinct().withColumn("_at", F.explode(above)).join(wanted, "_at", "left_semi").select("_path").distinct()
+    return df.join(hits, F.col(name) == F.col("_path"), "left").withColumn("hidden", F.col("_path").isNotNull()).drop("_path")
+
+
 def file_stem(path: Column) -> Column:
     """File name without the ending .jsonl; null for an empty path."""
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1), r"(?<=.)\.jsonl$", "")

@@ -24,7 +24,7 @@ def normalize_threads(df: DataFrame, config: UsageConfig) -> DataFrame:
     held = threads(df)
     path = F.col("workspace_path")
     return (
-        held.withColumn("workspace_path", paths.normalize(F.col("cwd"), config.aliases))
+        paths.with_path(held, "cwd", "workspace_path", config.aliases)
         .select(
             F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("thread-"), F.lower(F.hex(F.xxhash64(*held.columns))))).alias("id"),
             _filled("title", UNTITLED).alias("title"), _filled("model", UNNAMED).alias("model"), _filled("model_provider", UNNAMED).alias("model_provider"),

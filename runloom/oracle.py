@@ -145,6 +145,9 @@ FROM runs WHERE NOT starts_with(workspace_path, 'C:\\ASIA\\') GROUP BY 1, 2, 3""
     "display_name": f"WITH {_PAGES} SELECT page_id, list_last(string_split(path, '\\')) AS name FROM p",
     "alias_rewrite": f"""WITH {_THREADS} SELECT CASE WHEN workspace_path = 'C:\\ASIA\\NATION_2' THEN 'E:\\east\\two' WHEN workspace_path = 'C:\\AMERICA\\NATION_1' THEN 'C:\\america\\nation_1' ELSE workspace_path END AS workspace_path,
   CASE WHEN workspace_path = 'C:\\ASIA\\NATION_2' THEN 'two' WHEN workspace_path = 'C:\\AMERICA\\NATION_1' THEN 'nation_1' ELSE workspace_name END AS workspace_name, count(*) AS threads FROM threads GROUP BY 1, 2""",
+    "alias_table": f"""WITH {_THREADS} SELECT CASE WHEN regexp_full_match(workspace_path, 'C:.ASIA.NATION_[0-9]+') AND CAST(regexp_extract(workspace_path, '[0-9]+$') AS INTEGER) < 40 THEN 'E:\\last\\' || regexp_extract(workspace_path, '[0-9]+$') ELSE workspace_path END AS workspace_path, count(*) AS threads FROM threads GROUP BY 1""",
+    "ignored_table": f"""WITH {_THREADS}, g AS (SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'C:\\' || r_name ELSE 'C:\\AMERICA\\NATION_1' END AS p FROM region)
+SELECT workspace_path, EXISTS (SELECT 1 FROM g WHERE lower(workspace_path) = lower(p) OR starts_with(lower(workspace_path), lower(p) || '\\')) AS hidden, count(*) AS threads FROM threads GROUP BY 1, 2""",
     "hidden_workspaces": f"""WITH {_THREADS} SELECT workspace_path, starts_with(workspace_path, 'C:\\AFRICA\\') OR starts_with(workspace_path, 'C:\\ASIA\\') OR workspace_path = 'C:\\AMERICA\\NATION_1' AS hidden, count(*) AS threads FROM threads GROUP BY 1, 2""",
     "anonymize_runs": f"""WITH {_RUNS}, {_NUMBERS} SELECT id, title, substr(sha256(r.workspace_id), 1, 16) AS workspace_id, 'Workspace ' || number AS workspace_name, 'Workspace ' || number AS workspace_path, CAST(NULL AS VARCHAR) AS rollout_path
 FROM runs r JOIN numbers n ON n.workspace_id = r.workspace_id""",

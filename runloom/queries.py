@@ -264,6 +264,19 @@ def alias_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.normalize_threads(thread_table(spark, sf_dir), UsageConfig(aliases=rules)).groupBy("workspace_path", "workspace_name").agg(F.count("*").alias("threads"))
 
 
+def alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty chains of two rules, more than an expression holds."""
+    rules = tuple(AliasRule(f"c:/asia/nation_{i}", f"d:/moved/{i}") for i in range(40)) + tuple(AliasRule(f"D:/MOVED/{i}", f"e:/last/{i}/") for i in range(40))
+    return fact.normalize_threads(thread_table(spark, sf_dir), UsageConfig(aliases=rules)).groupBy("workspace_path").agg(F.count("*").alias("threads"))
+
+
+def ignored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with an even key and one nation as a table of ignored paths."""
+    regions = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("c:/"), "r_name", F.lit("/"))).otherwise(F.lit("C:\\AMERICA\\nation_1")).alias("path"))
+    held = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG).drop("hidden")
+    return paths.hidden_by(held, "workspace_path", regions).groupBy("workspace_path", "hidden").agg(F.count("*").alias("threads"))
+
+
 def hidden_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ignored = ("C:/Africa", "c:\\asia\\", "C:/EUROPE/NATION_1", "c:/america/nation_1")
     held = fact.normalize_threads(thread_table(spark, sf_dir), UsageConfig(ignored=ignored))
@@ -520,7 +533,7 @@ QUERIES = {
         session_active_time, session_last_meta, session_best_breakdown, session_dedup_by_id, session_dedup_by_stem, runs_two_key_lookup, run_breakdown_coalesce,
         epoch_fallback, schema_drift_defaults, daily_usage, weekly_usage, preset_totals, range_summary_custom, chart_points, visible_runs, top_workspaces, orphan_sessions,
         peak_bucket_time, peak_bucket_tokens, longest_streak,
-        all_time_bounds, workspace_summary, model_usage, recent_runs, recent_sessions, cache_hit_rate, path_normalize, workspace_id, display_name, alias_rewrite,
+        all_time_bounds, workspace_summary, model_usage, recent_runs, recent_sessions, cache_hit_rate, path_normalize, workspace_id, display_name, alias_rewrite, alias_table, ignored_table,
         hidden_workspaces, anonymize_runs, anonymize_workspaces, anonymize_buckets, log_text_tokens, log_json_tokens, log_recursive_tokens, format_metrics,
         metric_cards, project_detail, project_tables, snapshot_tables, source_profile, parse_warnings_capped, session_jsonl, session_jsonl_live, session_file_count, usage_warnings, actionable_warnings, exports, stream_session_lines, daily_csv_roundtrip, runs_csv_roundtrip, summary_json, materialized_runs,
         stream_active_time, stream_buckets, stream_week_buckets,
