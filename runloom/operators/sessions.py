@@ -12,16 +12,28 @@ from runloom.functions.times import millis
 
 
 def capped_gap(time: Column, session: list[str], cap_ms: int) -> Column:
-    """Milliseconds since the session's event before, at most the cap. The first event has none."""
+    """Milliseconds since the session's event before, at most the cap. The first event has none (null)."""
     before = F.lag(millis(time)).over(W.partitionBy(*session).orderBy(time))
-    return F.least(F.greatest(millis(time) - before, F.lit(0)), F.lit(cap_ms))
+    return F.when(before.isNotNull(), F.least(F.greatest(millis(time) - before, F.lit(0)), F.lit(cap_ms)))
+
+
+#: Events of a session are ordered within slices of so many milliseconds, so that a session with a third of all events is no task's work.
+SLICE_MS = 3_600_000
 
 
 def active_time(events: DataFrame, session: list[str], time: str, cap_ms: int) -> DataFrame:
-    """Per session: start_time, end_time, events and active_ms, the sum of gaps between its events, each up to the cap."""
-    gap = F.when(F.lag(time).over(W.partitionBy(*session).orderBy(time)).isNotNull(), capped_gap(F.col(time), session, cap_ms))
-    held = events.where(F.col(time).isNotNull()).withColumn("_gap", gap)
-    return held.groupBy(*session).agg(F.min(time).alias("start_time"), F.max(time).alias("end_time"), F.count("*").alias("events"), F.coalesce(F.sum("_gap"), F.lit(0)).alias("active_ms"))
+    """Per session: start_time, end_time, events and active_ms, the sum of gaps between its events, each up to the cap.
+
+    Gaps within a slice of time come first; then each slice meets the one before it.
+    """
+    held = events.where(F.col(time).isNotNull()).select(*session, F.col(time).alias("_t")).withColumn("_slice", F.floor(millis(F.col("_t")) / SLICE_MS))
+    held = held.withColumn("_gap", capped_gap(F.col("_t"), [*session, "_slice"], cap_ms))
+    slices = held.groupBy(*session, "_slice").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count("*").alias("_n"), F.sum("_gap").alias("_within"))
+    before = F.lag("_last").over(W.partitionBy(*session).orderBy("_slice"))
+    between = F.when(before.isNotNull(), F.least(millis(F.col("_first")) - millis(before), F.lit(cap_ms)))
+    found = slices.withColumn("_between", between).groupBy(*session)
+    active = F.coalesce(F.sum("_within"), F.lit(0)) + F.coalesce(F.sum("_between"), F.lit(0))
+    return found.agg(F.min("_first").alias("start_time"), F.max("_last").alias("end_time"), F.sum("_n").alias("events"), active.alias("active_ms"))
 
 
 def last_known(value: str, order: str) -> Column:
