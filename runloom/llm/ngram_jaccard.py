@@ -16,7 +16,7 @@ and nearly empty blocks, which many sets share, are left out first. Two sets who
 block is empty are found under another seed, named by the block. At low similarities small sets
 would mostly have empty blocks; each of their members is a block of its own.
 
-Candidates are first compared by a second sketch, one of about as many bits as the sets have members:
+Candidates are first compared by a second sketch, one of several bits for each member of the sets:
 a pair whose sketches differ in more bits than similar sets of these sizes can is no pair. What is
 left is verified on the sets.
 
@@ -41,7 +41,8 @@ from runloom.llm.tables import discard, keep_ids, saved, text_bytes
 
 #: Sketches of a set that has empty blocks under one seed after the other.
 DEEPEST = 8
-MOST_BITS = 1 << 14
+#: A comparing sketch has MARK_BITS to twice that for each member of a set, up to MOST_BITS in all.
+MARK_BITS, MOST_BITS = 4, 1 << 15
 _WORDS_KEPT = 200_000
 _ODD = 0x9E3779B97F4A7C15
 
@@ -158,7 +159,7 @@ def band_keys(grams: np.ndarray, t: Threshold) -> list[int]:
 
 def parity(grams: np.ndarray, band: int, top: int) -> np.ndarray:
     """The comparing sketch of a band: bit i tells whether an odd number of members fall on i. Larger sets share MOST_BITS bits, which only weakens the bound."""
-    bits = min(max(64, 1 << top.bit_length()), MOST_BITS)
+    bits = min(max(64, MARK_BITS << top.bit_length()), MOST_BITS)
     spread = _mix(grams ^ np.uint64(~band * _ODD % 2**64)) % np.uint64(bits)
     return np.packbits((np.bincount(spread.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -168,36 +169,60 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
-_MADE = "doc_id long, n_shingles long, high long, low long, band int, sketch array<long>, above array<long>, keys array<long>"
+_MADE = "doc_id long, n_shingles long, high long, low long, keys array<long>"
+_SETS = "id long, n long, band int, sketch array<long>, above array<long>, folded array<long>, grams binary"
+#: Longs that a sketch is folded to.
+FOLD = 8
+
+
+def _named(kinds: str) -> list[str]:
+    return [c.split()[0] for c in kinds.split(", ")]
 
 
 def _classes(n: int, t: Threshold):
-    """A row for each text: size and digest of its set, its home band, sketches for this band and the next one, and its keys."""
+    """A row for each text: size and digest of its set, and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for batch in batches:
-            numbers, sketches, above, keys = [], [], [], []
+            numbers, keys = [], []
             for text in batch.column("text"):
                 grams = shingle_set(text.as_py(), n, hashes)
-                digest, band = xxhash.xxh128_digest(grams.tobytes()), t.band(max(1, len(grams)))
-                numbers.append((len(grams), *(int.from_bytes(half, "big", signed=True) for half in (digest[:8], digest[8:])), band))
-                sketches.append(parity(grams, band, t.top(band)))
-                above.append(parity(grams, band + 1, t.top(band + 1)) if t.band(max(1, t.partner(len(grams)))) > band else np.empty(0, np.int64))
+                digest = xxhash.xxh128_digest(grams.tobytes())
+                numbers.append((len(grams), *(int.from_bytes(half, "big", signed=True) for half in (digest[:8], digest[8:]))))
                 keys.append(np.array(band_keys(grams, t), np.uint64).view(np.int64))
-            columns = zip(*numbers, strict=True) if numbers else [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), _lists(sketches), _lists(above), _lists(keys)], [c.split()[0] for c in _MADE.split(", ")])
+            columns = zip(*numbers, strict=True) if numbers else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), _lists(keys)], _named(_MADE))
 
     return run
 
 
-def _sets(n: int):
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    """A sketch whose bits are gathered in FOLD longs by exclusive or: it differs from another in no more bits than before."""
+    whole = np.zeros(max(FOLD, len(sketch)), np.int64)  # lengths are powers of two
+    whole[: len(sketch)] = sketch
+    return np.bitwise_xor.reduce(whole.reshape(-1, FOLD), axis=0)
+
+
+def _sets(n: int, t: Threshold):
+    """A row for each text: its set, and sketches for its home band and, if it is a guest there, the next one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for batch in batches:
-            grams = [shingle_set(text.as_py(), n, hashes).tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(grams, pa.binary())], ["id", "grams"])
+            for part in range(0, len(batch), 500):
+                rows = batch.slice(part, 500)
+                sizes, bands, sketches, above, held = [], [], [], [], []
+                for text in rows.column("text"):
+                    grams = shingle_set(text.as_py(), n, hashes)
+                    size = max(1, len(grams))
+                    band = t.band(size)
+                    sizes.append(len(grams))
+                    bands.append(band)
+                    sketches.append(parity(grams, band, t.top(band)))
+                    above.append(parity(grams, band + 1, t.top(band + 1)) if t.band(t.partner(size)) > band else np.empty(0, np.int64))
+                    held.append(grams.tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(bands, pa.int32()), _lists(sketches), _lists(above), _lists([np.concatenate([_folded(x), _folded(y)]) for x, y in zip(sketches, above, strict=True)]), pa.array(held, pa.binary())], _named(_SETS))
 
     return run
 
@@ -216,30 +241,20 @@ def _similar(t: Threshold):
 
 
 def _near(t: Threshold):
-    """Whether two marks' sketches differ in no more bits than similar sets of their sizes can."""
+    """Whether two marks' sketches differ in no more bits than similar sets of their sizes can. Folded ones tell most pairs apart at less cost."""
 
     def near(x: str, y: str) -> Column:
         x, y = F.col(x), F.col(y)
-        bits_x = F.when(x["band"] < y["band"], x["above"]).otherwise(x["sketch"])
-        bits_y = F.when(y["band"] < x["band"], y["above"]).otherwise(y["sketch"])
+        x_low, y_low = x["band"] < y["band"], y["band"] < x["band"]
+        most = (x["n"] + y["n"]) * (t.den - t.num)
+        folds = [F.when(x_low, x["folded"][FOLD + i]).otherwise(x["folded"][i]).bitwiseXOR(F.when(y_low, y["folded"][FOLD + i]).otherwise(y["folded"][i])) for i in range(FOLD)]
+        bits_x, bits_y = F.when(x_low, x["above"]).otherwise(x["sketch"]), F.when(y_low, y["above"]).otherwise(y["sketch"])
         distance = F.aggregate(F.zip_with(bits_x, bits_y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0).cast("long"), lambda total, bits: total + bits)
-        return distance * (t.den + t.num) <= (x["n"] + y["n"]) * (t.den - t.num)
+        return (sum(map(F.bit_count, folds), F.lit(0)).cast("long") * (t.den + t.num) <= most) & (distance * (t.den + t.num) <= most)
 
     return near
 
 
-def _verifier(docs: DataFrame, n: int, t: Threshold, kept: list[DataFrame]):
-    """For linked(): the sets of the ids that share keys are written once, to a table that ``kept`` gets."""
-
-    def of(nodes: DataFrame):
-        sets = saved(keep_ids(docs, nodes.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", text_bytes()).mapInArrow(_sets(n), "id long, grams binary").dropDuplicates(["id"]))
-        kept.append(sets)
-        a, b = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-        return lambda pairs: saved(pairs.join(a, "a").join(b, "b").mapInArrow(_similar(t), "a long, b long"))
-
-    return of
-
-
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text; more columns are ignored).
 
@@ -254,12 +269,21 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int
     members = made.select("doc_id", "n_shingles", "high", "low")
     classes = saved(members.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("id")))
     ids = classes.where("id is not null").select("id")
-    reps = made.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumn("id", F.col("doc_id"))
-    mark = F.struct(F.col("n_shingles").alias("n"), "band", "sketch", "above").alias("mark")
-    nodes = reps.select("id", F.col("n_shingles").alias("n"), mark).dropDuplicates(["id"])
-    fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
+    reps = made.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     kept: list[DataFrame] = []
-    found = linked(reps.select(F.explode("keys").alias("key"), "id"), lambda ids: nodes.join(ids, "id", "left_semi"), fits, _near(t), _verifier(docs, n, t, kept))
+
+    def nodes(shared: DataFrame) -> DataFrame:
+        """Sets and sketches of the ids that share keys, written once."""
+        held = keep_ids(docs, shared.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", text_bytes())
+        kept.append(saved(held.mapInArrow(_sets(n, t), _SETS).dropDuplicates(["id"])))
+        return kept[0].select("id", "n", F.struct("n", "band", "sketch", "above", "folded").alias("mark"))
+
+    def verifier(_: DataFrame):
+        a, b = (kept[0].select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+        return lambda pairs: saved(pairs.join(a, "a").join(b, "b").mapInArrow(_similar(t), "a long, b long"))
+
+    fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
+    found = linked(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), nodes, fits, _near(t), verifier)
     discard(*kept)
 
     labels = classes.join(found, "id", "left").select("high", "low", F.coalesce("component", "id").alias("component"))
