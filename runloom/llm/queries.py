@@ -12,6 +12,7 @@ from runloom.llm.line_dedup import dedup_lines
 from runloom.llm.mixing import mix_documents
 from runloom.llm.ngram_jaccard import ngram_jaccard_components
 from runloom.llm.oracle import ORACLE_SQL
+from runloom.llm.packing import pack_documents
 from runloom.llm.quality_classifier import classify_quality
 from runloom.llm.quality_rules import quality_rules
 from runloom.llm.sharding import shard_documents
@@ -66,9 +67,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_decontaminate, op3_ngram_jaccard, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_quality_rules, op8_sharding, op9_warc, op10_mixing)
+    for f in (op1_chat_format, op2_decontaminate, op3_ngram_jaccard, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_quality_rules, op8_sharding, op9_warc, op10_mixing, op12_packing)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -22,8 +22,8 @@ from runloom.llm.tables import documents, saved  # noqa: E402
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def test_ten_queries():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
