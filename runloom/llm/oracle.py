@@ -80,4 +80,41 @@ f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY 1)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON f.d = p.d"""
 
-ORACLE_SQL = {"op1_chat_format": CHAT_FORMAT, "op2_decontaminate": DECONTAMINATE, "op3_ngram_jaccard": NGRAM_JACCARD, "op7_quality_rules": QUALITY_RULES, "op9_warc": WARC}
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({k}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+
+CONVERSATION_REPAIR = rf"""WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t, {_CRC.format(k="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS t, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t, copy) AS i FROM d),
+c AS (SELECT *, substr(role, 1, 1) AS x, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS y,
+  CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, t ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '' AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS rep FROM c
+  UNION ALL SELECT conv_id, i, s, cost, audit, rep FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) AS k FROM (
+    SELECT c.conv_id AS conv_id, c.i AS i, CASE l WHEN 'D' THEN s WHEN 'K' THEN x WHEN 'R' THEN CASE s WHEN 'u' THEN 'a' ELSE 'u' END END AS s,
+      cost + CASE l WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN l <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost, audit || l AS audit,
+      rep || CASE WHEN l = 'D' THEN '' ELSE CASE WHEN s = '' THEN '' ELSE chr(10) END || CASE WHEN l = 'K' THEN role WHEN s = 'u' THEN 'assistant' ELSE 'user' END || ':' || t END AS rep
+    FROM dp JOIN c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.i = dp.i + 1, (VALUES ('D'), ('K'), ('R')) e(l)
+    WHERE l = 'D' OR (fault IN ('', 'truncated') AND (l = 'R' OR x = CASE s WHEN 'u' THEN 'a' ELSE 'u' END OR (s = '' AND x = 's'))))) WHERE k = 1),
+n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE x || y NOT IN ('su', 'ua', 'au')) AS illegal FROM c GROUP BY 1),
+b AS (SELECT dp.conv_id AS conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, rep, row_number() OVER (PARTITION BY dp.conv_id ORDER BY cost, audit) AS k FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i WHERE s IN ('', 'a'))
+SELECT v.conv_id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(rep, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM v.conv_id AND k = 1"""
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL_SEARCH = rf"""WITH d AS (SELECT doc_id, len(ws) AS n, ws FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERMS}') AS ws FROM documents) WHERE len(ws) > 0),
+z AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS t FROM d) GROUP BY 1, 2),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, z GROUP BY 1),
+i AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERMS}')) AS t FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT item_id, f.doc_id AS doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+  FROM i JOIN w ON w.t = i.t JOIN f ON f.t = i.t JOIN d ON d.doc_id = f.doc_id, z GROUP BY 1, 2)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 10"""
+
+
+ORACLE_SQL = {
+    "op1_chat_format": CHAT_FORMAT, "op2_decontaminate": DECONTAMINATE, "op3_ngram_jaccard": NGRAM_JACCARD, "op7_quality_rules": QUALITY_RULES, "op9_warc": WARC,
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
+}

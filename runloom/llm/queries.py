@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.llm.chat_format import format_conversations, read_back
+from runloom.llm.conversation_repair import damaged, repair_report
 from runloom.llm.decontaminate import decontaminate
+from runloom.llm.lexical_search import lexical_search
 from runloom.llm.license_scan import license_scan
 from runloom.llm.line_dedup import dedup_lines
 from runloom.llm.mixing import mix_documents
@@ -67,13 +69,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_report(damaged(rows), rows)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_decontaminate, op3_ngram_jaccard, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_quality_rules, op8_sharding, op9_warc, op10_mixing, op12_packing)
+    for f in (op1_chat_format, op2_decontaminate, op3_ngram_jaccard, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_quality_rules, op8_sharding, op9_warc, op10_mixing, op11_lexical_search, op12_packing, op13_conversation_repair)
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
