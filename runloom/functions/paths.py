@@ -6,8 +6,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from runloom.config import AliasRule
+from runloom.sources.scratch import discard, saved
 
 # Labels of paths that are not known.
 UNKNOWN = "(unknown)"
@@ -64,6 +66,37 @@ def with_path(df: DataFrame, raw: str, name: str, aliases: Iterable[AliasRule] =
     return held.withColumn(name, F.coalesce("_target", name)).drop("_source", "_target")
 
 
+def alias_ends(rules: DataFrame) -> DataFrame:
+    """_source (normalised, lower case) and _target, where its chain of rules ends, of a table of rules (ordinal, source, target, enabled).
+
+    The same as resolved(), by pointer doubling: each rule points at the first later one that takes up
+    its target, and in every round at where that one points, so a chain of n rules takes log n joins.
+    Later rules are found by a window over what has a path as source or as target. Of rules with one
+    ordinal the one with the lesser target counts as the later for others, and neither sees the other.
+    """
+    target = normalize(F.coalesce(F.nullif("target", F.lit("")), "source"))
+    held = rules.where("enabled").where(trimmed(F.col("source")) != "").select("ordinal", F.lower(normalize(F.col("source"))).alias("source"), target.alias("target"))
+    held = saved(held.withColumn("rule", F.monotonically_increasing_id()))
+    sources = held.select(F.col("source").alias("path"), "ordinal", F.lit(0).alias("asks"), "target", "rule")
+    asked = held.select(F.lower("target").alias("path"), "ordinal", F.lit(1).alias("asks"), "target", "rule")
+    later = W.partitionBy("path").orderBy(F.desc("ordinal"), F.desc("asks"), F.desc("target")).rowsBetween(W.unboundedPreceding, -1)
+    found = F.last(F.when(F.col("asks") == 0, F.col("rule")), ignorenulls=True).over(later)
+    links = saved(sources.unionByName(asked).withColumn("next", found).where("asks = 1").select("rule", "next", F.col("target").alias("end")))
+    while links.where("next is not null").limit(1).count():
+        ahead = links.select(F.col("rule").alias("next"), F.col("next").alias("_next"), F.col("end").alias("_end"))
+        joined = saved(links.join(ahead, "next", "left").select("rule", F.col("_next").alias("next"), F.coalesce("_end", "end").alias("end")))
+        discard(links)
+        links = joined
+    return held.join(links, "rule").groupBy(F.col("source").alias("_source")).agg(F.min_by("end", F.struct("ordinal", "target")).alias("_target"))
+
+
+def with_path_by(df: DataFrame, raw: str, name: str, rules: DataFrame) -> DataFrame:
+    """``df`` with ``name``, the path in ``raw`` rewritten by a table of rules of any size; Spark chooses how to join it."""
+    held = df.withColumn(name, normalize(F.col(raw))).withColumn("_lower", F.lower(name))
+    held = held.join(alias_ends(rules), F.col("_lower") == F.col("_source"), "left")
+    return held.withColumn(name, F.coalesce("_target", name)).drop("_source", "_target", "_lower")
+
+
 def workspace_id(path: Column) -> Column:
     """URL-safe Base64 of the lower-cased path, without padding."""
     coded = F.regexp_replace(F.base64(F.encode(F.lower(path), "UTF-8")), r"[\r\n=]", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ def in_range(time: Column, span: Range) -> Column:
     return (time >= F.lit(span.start)) & (time < F.lit(span.end))
 
 
+def in_months(month: Column, span: Range) -> Column:
+    """Whether a month (yyyy-MM) may hold times of the range: one day to spare on both sides, as another session may have named the months in its own time zone."""
+    if not span.bounded:
+        return F.lit(True)
+    return month.between(f"{span.start - timedelta(1):%Y-%m}", f"{span.end:%Y-%m}")
+
+
 def day_key(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd")
 

@@ -9,7 +9,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 PARTS = ("input", "output", "cached", "reasoning")
@@ -20,6 +20,25 @@ USAGE_PATHS = ("input_tokens", "output_tokens", "input_tokens_details.cached_tok
 TEXT_COUNT = r"[_-]?tokens?[\"'\s:=]+(\d+)"
 
 
+#: Counts and sums beyond the largest long are the largest long, below the smallest its negative.
+MOST = (1 << 63) - 1
+
+
+def accept_repeated_keys(spark: SparkSession) -> None:
+    """Lets this session read JSON objects that repeat a key; the last one counts. Spark refuses such objects unless it is told."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def whole(number: Column) -> Column:
+    """A double as a long, cut off towards zero and held to +-MOST; not a number is null."""
+    return once(number, lambda x: F.coalesce(x.try_cast("long"), F.when(F.isnan(x), None).when(x > 0, F.lit(MOST)).when(x < 0, F.lit(-MOST))))
+
+
+def total(number: Column) -> Column:
+    """An aggregate: the sum of longs, held to +-MOST; null without any."""
+    return F.coalesce(F.try_sum(number), whole(F.sum(number.cast("double"))))
+
+
 def once(value: Column, of: Callable[[Column], Column]) -> Column:
     """``of`` a value that is computed once, however often ``of`` uses it: plans would repeat it for each use."""
     return F.transform(F.array(value), of)[0]
@@ -48,9 +67,9 @@ def text_at(value: Column, path: str, only_text: bool = False) -> Column:
 
 
 def number_at(value: Column, path: str) -> Column:
-    """A number at a path; strings of digits are none."""
+    """A number at a path, as a long; strings of digits are none."""
     at = F.try_variant_get(value, path, "variant")
-    return once(at, lambda x: F.when(kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(x, "$", "double").cast("long")))
+    return once(at, lambda x: F.when(kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), whole(F.try_variant_get(x, "$", "double"))))
 
 
 def breakdown(parts: dict[str, Column]) -> Column:
@@ -76,7 +95,7 @@ def cache_hit_rate(input_: Column, cached: Column) -> Column:
 
 
 def score(b: Column) -> Column:
-    return F.coalesce(b["input"], F.lit(0)) + F.coalesce(b["output"], F.lit(0))
+    return F.coalesce(b["input"], F.lit(0)).cast("double") + F.coalesce(b["output"], F.lit(0)).cast("double")
 
 
 def session_breakdown(event: Column, info: str = "$.payload.info") -> Column:
@@ -121,8 +140,12 @@ def _scanned(text: str | None) -> tuple[int, int, int, int] | None:
                 todo.append(inner)
             elif isinstance(inner, (int, float)) and not isinstance(inner, bool) and "token" in (name := key.lower()):
                 for i, part in enumerate(PARTS):
-                    sums[i] += int(inner) if part in name else 0
-    return tuple(sums)
+                    sums[i] += _held(inner) if part in name else 0
+    return tuple(map(_held, sums))
+
+
+def _held(number: float) -> int:
+    return int(max(-MOST, min(MOST, number)))
 
 
 def _no_constant(name: str) -> None:
@@ -146,7 +169,8 @@ def text_breakdown(body: Column) -> Column:
 
     def matches(part: str) -> Column:
         found = F.regexp_extract_all(body, F.lit(f"(?i){part}{TEXT_COUNT}"), F.lit(1))
-        total = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.try_cast("long"), F.lit(0)))
-        return F.when(F.size(found) > 0, total)
+        most = F.lit(MOST)
+        added = F.aggregate(found, F.lit(0).cast("long"), lambda a, x: F.coalesce(F.try_add(a, F.coalesce(x.try_cast("long"), most)), most))
+        return F.when(F.size(found) > 0, added)
 
     return breakdown({p: matches(p) for p in PARTS})

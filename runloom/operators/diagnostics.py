@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions.paths import file_stem
@@ -24,6 +24,31 @@ def source_profile(spark: SparkSession, sources: dict[str, tuple[DataFrame | Non
     return out if out is not None else spark.createDataFrame([], "source string, found boolean, rows long, n_columns int, columns string, earliest string, latest string")
 
 
+class Observed:
+    """Counts of sources taken while something else is made from them, so that a profile costs no scan of its own.
+
+    watch() gives the table to read on with; what is read of it must be selected before, as Spark prunes
+    no column beyond the counter. profile() waits until an action has read every watched table to its end.
+    """
+
+    def __init__(self) -> None:
+        self._held: dict[str, tuple[Observation, list[str]]] = {}
+
+    def watch(self, name: str, df: DataFrame, time: str | None = None, columns: list[str] | None = None) -> DataFrame:
+        moment = F.col(time) if time else F.lit(None)
+        seen = Observation(name)
+        self._held[name] = (seen, columns or df.columns)
+        return df.observe(seen, F.count("*").alias("rows"), F.min(moment).cast("string").alias("earliest"), F.max(moment).cast("string").alias("latest"))
+
+    def profile(self, spark: SparkSession) -> DataFrame:
+        """The rows of source_profile() for the watched sources."""
+        rows = []
+        for name, (seen, columns) in self._held.items():
+            got = seen.get
+            rows.append((name, True, got["rows"], len(columns), ",".join(columns), got["earliest"], got["latest"]))
+        return spark.createDataFrame(rows, "source string, found boolean, rows long, n_columns int, columns string, earliest string, latest string")
+
+
 def file_count(lines: DataFrame) -> DataFrame:
     """Number of session files with lines."""
     return lines.agg(F.count_distinct("file").alias("files"))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from runloom.functions.paths import UNKNOWN
+from runloom.operators.ranks import numbered
 
 
 def workspace_numbers(runs: DataFrame) -> DataFrame:
-    """workspace_id and number, from 1 by the workspace's first place in runs, newest first. The ranking runs over workspaces, not over runs."""
+    """workspace_id and number, from 1 by the workspace's first place in runs, newest first. Workspaces, not runs, are ranked, in ranges that many tasks sort."""
     newest = runs.groupBy("workspace_id").agg(F.min(F.struct((-F.unix_micros(F.col("start_time").cast("timestamp"))).alias("age"), "id")).alias("first"))
-    return newest.select("workspace_id", F.row_number().over(W.orderBy("first", "workspace_id")).alias("number"))
+    return numbered(newest, [F.col(c).asc() for c in ("first.age", "first.id", "workspace_id")]).select("workspace_id", "number")
 
 
 def _label(path: Column, number: Column) -> Column:
@@ -33,9 +33,9 @@ def anonymize_runs(runs: DataFrame, numbers: DataFrame | None = None) -> DataFra
 
 def anonymize_workspaces(workspaces: DataFrame, numbers: DataFrame) -> DataFrame:
     """The workspace list with the numbers that anonymize_runs() uses; workspaces without runs are numbered after them."""
-    last = F.coalesce(F.max("number").over(W.partitionBy(F.lit(0))), F.lit(0))
-    fresh = F.row_number().over(W.partitionBy(F.col("number").isNull()).orderBy("workspace_id"))
-    held = workspaces.join(numbers, "workspace_id", "left").withColumn("number", F.coalesce("number", last + fresh))
+    last = numbers.agg(F.coalesce(F.max("number"), F.lit(0)).alias("_last"))  # one row
+    fresh = numbered(workspaces.join(numbers, "workspace_id", "left_anti"), [F.col("workspace_id").asc()]).crossJoin(F.broadcast(last))
+    held = workspaces.join(numbers, "workspace_id").unionByName(fresh.withColumn("number", F.col("number") + F.col("_last")).drop("_last"))
     label = _label(F.col("workspace_path"), F.col("number"))
     return held.withColumns({c: label for c in ("workspace_name", "workspace_path", "raw_path")}).withColumn("workspace_id", _masked_id(F.col("workspace_id"))).select(*workspaces.columns)
 

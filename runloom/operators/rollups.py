@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +12,17 @@ from pyspark.sql.window import Window as W
 from runloom.config import ALL_WORKSPACES, Range, UsageFilter
 from runloom.functions import times, tokens
 from runloom.functions.formatting import hours_of
+from runloom.operators.ranks import first_of
 
 #: Presets that are summed in one pass.
 TOTALS = ("today", "last7", "last30", "last90", "all")
 
 
 def filter_runs(runs: DataFrame, workspace_id: str, span: Range) -> DataFrame:
-    """Runs of a workspace (or all) that start in a range."""
+    """Runs of a workspace (or all) that start in a range. A persisted table is asked for the range's months only."""
     held = runs if workspace_id == ALL_WORKSPACES else runs.where(F.col("workspace_id") == workspace_id)
+    if span.bounded and "start_month" in runs.columns:
+        held = held.where(times.in_months(F.col("start_month"), span))
     return held.where(times.in_range(F.col("start_time"), span)) if span.bounded else held
 
 
@@ -146,6 +149,70 @@ def recent_runs(runs: DataFrame, n: int = 250) -> DataFrame:
     return runs.orderBy(F.desc("start_time"), "id").limit(n)
 
 
+def recent_runs_by(runs: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
+    """The newest ``n`` runs of every key in one pass; the limit is the report's feature."""
+    return first_of(runs, keys, [F.desc("start_time"), F.col("id")], n)
+
+
+def day_bitmaps(runs: DataFrame, by: Sequence[str] = (), time: str = "start_time") -> DataFrame:
+    """start_month and days of each key: a number with a bit for every day of the month that has runs, the first day's lowest. Bitmaps of other runs are or-ed to these by merged_bitmaps()."""
+    bit = F.expr(f"shiftleft(1L, dayofmonth(`{time}`) - 1)")
+    return runs.where(F.col(time).isNotNull()).groupBy(*by, F.date_format(time, "yyyy-MM").alias("start_month")).agg(F.bit_or(bit).alias("days"))
+
+
+def merged_bitmaps(*tables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Bitmaps of several tables or of keys that ``by`` leaves out, as one."""
+    held = tables[0]
+    for table in tables[1:]:
+        held = held.unionByName(table)
+    return held.groupBy(*by, "start_month").agg(F.bit_or("days").alias("days"))
+
+
+def bitmap_active_days(bitmaps: DataFrame, span: Range, by: Sequence[str] = ()) -> DataFrame:
+    """Days with runs of each key within a range, from bitmaps alone."""
+    first = F.to_date(F.concat("start_month", F.lit("-01")))
+    one = F.lit(1).cast("long")
+
+    def below(day: date) -> Column:
+        """The bits of the month's days before a day."""
+        return F.pow(F.lit(2.0), F.greatest(F.lit(0), F.least(F.lit(31), F.date_diff(F.lit(day), first)))).cast("long") - one
+
+    held = bitmaps.where(times.in_months(F.col("start_month"), span)) if span.bounded else bitmaps
+    days = F.col("days").bitwiseAND(below(span.end)).bitwiseAND(F.bitwise_not(below(span.start))) if span.bounded else F.col("days")
+    one_each = held.groupBy(*by, "start_month").agg(F.bit_or(days).alias("days"))
+    return one_each.groupBy(*by).agg(F.sum(F.bit_count("days")).cast("long").alias("active_days"))
+
+
+def bitmap_weeks(bitmaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """week (its Monday) and days of each key: a bit for every day with runs, Monday's lowest. A week across two months is or-ed out of both."""
+    first = F.to_date(F.concat("start_month", F.lit("-01")))
+    mondays = F.sequence(F.to_date(F.date_trunc("WEEK", first)), F.last_day(first), F.expr("interval 7 days"))
+    held = bitmaps.withColumn("week", F.explode(mondays)).withColumn("_shift", F.date_diff("week", first))
+    days = F.when(F.col("_shift") >= 0, F.expr("shiftright(days, _shift)")).otherwise(F.expr("shiftleft(days, -_shift)")).bitwiseAND(F.lit(127).cast("long"))
+    return held.groupBy(*by, "week").agg(F.bit_or(days).alias("days")).where("days != 0")
+
+
+def bitmap_streaks(bitmaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Most consecutive days with runs of each key, from bitmaps alone.
+
+    Each month gives its longest run of days, and those at its beginning and end; months are then
+    folded in order, a run going on where one month ends and the next begins with days. A key has
+    twelve of these a year.
+    """
+    held = bitmaps.groupBy(*by, "start_month").agg(F.bit_or("days").alias("days")).where("days != 0")
+    first = F.to_date(F.concat("start_month", F.lit("-01")))
+    length = F.dayofmonth(F.last_day(first))
+    month = F.struct(
+        (F.year(first) * 12 + F.month(first)).alias("at"), length.alias("length"),
+        F.expr("bit_count(days ^ (days + 1)) - 1").alias("begins"),  # its lowest bits that are set
+        (length - F.length(F.bin(F.expr("days ^ (shiftleft(1L, day(last_day(to_date(concat(start_month, '-01'))))) - 1)"))) + F.when(F.expr("days = shiftleft(1L, day(last_day(to_date(concat(start_month, '-01'))))) - 1"), 1).otherwise(0)).alias("ends"),
+        F.expr("aggregate(sequence(1, 31), struct(days as x, 0 as n), (a, i) -> struct(a.x & shiftleft(a.x, 1) as x, a.n + if(a.x != 0, 1, 0) as n), a -> a.n)").alias("best"),
+    )
+    fold = """aggregate(_months, struct(-1 as at, 0 as open, 0 as best), (a, m) -> struct(m.at as at,
+      if(m.begins = m.length, if(m.at = a.at + 1, a.open, 0) + m.length, m.ends) as open, greatest(a.best, m.best, if(m.at = a.at + 1, a.open, 0) + m.begins) as best), a -> a.best)"""
+    return held.groupBy(*by).agg(F.array_sort(F.collect_list(month)).alias("_months")).select(*by, F.expr(fold).cast("long").alias("longest_streak_days"))
+
+
 def bounds(runs: DataFrame) -> DataFrame:
     """First and last moment of all runs."""
     return runs.agg(F.min(F.least("start_time", "end_time")).alias("first"), F.max(F.greatest("start_time", "end_time")).alias("last"))

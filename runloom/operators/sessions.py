@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,29 +13,32 @@ from runloom.functions.paths import file_stem
 from runloom.functions.times import millis
 
 
-def capped_gap(time: Column, session: list[str], cap_ms: int) -> Column:
-    """Milliseconds since the session's event before, at most the cap. The first event has none (null)."""
-    before = F.lag(millis(time)).over(W.partitionBy(*session).orderBy(time))
-    return F.when(before.isNotNull(), F.least(F.greatest(millis(time) - before, F.lit(0)), F.lit(cap_ms)))
+def _slice(time: Column, cap_ms: int) -> Column:
+    return F.floor(millis(time) / max(1, cap_ms))
 
 
-#: Events of a session are ordered within slices of so many milliseconds, so that a session with a third of all events is no task's work.
-SLICE_MS = 3_600_000
+def _active(slices: DataFrame, session: list[str], cap_ms: int) -> tuple[DataFrame, Column]:
+    """Slices (_slice, _first, _last) with their gap to the slice before, and the aggregate of a session's active milliseconds."""
+    before = F.lag("_last").over(W.partitionBy(*session).orderBy("_slice"))
+    gap = F.when(before.isNotNull(), F.least(millis(F.col("_first")) - millis(before), F.lit(cap_ms)))
+    within = F.sum(millis(F.col("_last")) - millis(F.col("_first")))
+    return slices.withColumn("_gap", F.when(F.col("_slice").isNotNull(), gap)), F.coalesce(within, F.lit(0)) + F.coalesce(F.sum("_gap"), F.lit(0))
 
 
-def active_time(events: DataFrame, session: list[str], time: str, cap_ms: int) -> DataFrame:
+def active_time(events: DataFrame, session: list[str], time: str, cap_ms: int, sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Per session: start_time, end_time, events and active_ms, the sum of gaps between its events, each up to the cap.
 
-    Gaps within a slice of time come first; then each slice meets the one before it.
+    Time is cut into slices as long as the cap. No gap within a slice reaches it, so they add up to
+    the slice's last time less its first, whatever lies between: events are never sorted, but folded
+    by slice before they are shuffled. Each slice then meets the one before it. ``sums`` are added up
+    by session on the way, over events without time too; sessions without any time then stay.
     """
-    held = events.where(F.col(time).isNotNull()).select(*session, F.col(time).alias("_t")).withColumn("_slice", F.floor(millis(F.col("_t")) / SLICE_MS))
-    held = held.withColumn("_gap", capped_gap(F.col("_t"), [*session, "_slice"], cap_ms))
-    slices = held.groupBy(*session, "_slice").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count("*").alias("_n"), F.sum("_gap").alias("_within"))
-    before = F.lag("_last").over(W.partitionBy(*session).orderBy("_slice"))
-    between = F.when(before.isNotNull(), F.least(millis(F.col("_first")) - millis(before), F.lit(cap_ms)))
-    found = slices.withColumn("_between", between).groupBy(*session)
-    active = F.coalesce(F.sum("_within"), F.lit(0)) + F.coalesce(F.sum("_between"), F.lit(0))
-    return found.agg(F.min("_first").alias("start_time"), F.max("_last").alias("end_time"), F.sum("_n").alias("events"), active.alias("active_ms"))
+    named = {name: column.alias(name) for name, column in (sums or {}).items()}
+    held = events if named else events.where(F.col(time).isNotNull())
+    held = held.select(*session, F.col(time).alias("_t"), *named.values()).withColumn("_slice", _slice(F.col("_t"), cap_ms))
+    folded = held.groupBy(*session, "_slice").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count("_t").alias("_n"), *(F.sum(c).alias(c) for c in named))
+    slices, active = _active(folded, session, cap_ms)
+    return slices.groupBy(*session).agg(F.min("_first").alias("start_time"), F.max("_last").alias("end_time"), F.sum("_n").alias("events"), active.alias("active_ms"), *(F.sum(c).alias(c) for c in named))
 
 
 def last_known(value: str, order: str) -> Column:
@@ -44,37 +49,41 @@ def last_known(value: str, order: str) -> Column:
 def session_files(events: DataFrame, cap_ms: int) -> DataFrame:
     """One row for each file of session events: id, file, stem, archived, cwd, model, start_time, end_time, active_ms, breakdown, parse_warnings.
 
-    One shuffle by file: lines are exploded to their times, and the rest of a line stays with the first.
+    Lines are folded twice: by file and slice of time (see active_time()), before the shuffle and
+    after it, then by file. So a file with a third of all lines is the work of many tasks, and what
+    one task gets of it is a row for each slice. The last known value of each kind travels with its
+    place in the file.
     """
     held = events.select("*", F.posexplode_outer("times").alias("nth", "time")).withColumn("once", F.coalesce(F.col("nth"), F.lit(0)) == 0)
-    held = held.withColumn("best", F.struct(tokens.score(F.col("breakdown")).alias("score"), "at"))
-    held = held.withColumn("gap", F.when(F.col("time").isNotNull() & F.lag("time").over(W.partitionBy("file").orderBy("time")).isNotNull(), capped_gap(F.col("time"), ["file"], cap_ms)))
-    found = held.groupBy("file", "archived").agg(
-        last_known("id", "at").alias("named"), last_known("cwd", "at").alias("cwd"), last_known("model", "at").alias("model"),
-        F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.coalesce(F.sum("gap"), F.lit(0)).alias("active_ms"),
-        last_known("breakdown", "best").alias("breakdown"), F.count_if(F.col("broken") & F.col("once")).alias("parse_warnings"),
+    latest = {c: F.max(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("v")))) for c in ("id", "cwd", "model")}
+    best = F.max(F.when(F.col("breakdown").isNotNull(), F.struct(tokens.score(F.col("breakdown")).alias("score"), "at", F.col("breakdown").alias("v"))))
+    slices = held.groupBy("file", "archived", _slice(F.col("time"), cap_ms).alias("_slice")).agg(
+        F.min("time").alias("_first"), F.max("time").alias("_last"), F.count_if(F.col("broken") & F.col("once")).alias("_broken"), best.alias("breakdown"), *(v.alias(c) for c, v in latest.items()),
+    )
+    slices, active = _active(slices, ["file", "archived"], cap_ms)
+    found = slices.groupBy("file", "archived").agg(
+        *(F.max(c)["v"].alias(f"last_{c}") for c in ("id", "cwd", "model")), F.min("_first").alias("start_time"), F.max("_last").alias("end_time"), active.alias("active_ms"),
+        F.max("breakdown")["v"].alias("breakdown"), F.sum("_broken").alias("parse_warnings"),
     )
     stem = file_stem(F.col("file"))
-    return found.withColumn("stem", stem).withColumn("id", F.coalesce("named", "stem")).drop("named")
-
-
-def first_by(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key in an order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    found = found.withColumns({"stem": stem, "id": F.coalesce("last_id", stem), "cwd": F.col("last_cwd"), "model": F.col("last_model")})
+    return found.select("file", "archived", "cwd", "model", "start_time", "end_time", "active_ms", "breakdown", "parse_warnings", "stem", "id")
 
 
 def by_id(sessions: DataFrame) -> DataFrame:
-    """One session for each id: an archived one before live ones, then the first file."""
-    return first_by(sessions, "id", F.col("archived").desc(), F.col("file").asc())
+    """One session for each id: an archived one before live ones, then the first file. An aggregate, so each task sends one row for an id at most."""
+    first = F.min_by(F.struct(*sessions.columns), F.struct((~F.col("archived")).alias("live"), "file"))
+    return sessions.groupBy(F.col("id").alias("_key")).agg(first.alias("_s")).select("_s.*")
 
 
 def by_stem(sessions: DataFrame) -> DataFrame:
-    """One session for each file stem: the last file, archived ones coming last."""
-    return first_by(sessions, "stem", F.col("archived").desc(), F.col("file").desc())
+    """One session for each file stem: the last file, archived ones coming last. An aggregate as by_id()."""
+    last = F.max_by(F.struct(*sessions.columns), F.struct("archived", "file"))
+    return sessions.groupBy(F.col("stem").alias("_key")).agg(last.alias("_s")).select("_s.*")
 
 
 def log_breakdowns(bodies: DataFrame) -> DataFrame:
-    """Per thread: input, output, cached and reasoning summed over its log rows, and rows, the number of rows with tokens.
+    """Per thread: input, output, cached and reasoning summed over its log rows, and rows, the number of rows with tokens. Counts and sums stop at the largest long.
 
     A body's counts come from response.usage, else usage, else a scan of the whole JSON, else the
     text. Only bodies that the first two leave empty go through the scan, the one Python function.
@@ -92,5 +101,5 @@ def log_breakdowns(bodies: DataFrame) -> DataFrame:
     held = held.withColumn("scan", tokens.scan_breakdown(F.when(open_, json_text)))
     scanned = tokens.once(F.col("scan"), lambda b: F.when(~tokens.is_zero(b), b))  # null where nothing was scanned
     held = held.select("thread_id", F.coalesce("usage", scanned, tokens.text_breakdown(F.col("body"))).alias("b"))
-    sums = [F.sum(F.coalesce(f"b.{p}", F.lit(0))).alias(p) for p in tokens.PARTS]
+    sums = [tokens.total(F.coalesce(f"b.{p}", F.lit(0))).alias(p) for p in tokens.PARTS]
     return held.groupBy("thread_id").agg(*sums, F.count_if(~tokens.is_zero(F.col("b"))).alias("rows")).where("rows > 0")

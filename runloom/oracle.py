@@ -189,7 +189,7 @@ SELECT printf('s%02d', m.b) AS stem, coalesce(id, printf('s%02d', m.b)) AS id, m
 FROM m LEFT JOIN t ON t.b = m.b""",
     "session_jsonl_live": f"WITH {_FILES} SELECT printf('s%02d', b) AS stem, count(*) AS lines, count(*) FILTER (WHERE kind = 1) AS broken, count(*) FILTER (WHERE counted) AS counts FROM counts WHERE b % 4 <> 0 AND kind <> 2 GROUP BY 1",
     "session_file_count": "SELECT count(DISTINCT user_id % 40) AS files FROM events",
-    "stream_session_lines": f"WITH {_FILES} SELECT printf('s%02d', b) AS stem, count(*) AS lines, count(*) FILTER (WHERE kind = 1) AS broken, count(*) FILTER (WHERE kind <> 1) AS times FROM lines WHERE b % 4 <> 0 AND kind <> 2 GROUP BY 1",
+    "stream_session_lines": f"WITH {_FILES} SELECT printf('s%02d', b) AS stem, count(*) AS lines, count(*) FILTER (WHERE kind = 1) AS broken, count(*) FILTER (WHERE kind <> 1) AS times FROM lines WHERE kind <> 2 GROUP BY 1",
     "usage_warnings": f"""WITH {_FILES}, {_BROKEN} UNION ALL SELECT 'privacy', 'info', 'conversation text is not read', '', '' UNION ALL SELECT 'no_log_tokens', 'info', 'no log row has tokens', '', ''""",
     "actionable_warnings": f"WITH {_FILES}, {_BROKEN}",
     "exports": f"""WITH {_buckets(True)}, e AS (
@@ -212,3 +212,45 @@ UNION ALL (SELECT 'run', id, total_tokens FROM r ORDER BY start_time DESC, id LI
     "stream_buckets": "SELECT strftime(ts, '%Y-%m-%d') AS key, count(*) AS events, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1",
     "stream_week_buckets": "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS key, count(*) AS events, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1",
 }
+
+_MOST = "9223372036854775807"
+_SPAN = "start_time >= DATE '1996-02-20' AND start_time < DATE '1997-03-06'"
+
+
+def _held(x: str) -> str:
+    return f"CAST(least(sum(CAST({x} AS HUGEINT)), {_MOST}) AS BIGINT)"
+
+
+def _streak(days: str, by: str) -> str:
+    """Longest streak of a table of days (by, day)."""
+    return f"SELECT {by}, max(n) AS longest_streak_days FROM (SELECT {by}, island, count(*) AS n FROM (SELECT {by}, day - CAST(row_number() OVER (PARTITION BY {by} ORDER BY day) AS INTEGER) AS island FROM {days}) GROUP BY 1, 2) GROUP BY 1"
+
+
+ORACLE_SQL |= {
+    "snapshot_versions": f"""WITH {_RUNS}, v AS (SELECT 1 AS version, * FROM runs WHERE NOT archived UNION ALL SELECT 2, * FROM runs)
+SELECT CAST(version AS BIGINT) AS version, 'runs' AS part, count(*) AS rows, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM v GROUP BY 1
+UNION ALL SELECT version, 'workspaces', (SELECT count(DISTINCT workspace_id) FROM threads), CAST(sum(total_tokens) AS BIGINT) FROM v GROUP BY 1""",
+    "cached_snapshot": ORACLE_SQL["snapshot_tables"] + " UNION ALL SELECT 'workspace', workspace_name, CAST(sum(total_tokens) AS BIGINT) FROM runs GROUP BY 2",
+    "persisted_range": _RANGE,
+    "incremental_refresh": ORACLE_SQL["session_jsonl"],
+    "session_odd_lines": f"""WITH e AS (SELECT user_id % 50 AS b, user_id, event_id AS n, event_id % 6 AS k, date_trunc('second', ts) AS s, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM events),
+t AS (SELECT b, CASE WHEN k = 1 THEN day WHEN k IN (0, 2) OR (k = 3 AND n % 5 = 0) THEN s END AS t FROM e),
+g AS (SELECT b, t, least(greatest(epoch_ms(t) - lag(epoch_ms(t)) OVER (PARTITION BY b ORDER BY t), 0), 10800000) AS gap FROM t WHERE t IS NOT NULL),
+a AS (SELECT b, min(t) AS start_time, max(t) AS end_time, CAST(coalesce(sum(gap), 0) AS BIGINT) AS active_ms FROM g GROUP BY 1),
+c AS (SELECT b, n, CASE WHEN k = 1 THEN n % 100 WHEN k = 4 THEN n % 90 WHEN k = 3 AND n % 5 = 0 THEN {_MOST} END AS i, CASE WHEN k = 3 AND n % 5 = 0 THEN {_MOST} END AS o FROM e),
+m AS (SELECT b, max_by(struct_pack(i, o), (CAST(i AS DOUBLE) + CAST(coalesce(o, 0) AS DOUBLE), n)) FILTER (WHERE i > 0) AS best FROM c GROUP BY 1),
+d AS (SELECT b, max_by('u' || user_id, n) FILTER (WHERE k = 0) AS id FROM e GROUP BY 1)
+SELECT 'u' || d.b AS stem, coalesce(id, 'u' || d.b) AS id, start_time, end_time, coalesce(active_ms, 0) AS active_ms, CAST(best.i AS BIGINT) AS input, CAST(best.o AS BIGINT) AS output, CAST(0 AS BIGINT) AS parse_warnings FROM d JOIN m ON m.b = d.b LEFT JOIN a ON a.b = d.b""",
+    "observed_profile": f"SELECT * FROM ({_profile()}) WHERE source IN ('region', 'nation', 'customer', 'orders', 'lineitem')",
+    "recent_runs_by_workspace": f"WITH {_RUNS} SELECT id, workspace_name, start_time, total_tokens FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY start_time DESC, id) AS n FROM runs) WHERE n <= 10",
+    "day_bitmaps": "SELECT user_id, strftime(ts, '%Y-%m') AS start_month, CAST(bit_or(CAST(1 AS BIGINT) << CAST(day(ts) - 1 AS INTEGER)) AS BIGINT) AS days FROM events GROUP BY 1, 2",
+    "bitmap_summary": f"""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), k AS ({_streak("d", "user_id")})
+SELECT k.user_id AS user_id, longest_streak_days, count(DISTINCT date_trunc('week', day)) AS active_weeks, count(*) AS days_by_week, count(*) FILTER (WHERE day >= DATE '2024-01-10' AND day < DATE '2024-02-04') AS active_days
+FROM k JOIN d ON d.user_id = k.user_id GROUP BY 1, 2""",
+    "bitmap_range": f"""WITH {_RUNS}, d AS (SELECT DISTINCT 1 AS one, CAST(start_time AS DATE) AS day FROM runs), k AS ({_streak("d", "one")})
+SELECT 'custom' AS range, (SELECT count(DISTINCT CAST(start_time AS DATE)) FROM runs WHERE {_SPAN}) AS active_days, longest_streak_days FROM k UNION ALL SELECT 'all', (SELECT count(*) FROM d), longest_streak_days FROM k""",
+    "alias_rule_table": f"""WITH {_THREADS} SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'E:\\late' ELSE 'D:\\MOVED\\' || workspace_name || '\\50' END AS workspace_path, count(*) AS threads FROM threads JOIN nation ON n_name = workspace_name GROUP BY 1""",
+    "log_large_numbers": f"""WITH b AS (SELECT user_id % 40 AS u, CASE WHEN n % 24 IN (0, 1, 2) THEN {_MOST} WHEN n % 24 IN (3, 4) THEN 0 WHEN n % 3 = 0 THEN 2 ELSE n % 1000 END AS input,
+  CASE n % 24 WHEN 1 THEN 3 WHEN 3 THEN {_MOST} ELSE CASE WHEN n % 24 > 4 AND n % 3 = 0 THEN 1 ELSE 0 END END AS output, CASE n % 24 WHEN 2 THEN {_MOST} ELSE 0 END AS cached, CASE n % 24 WHEN 4 THEN {_MOST} ELSE 0 END AS reasoning FROM (SELECT user_id, event_id AS n FROM events))
+SELECT CAST(u AS VARCHAR) AS thread_id, {_held("input")} AS input, {_held("output")} AS output, {_held("cached")} AS cached, {_held("reasoning")} AS reasoning, count(*) AS rows FROM b WHERE input > 0 OR output > 0 OR cached > 0 OR reasoning > 0 GROUP BY 1""",
+}

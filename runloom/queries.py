@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from runloom.config import AliasRule, UsageConfig, UsageFilter
 from runloom.functions import formatting as fmt
 from runloom.functions import paths, times, tokens
-from runloom.operators import diagnostics, privacy, rollups, sessions
+from runloom.operators import diagnostics, privacy, refresh, rollups, sessions
 from runloom.operators import runs as fact
 from runloom.plans import report
 from runloom.sources import readers, sinks
-from runloom.sources.scratch import shared_folder
+from runloom.sources.scratch import saved, shared_folder
+from runloom.sources.snapshots import Change, SnapshotSet
 from runloom.streaming import usage as stream
 
 CAP_MS = 180 * 60_000
@@ -36,11 +37,28 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def thread_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_facts(spark: SparkSession, sf_dir: str, watch: diagnostics.Observed | None = None) -> DataFrame:
+    """What line items say of each order, from one scan and one shuffle: its tokens, its log counts, and ship dates as events of a session."""
+    items = table(spark, sf_dir, "lineitem")
+    q, columns = F.col("l_quantity").cast("long"), items.columns
+    items = items.select("l_orderkey", "l_quantity", "l_linenumber", "l_returnflag", "l_shipdate")
+    items = watch.watch("lineitem", items, "l_shipdate", columns) if watch else items
+    dealt = items.withColumn("t", F.col("l_shipdate").cast("timestamp")).repartition("l_orderkey")  # slices and sessions of an order are then folded where they are
+    sums = {"tokens_used": q, "input": q * 10, "output": F.col("l_linenumber").cast("long"), "cached": F.when(F.col("l_returnflag") == "R", q * 4).otherwise(0)}
+    return saved(sessions.active_time(dealt, ["l_orderkey"], "t", CONFIG.idle_cap_ms, sums))
+
+
+def thread_table(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None, watch: diagnostics.Observed | None = None) -> DataFrame:
     """Orders as threads: the nation's folder as cwd, and an end up to 36 half hours after the start."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    nation, region, items = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), table(spark, sf_dir, "lineitem")
-    used = items.groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("tokens_used"))
+
+    def read(name: str, columns: list[str], time: str | None = None) -> DataFrame:
+        held = table(spark, sf_dir, name)
+        return watch.watch(name, held.select(*columns), time, held.columns) if watch else held
+
+    orders = read("orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"], "o_orderdate")
+    customer = read("customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+    nation, region = read("nation", ["n_nationkey", "n_name", "n_regionkey"]), read("region", ["r_regionkey", "r_name"])
+    used = (order_facts(spark, sf_dir) if facts is None else facts).select("l_orderkey", "tokens_used")
     held = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     held = held.join(used, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     start = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
@@ -52,33 +70,28 @@ def thread_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as log counts of threads; those of every third order name a thread that is not there."""
-    items, key, q = table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.col("l_quantity").cast("long")
+def token_logs(facts: DataFrame) -> DataFrame:
+    """Log counts of threads; those of every third order name a thread that is not there."""
+    key = F.col("l_orderkey")
     thread = F.concat(F.when(key % 3 == 0, F.lit("gone-")).otherwise(F.lit("")), key.cast("string"))
-    return items.groupBy(thread.alias("thread_id")).agg(
-        F.sum(q * 10).alias("input"), F.sum(F.col("l_linenumber").cast("long")).alias("output"),
-        F.sum(F.when(F.col("l_returnflag") == "R", q * 4).otherwise(0)).alias("cached"), F.lit(None).cast("long").alias("reasoning"),
-    )
+    return facts.select(thread.alias("thread_id"), "input", "output", "cached", F.lit(None).cast("long").alias("reasoning"))
 
 
-def order_sessions(spark: SparkSession, sf_dir: str, known: Column, name: str, prefix: str = "") -> DataFrame:
-    """Ship dates of each order as events of a session, named by its order where ``known``, else by an order that is not there."""
-    held = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("timestamp").alias("t"))
-    found = sessions.active_time(held, ["l_orderkey"], "t", CONFIG.idle_cap_ms)
+def order_sessions(facts: DataFrame, known: Column, name: str, prefix: str = "") -> DataFrame:
+    """Sessions of orders, named by their order where ``known``, else by an order that is not there."""
     own = F.concat(F.lit(prefix), F.when(known, F.lit("")).otherwise(F.lit("gone-")), F.col("l_orderkey").cast("string"))
-    return found.select(own.alias(name), "start_time", "end_time", "active_ms", F.lit(None).cast(tokens.BREAKDOWN).alias("breakdown"))
+    return facts.select(own.alias(name), "start_time", "end_time", "active_ms", F.lit(None).cast(tokens.BREAKDOWN).alias("breakdown"))
 
 
-def all_sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sessions by id, which a fifth of the orders have, and by stem, which these and another fifth have."""
-    fifth = F.col("l_orderkey") % 5
-    return order_sessions(spark, sf_dir, fifth == 0, "id"), order_sessions(spark, sf_dir, fifth < 2, "stem", "rollout-")
+def built(spark: SparkSession, sf_dir: str, config: UsageConfig = CONFIG, watch: diagnostics.Observed | None = None) -> tuple[DataFrame, DataFrame]:
+    """Threads and runs from the same facts. A fifth of the orders have sessions by id, these and another fifth by stem."""
+    facts, fifth = order_facts(spark, sf_dir, watch), F.col("l_orderkey") % 5
+    threads = fact.normalize_threads(thread_table(spark, sf_dir, facts, watch), config)
+    return threads, fact.build_runs(threads, order_sessions(facts, fifth == 0, "id"), order_sessions(facts, fifth < 2, "stem", "rollout-"), token_logs(facts), config)
 
 
 def runs(spark: SparkSession, sf_dir: str, config: UsageConfig = CONFIG) -> DataFrame:
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), config)
-    return fact.build_runs(threads, *all_sessions(spark, sf_dir), token_logs(spark, sf_dir), config)
+    return built(spark, sf_dir, config)[1]
 
 
 def plain_times(df: DataFrame) -> DataFrame:
@@ -182,18 +195,18 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visible_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), UsageConfig(ignored=("C:/asia",)))
-    return rollups.visible_runs(runs(spark, sf_dir), threads).groupBy("model").agg(F.count("*").alias("runs"), F.sum("total_tokens").alias("tokens"))
+    threads, held = built(spark, sf_dir, UsageConfig(ignored=("C:/asia",)))
+    return rollups.visible_runs(held, threads).groupBy("model").agg(F.count("*").alias("runs"), F.sum("total_tokens").alias("tokens"))
 
 
 def top_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
-    return rollups.top_workspaces(rollups.workspace_summary(runs(spark, sf_dir), threads)).select("workspace_name", "runs", "all_time_tokens", "all_time_agent_time_ms")
+    threads, held = built(spark, sf_dir)
+    return rollups.top_workspaces(rollups.workspace_summary(held, threads)).select("workspace_name", "runs", "all_time_tokens", "all_time_agent_time_ms")
 
 
 def orphan_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of all orders, held against the runs of unarchived threads."""
-    found = order_sessions(spark, sf_dir, F.lit(True), "id").withColumn("stem", F.concat(F.lit("rollout-"), F.col("id")))
+    found = order_sessions(order_facts(spark, sf_dir), F.lit(True), "id").withColumn("stem", F.concat(F.lit("rollout-"), F.col("id")))
     made = runs(spark, sf_dir, UsageConfig(ignored=(), include_archived=False))
     return plain_times(diagnostics.orphan_sessions(found, made).select("id", "start_time", "end_time"))
 
@@ -216,8 +229,8 @@ def all_time_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workspace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = UsageConfig(ignored=("C:/asia",), include_archived=False)
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), config)
-    return plain_times(rollups.workspace_summary(runs(spark, sf_dir, config), threads))
+    threads, held = built(spark, sf_dir, config)
+    return plain_times(rollups.workspace_summary(held, threads))
 
 
 def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +246,34 @@ def recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(rollups.recent_runs(found, 10).select("id", "workspace_name", "start_time", "total_tokens"))
 
 
+def recent_runs_by_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_times(rollups.recent_runs_by(runs(spark, sf_dir), ["workspace_id"], 10).select("id", "workspace_name", "start_time", "total_tokens"))
+
+
+def day_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.day_bitmaps(events(spark, sf_dir), ["user_id"], "ts")
+
+
+def bitmap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a range, active weeks and longest streak of users, from the bitmaps of two halves of the events, merged."""
+    halves = [rollups.day_bitmaps(events(spark, sf_dir).where(F.col("event_id") % 2 == k), ["user_id"], "ts") for k in (0, 1)]
+    held, by = saved(rollups.merged_bitmaps(*halves, by=["user_id"])), ["user_id"]
+    span = UsageFilter(preset="custom", start="2024-01-10", end="2024-02-03").resolve(EVENTS_NOW)
+    weeks = rollups.bitmap_weeks(held, by).groupBy(*by).agg(F.count("*").alias("active_weeks"), F.sum(F.bit_count("days")).cast("long").alias("days_by_week"))
+    days, every = rollups.bitmap_active_days(held, span, by), rollups.bitmap_streaks(held, by)
+    return every.join(weeks, "user_id").join(days, "user_id", "left").na.fill(0, ["active_days"])
+
+
+def bitmap_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active days and longest streak of all runs in ranges, or-ed from the bitmaps of workspaces."""
+    held = saved(rollups.day_bitmaps(runs(spark, sf_dir), ["workspace_id"]))
+    made = []
+    for name, wanted in (("custom", UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05")), ("all", UsageFilter(preset="all"))):
+        span = wanted.resolve(RUNS_NOW)
+        made.append(rollups.bitmap_active_days(held, span).crossJoin(rollups.bitmap_streaks(held)).select(F.lit(name).alias("range"), "active_days", "longest_streak_days"))  # two tables of one row
+    return made[0].unionByName(made[1])
+
+
 def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(runs(spark, sf_dir).groupBy("workspace_name").agg(rollups.sum_breakdown().alias("token_breakdown")))
 
@@ -270,6 +311,17 @@ def alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.normalize_threads(thread_table(spark, sf_dir), UsageConfig(aliases=rules)).groupBy("workspace_path").agg(F.count("*").alias("threads"))
 
 
+def alias_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of fifty rules for every nation, as a table; a third of the chains has a rule switched off, whose path a later rule takes up; others come too late."""
+    n, k = F.col("n_name"), F.col("k")
+    steps = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k"))
+    moved = F.when(k == 0, F.concat(F.lit("C:/"), "r_name", F.lit("/"), n)).otherwise(F.concat(F.lit("d:/moved/"), n, F.lit("/"), k.cast("string"), F.lit("/")))
+    chain = steps.select((F.col("n_nationkey") * 1000 + k).cast("long").alias("ordinal"), moved.alias("source"), F.concat(F.lit("D:\\MOVED\\"), n, F.lit("\\"), (k + 1).cast("string")).alias("target"), ((F.col("n_nationkey") % 3 != 0) | (k != 20)).alias("enabled"))
+    late = steps.select((F.col("n_nationkey") * 1000 + 500 + k).cast("long").alias("ordinal"), moved.alias("source"), F.lit("e:/late").alias("target"), F.lit(True).alias("enabled"))
+    held = paths.with_path_by(thread_table(spark, sf_dir), "cwd", "workspace_path", chain.unionByName(late))
+    return held.groupBy("workspace_path").agg(F.count("*").alias("threads"))
+
+
 def ignored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions with an even key and one nation as a table of ignored paths."""
     regions = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("c:/"), "r_name", F.lit("/"))).otherwise(F.lit("C:\\AMERICA\\nation_1")).alias("path"))
@@ -291,7 +343,7 @@ def anonymize_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anonymize_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    threads, held = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG), runs(spark, sf_dir)
+    threads, held = built(spark, sf_dir)
     return privacy.anonymize_workspaces(rollups.workspace_summary(held, threads), privacy.workspace_numbers(held)).select("workspace_id", "workspace_name", "workspace_path", "raw_path", "runs")
 
 
@@ -322,13 +374,34 @@ def _session_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return f"{folder}/live", f"{folder}/archived"
 
 
-def session_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session files, scanned and read back: one row a session."""
-    found = sessions.by_id(sessions.session_files(readers.session_events(readers.session_lines(spark, *_session_folders(spark, sf_dir))), CAP_MS))
+def _session_columns(found: DataFrame) -> DataFrame:
     parts = [F.col(f"breakdown.{p}").alias(p) for p in tokens.PARTS]
     return plain_times(found.select("stem", "id", "archived", "cwd", "model", "start_time", "end_time", "active_ms", *parts, "parse_warnings"))
 
 
+def session_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session files, scanned and read back: one row a session."""
+    return _session_columns(sessions.by_id(sessions.session_files(readers.session_events(readers.session_lines(spark, *_session_folders(spark, sf_dir))), CAP_MS)))
+
+
+def session_odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with times and numbers of every form that is let pass: mail dates, days alone, started_at, repeated keys, numbers beyond any long."""
+    e, n = events(spark, sf_dir), F.col("event_id")
+    iso, day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("ts", "yyyy-MM-dd")
+    count = '"type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":{'
+    line = (
+        F.when(n % 6 == 0, F.format_string('{"timestamp":"%s","type":"session_meta","payload":{"id":"a","id":"u%d"}}', F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.col("user_id")))
+        .when(n % 6 == 1, F.format_string('{"timestamp":"%s",' + count + '"input_tokens":%d}}}}', day, n % 100))
+        .when(n % 6 == 2, F.format_string('{"type":"event_msg","payload":{"started_at":"%s"}}', iso))
+        .when((n % 6 == 3) & (n % 5 == 0), F.format_string('{"timestamp":"%s",' + count + '"input_tokens":1e20,"output_tokens":99999999999999999999}}}}', iso))
+        .when(n % 6 == 4, F.format_string('{"timestamp":"12:30",' + count + '"input_tokens":5,"input_tokens":%d}}}}', n % 90))
+        .otherwise(F.format_string('{"timestamp":1700000000,"type":"event_msg","n":%d}', n))
+    )
+    lines = e.select(F.concat(F.lit("u"), F.col("user_id") % 50).alias("file"), F.lit(False).alias("archived"), F.struct(F.lit(0).cast("long").alias("block"), n.alias("row")).alias("at"), line.alias("line"))
+    found = sessions.session_files(readers.session_events(lines), CAP_MS)
+    return plain_times(found.select("stem", "id", "start_time", "end_time", "active_ms", *(F.col(f"breakdown.{p}").alias(p) for p in ("input", "output")), "parse_warnings"))
+
+
 def session_jsonl_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by file, of live sessions only."""
     lines = readers.session_lines(spark, *_session_folders(spark, sf_dir), include_archived=False)
@@ -341,8 +414,9 @@ def session_file_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of live session files as a stream: lines, broken ones and times by file."""
-    found = stream.session_events(spark, _session_folders(spark, sf_dir)[0])
+    """Lines of all session files as a stream: lines, broken ones and times by file."""
+    live, archived = _session_folders(spark, sf_dir)
+    found = stream.session_events(spark, live).unionByName(stream.session_events(spark, archived, archived=True))
     stem = paths.file_stem(F.col("file")).alias("stem")
     return stream.drained(found.groupBy(stem).agg(F.count("*").alias("lines"), F.count_if("broken").alias("broken"), F.sum(F.size("times").cast("long")).alias("times")), "stem", "update")
 
@@ -390,6 +464,18 @@ def log_recursive_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.log_breakdowns(readers.log_bodies(e.select(F.col("user_id").cast("string").alias("thread_id"), body.alias("feedback_log_body"))))
 
 
+def log_large_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with numbers that no long holds, as values and as sums, and with repeated keys."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    body = (
+        F.when(n % 24 == 0, F.lit('{"usage": {"input_tokens": 1e20}}')).when(n % 24 == 1, F.lit('{"a": {"input_tokens": 1e400, "output_tokens": 3}}')).when(n % 24 == 2, F.lit('{"a": {"cached_input_tokens": 99999999999999999999}}'))
+        .when(n % 24 == 3, F.lit("output_tokens: 9223372036854775807, output_tokens: 9223372036854775807")).when(n % 24 == 4, F.lit("reasoning_tokens: 123456789012345678901234567890"))
+        .when(n % 3 == 0, F.format_string('{"usage": {"input_tokens": 5, "input_tokens": %d}, "usage": {"output_tokens": 1, "input_tokens": %d, "input_tokens": 2.9}}', n, n))
+        .otherwise(F.format_string('{"usage": {"input_tokens": %d}}', n % 1000))
+    )
+    return sessions.log_breakdowns(readers.log_bodies(e.select((F.col("user_id") % 40).cast("string").alias("thread_id"), body.alias("feedback_log_body"))))
+
+
 # reports
 
 
@@ -400,23 +486,20 @@ def format_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = runs(spark, sf_dir)
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
+    threads, held = built(spark, sf_dir)
     made = [report.snapshot(held, rollups.workspace_summary(held, threads), UsageFilter(view=v, preset="last90"), RUNS_NOW)["cards"] for v in ("time", "tokens")]
     return made[0].unionByName(made[1]).select("id", "value")
 
 
 def project_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = runs(spark, sf_dir)
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
+    threads, held = built(spark, sf_dir)
     wanted = spark.range(1).select(paths.workspace_id(F.lit("C:\\EUROPE\\NATION_3"))).first()[0]
     return report.project_detail(held, rollups.workspace_summary(held, threads), wanted, UsageFilter(preset="all"), RUNS_NOW)["models"]
 
 
 def project_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other tables of project_detail(): workspace, average, buckets, and the newest runs, a row for each with its numbers."""
-    held = runs(spark, sf_dir)
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
+    threads, held = built(spark, sf_dir)
     wanted = spark.range(1).select(paths.workspace_id(F.lit("C:\\EUROPE\\NATION_3"))).first()[0]
     tables = report.project_detail(held, rollups.workspace_summary(held, threads), wanted, UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05"), RUNS_NOW)
     made = [
@@ -430,9 +513,11 @@ def project_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, streak, peak and newest runs of a snapshot, a row for each with its number."""
-    held = runs(spark, sf_dir)
-    threads = fact.normalize_threads(thread_table(spark, sf_dir), CONFIG)
-    tables = report.snapshot(held, rollups.workspace_summary(held, threads), UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05"), RUNS_NOW)
+    threads, held = built(spark, sf_dir)
+    return _snapshot_rows(report.snapshot(held, rollups.workspace_summary(held, threads), UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05"), RUNS_NOW))
+
+
+def _snapshot_rows(tables: dict[str, DataFrame]) -> DataFrame:
     made = [
         tables["totals"].select(F.lit("totals").alias("part"), F.lit("all").alias("key"), F.col("all_tokens").alias("value")),
         tables["streak"].select(F.lit("streak").alias("part"), F.lit("days").alias("key"), F.col("longest_streak_days").cast("long").alias("value")),
@@ -442,6 +527,13 @@ def snapshot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
 
 
+def observed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of the sources of runs, counted while these are persisted."""
+    watch = diagnostics.Observed()
+    SnapshotSet(spark, shared_folder(spark)).commit({"runs": Change(_dated(built(spark, sf_dir, CONFIG, watch)[1]), "start_month")})
+    return watch.profile(spark).select("source", "found", "rows", "n_columns", "columns", F.substring("earliest", 1, 19).alias("earliest"), F.substring("latest", 1, 19).alias("latest"))
+
+
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
     found = diagnostics.source_profile(spark, {name: (table(spark, sf_dir, name), ends.get(name)) for name in TABLES} | {"threads": (None, None)})
@@ -505,6 +597,62 @@ def materialized_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("start_date").agg(F.count("*").alias("runs"), F.sum("total_tokens").alias("tokens"))
 
 
+def _dated(runs: DataFrame) -> DataFrame:
+    return runs.withColumn("start_month", refresh.session_month())
+
+
+def _committed(spark: SparkSession, sf_dir: str) -> SnapshotSet:
+    """Two versions of runs and workspaces: of unarchived threads, then of all."""
+    store = SnapshotSet(spark, shared_folder(spark))
+    for archived in (False, True):
+        threads, held = built(spark, sf_dir, UsageConfig(ignored=(), include_archived=archived))
+        version = store.commit({"runs": Change(_dated(held), "start_month"), "workspaces": Change(rollups.workspace_summary(held, threads))}, {"archived": str(archived)})
+    assert version.number == 2
+    return store
+
+
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both versions of a snapshot set, read after the second was committed: rows and tokens of each table."""
+    store, made = _committed(spark, sf_dir), []
+    for number in store.versions():
+        for name, used in (("runs", "total_tokens"), ("workspaces", "all_time_tokens")):
+            made.append(store.read(name, store.version(number)).agg(F.lit(number).cast("long").alias("version"), F.lit(name).alias("part"), F.count("*").alias("rows"), F.sum(used).alias("tokens")))
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+def cached_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard of snapshot_tables() and the workspaces, out of the tables of a version alone."""
+    store = _committed(spark, sf_dir)
+    tables = report.snapshot(store.read("runs"), store.read("workspaces"), UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05"), RUNS_NOW)
+    return _snapshot_rows(tables).unionByName(tables["workspaces"].select(F.lit("workspace").alias("part"), F.col("workspace_name").alias("key"), F.col("all_time_tokens").alias("value")))
+
+
+def persisted_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range's summary from a persisted table, of which only the range's months are read."""
+    span = UsageFilter(preset="custom", start="1996-02-20", end="1997-03-05").resolve(RUNS_NOW)
+    store = SnapshotSet(spark, shared_folder(spark))
+    store.commit({"runs": Change(_dated(runs(spark, sf_dir)), "start_month")})
+    return flat(rollups.range_summary(rollups.filter_runs(store.read("runs"), "all", span), span)).withColumns({c: F.round(c, 4) for c in ("tokens_per_run", "tokens_per_day", "time_per_run_ms", "time_per_active_day_ms", "time_per_day_ms", "runs_per_day")})
+
+
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session files change after a first refresh: one is new, one longer, one gone, one moved to the archive. The second refresh reads no other."""
+    lines, folder = _session_lines(spark, sf_dir), shared_folder(spark)
+    early = lines.where("file != 's03' and not (file = 's05' and at % 3 = 0)").withColumn("archived", F.col("archived") & (F.col("file") != "s08"))
+    early = early.unionByName(lines.where("file = 's07'").withColumn("file", F.lit("s99")))
+    for name, wanted in (("live", ~F.col("archived")), ("archived", F.col("archived"))):
+        sinks.write_session_files(early.where(wanted), f"{folder}/{name}")
+    store = SnapshotSet(spark, f"{folder}/store")
+    refresh.refresh(store, f"{folder}/live", f"{folder}/archived", cap_ms=CAP_MS)
+    for name in ("s99", "s05", "s08"):
+        sinks.remove(spark, f"{folder}/live/{name}.jsonl")
+    sinks.write_session_files(lines.where("file in ('s03', 's05')"), f"{folder}/live/late")
+    sinks.write_session_files(lines.where("file = 's08'"), f"{folder}/archived/late")
+    done = refresh.refresh(store, f"{folder}/live", f"{folder}/archived", cap_ms=CAP_MS)
+    assert (done.added, done.changed, done.removed) == (3, 0, 3)
+    return _session_columns(sessions.by_id(store.read("sessions")))
+
+
 # streams
 
 
@@ -536,6 +684,7 @@ QUERIES = {
         all_time_bounds, workspace_summary, model_usage, recent_runs, recent_sessions, cache_hit_rate, path_normalize, workspace_id, display_name, alias_rewrite, alias_table, ignored_table,
         hidden_workspaces, anonymize_runs, anonymize_workspaces, anonymize_buckets, log_text_tokens, log_json_tokens, log_recursive_tokens, format_metrics,
         metric_cards, project_detail, project_tables, snapshot_tables, source_profile, parse_warnings_capped, session_jsonl, session_jsonl_live, session_file_count, usage_warnings, actionable_warnings, exports, stream_session_lines, daily_csv_roundtrip, runs_csv_roundtrip, summary_json, materialized_runs,
-        stream_active_time, stream_buckets, stream_week_buckets,
+        stream_active_time, stream_buckets, stream_week_buckets, snapshot_versions, cached_snapshot, persisted_range, incremental_refresh, session_odd_lines, observed_profile, recent_runs_by_workspace,
+        day_bitmaps, bitmap_summary, bitmap_range, alias_rule_table, log_large_numbers,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions.formatting import minutes_of
@@ -60,6 +60,12 @@ def write_session_files(lines: DataFrame, folder: str) -> None:
         system.rename(status.getPath(), path(f"{folder}/{name}.jsonl"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False)
+
+
 def materialize_runs(runs: DataFrame, path: str) -> DataFrame:
     """The fact table by start month, in order of time within its files: a range reads its months only, and of these the row groups of its days."""
     held = runs.withColumns({"start_date": F.to_date("start_time"), "start_month": F.date_format("start_time", "yyyy-MM")})

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.window import Window as W
 
@@ -16,6 +18,12 @@ from runloom.sources import readers
 from runloom.sources.scratch import shared_folder
 
 
+# The processor is unpickled by workers of the driver too, which may have no path to this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def session_events(spark: SparkSession, folder: str, archived: bool = False) -> DataFrame:
     """The session events of files that appear in a folder, as a stream. Streams number no lines, so ``at`` orders the events of a file by their time."""
     read = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").text(folder)
@@ -31,40 +39,81 @@ def usage_buckets(events: DataFrame, time: str, late: str, sums: dict[str, str],
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("key"), "events", *sums)
 
 
-_STATE = "last_ms long, active_ms long, events long, waiting array<long>"
-_OUT = "events long, active_ms long"
-
+class ActiveTime(StatefulProcessor):
+    """Folds a session's times into slices as long as the idle cap, in any order.
 
-def _gaps(times: list[int], last: int | None, cap_ms: int) -> int:
-    steps = ([last] if last is not None else []) + times
-    return sum(min(b - a, cap_ms) for a, b in zip(steps, steps[1:], strict=False))
-
-
-def _grown(session: str, cap_ms: int):
-    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total, events, waiting = state.get if state.exists else (None, 0, 0, [])
-        mark = state.getCurrentWatermarkMs()
-        arrived = [int(ms) for frame in frames for ms in frame["_ms"]]
-        waiting = sorted([*waiting, *(ms for ms in arrived if ms >= mark)])
-        settled = [ms for ms in waiting if ms < mark]
-        total, events = total + _gaps(settled, last, cap_ms), events + len(settled)
-        last, waiting = settled[-1] if settled else last, [ms for ms in waiting if ms >= mark]
-        state.update((last, total, events, waiting))
-        yield pd.DataFrame({session: [key[0]], "events": [events + len(waiting)], "active_ms": [total + _gaps(waiting, last, cap_ms)]})
+    No gap within a slice reaches the cap, so a slice is its first and last time and its number of
+    events. Slices that the watermark has passed are settled: they leave the map for one running sum.
+    """
 
-    return run
+    def __init__(self, session: str, cap_ms: int) -> None:
+        self.session, self.cap_ms = session, max(1, cap_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slices = handle.getMapState("slices", "slice long", "first long, last long, events long")
+        self.settled = handle.getValueState("settled", "last long, active long, events long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        found: dict[int, tuple[int, int, int]] = {}
+        for frame in rows:
+            ms = frame["event_ms"][frame["event_ms"] >= mark]
+            for number, (first, last, events) in ms.groupby(ms // self.cap_ms).agg(["min", "max", "count"]).iterrows():
+                found[int(number)] = _merged(found.get(int(number)), (int(first), int(last), int(events)))
+        for number, new in found.items():
+            old = self.slices.getValue((number,)) if self.slices.exists() else None
+            if old is None:
+                self.handle.registerTimer((number + 1) * self.cap_ms)
+            self.slices.updateValue((number,), _merged(old and tuple(old), new))
+        last, active, events = self._settled()
+        for _, slice_ in self._sorted():
+            last, active, events = self._with(slice_, last, active, events)
+        yield pd.DataFrame({self.session: [key[0]], "events": [events], "active_ms": [active]})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """Settles the slices that end by the time of the timer, in order; nothing new is to be said of them."""
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        last, active, events = self._settled()
+        for number, slice_ in self._sorted():
+            if (number + 1) * self.cap_ms > end:
+                break
+            last, active, events = self._with(slice_, last, active, events)
+            self.slices.removeKey((number,))
+        self.settled.update((last, active, events))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+    def _sorted(self) -> list[tuple[int, tuple[int, int, int]]]:
+        return sorted((int(k[0]), tuple(map(int, v))) for k, v in self.slices.iterator()) if self.slices.exists() else []
+
+    def _settled(self) -> tuple[int | None, int, int]:
+        return tuple(self.settled.get()) if self.settled.exists() else (None, 0, 0)
+
+    def _with(self, slice_: tuple[int, int, int], last: int | None, active: int, events: int) -> tuple[int, int, int]:
+        first, end, n = slice_
+        gap = 0 if last is None else min(first - last, self.cap_ms)
+        return end, active + gap + end - first, events + n
+
+
+def _merged(a: tuple[int, int, int] | None, b: tuple[int, int, int]) -> tuple[int, int, int]:
+    return b if a is None else (min(a[0], b[0]), max(a[1], b[1]), a[2] + b[2])
 
 
 def active_time(events: DataFrame, session: str, time: str, cap_ms: int, late: str) -> DataFrame:
     """Events and capped-gap active time of each session, renewed with each batch that has events of it.
 
-    Times older than the watermark are settled: they are summed up and only the last is kept. Younger
-    ones wait, sorted, so that events out of order count as in a batch run. Events that come after
-    the watermark has passed them are dropped.
+    A session's state grows with the slices of time between the watermark and now in which it has
+    events, not with their number, and events out of order count as in a batch run. Events that come
+    after the watermark has passed them are dropped. Needs the RocksDB state store, which the session
+    is set to use.
     """
     kind = dict(events.dtypes)[session]
-    held = events.withWatermark(time, late).select(session, F.unix_millis(F.col(time)).alias("_ms"), time)
-    return held.groupBy(session).applyInPandasWithState(_grown(session, cap_ms), f"{session} {kind}, {_OUT}", _STATE, "update", GroupStateTimeout.NoTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    held = events.withWatermark(time, late).select(session, F.unix_millis(F.col(time)).alias("event_ms"), time)  # names that begin with _ are lost on the way
+    return held.groupBy(session).transformWithStateInPandas(ActiveTime(session, cap_ms), f"{session} {kind}, events long, active_ms long", "Update", "EventTime")
 
 
 def drained(stream: DataFrame, key: str, mode: str) -> DataFrame:
