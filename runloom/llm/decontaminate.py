@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from runloom.llm.tables import SENT_ROWS, discard, keep_ids, saved, text_bytes
+from runloom.llm.tables import SENT_ROWS, by_row, discard, keep_ids, own_ids, saved, text_bytes
 
 #: At most this many anchors, each with the words of its window, are sent to all tasks; more are joined.
 SENT_ANCHORS = 200_000
@@ -173,11 +173,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, rarest: in
     Words are runs of digits, lower-cased A-Z and characters beyond ASCII. A word is hit if it lies in
     an occurrence of a window of an item (item_id, text). n_near is the number of items without such
     an occurrence that have proximity matches; these do not make a document contaminated. A text or item that is null or empty has no
-    words; such an item has no window. Without items, or without documents, nothing is hit. Repeated
-    rows stay and each gets the same result; rows that share a doc_id (or have none) share their hits.
-    Other columns are ignored.
+    words; such an item has no window. Without items, or without documents, nothing is hit. Every row
+    is judged by its own text, whatever its doc_id; ids that are missing or repeated cost one more
+    table of the texts, as rows are then numbered. Other columns are ignored.
     """
-    docs, wins = docs.select("doc_id", "text"), saved(windows(items.select("item_id", "text"), width))
+    docs = docs.select("doc_id", "text")
+    if own_ids(docs):
+        return _decontaminate(docs, items, width, rarest, slop, near)
+    rows = by_row(docs)
+    found = _decontaminate(rows.select(F.col("row").alias("doc_id"), "text"), items, width, rarest, slop, near)
+    return rows.select("row", "doc_id").join(found.withColumnRenamed("doc_id", "row"), "row").drop("row")
+
+
+def _decontaminate(docs: DataFrame, items: DataFrame, width: int, rarest: int, slop: int, near: bool) -> DataFrame:
+    """The same for documents of which each has a doc_id of its own."""
+    wins = saved(windows(items.select("item_id", "text"), width))
     anchor = anchors(docs, wins, rarest)
     index = build_index(docs, anchor, width)
     found = matches(index, anchor, slop)

@@ -87,6 +87,7 @@ def linked(keyed: DataFrame, nodes: Callable[[DataFrame], DataFrame], fits: Call
 def _with(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components of what is connected already and more links."""
     if links.isEmpty():
+        discard(links)
         return found
     out = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links))
     discard(found, links)

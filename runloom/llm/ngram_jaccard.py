@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.linking import linked
-from runloom.llm.tables import discard, keep_ids, saved, text_bytes
+from runloom.llm.tables import by_row, discard, keep_ids, own_ids, saved, text_bytes
 
 #: Sketches of a set that has empty blocks under one seed after the other.
 DEEPEST = 8
@@ -261,28 +261,40 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int
     Two documents link when den * |intersection| >= num * |union| of their sets of word n-grams;
     component_id is the smallest doc_id reachable by links. A text of fewer words is one n-gram. A
     text without words (or null) has an empty set, links with nothing and is its own component.
-    Repeated rows stay, each with the same component. Rows without doc_id stay; they are in the
-    component of equal texts that have one, else component_id is null. An empty table gives none.
+    Every row is a document of its own, whatever its doc_id: rows that share one are compared by
+    their own texts, and rows without one link others too; component_id is null where no row of the
+    component has an id. An empty table gives none. Ids that are missing or repeated cost one more
+    table of the texts, as rows are then numbered.
     """
     t, docs = Threshold(num, den), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if own_ids(docs):
+        return _components(docs, n, t)
+    rows = by_row(docs)
+    found = saved(_components(rows.select(F.col("row").alias("doc_id"), "text"), n, t))
+    placed = rows.select("row", "doc_id").join(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group")), "row")
+    named = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(named, "group").select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """The same for documents of which each has a doc_id of its own."""
     made = saved(docs.select("doc_id", text_bytes()).mapInArrow(_classes(n, t), _MADE))
     members = made.select("doc_id", "n_shingles", "high", "low")
     classes = saved(members.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("id")))
-    ids = classes.where("id is not null").select("id")
-    reps = made.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    reps = made.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     kept: list[DataFrame] = []
 
     def nodes(shared: DataFrame) -> DataFrame:
         """Sets and sketches of the ids that share keys, written once."""
         held = keep_ids(docs, shared.select(F.col("id").alias("doc_id")), "doc_id").select("doc_id", text_bytes())
-        kept.append(saved(held.mapInArrow(_sets(n, t), _SETS).dropDuplicates(["id"])))
+        kept.append(saved(held.mapInArrow(_sets(n, t), _SETS)))
         return kept[0].select("id", "n", F.struct("n", "band", "sketch", "above", "folded").alias("mark"))
 
     def verifier(_: DataFrame):
         a, b = (kept[0].select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         return lambda pairs: saved(pairs.join(a, "a").join(b, "b").mapInArrow(_similar(t), "a long, b long"))
 
-    fits = lambda x, y: F.least(x, y) * F.lit(den) >= F.greatest(x, y) * F.lit(num)
+    fits = lambda x, y: F.least(x, y) * F.lit(t.den) >= F.greatest(x, y) * F.lit(t.num)
     found = linked(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), nodes, fits, _near(t), verifier)
     discard(*kept)
 
