@@ -229,10 +229,19 @@ def _streak(days: str, by: str) -> str:
 ORACLE_SQL |= {
     "snapshot_versions": f"""WITH {_RUNS}, v AS (SELECT 1 AS version, * FROM runs WHERE NOT archived UNION ALL SELECT 2, * FROM runs)
 SELECT CAST(version AS BIGINT) AS version, 'runs' AS part, count(*) AS rows, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM v GROUP BY 1
-UNION ALL SELECT version, 'workspaces', (SELECT count(DISTINCT workspace_id) FROM threads), CAST(sum(total_tokens) AS BIGINT) FROM v GROUP BY 1""",
+UNION ALL SELECT version, 'workspaces', (SELECT count(DISTINCT workspace_id) FROM threads), CAST(sum(total_tokens) AS BIGINT) FROM v GROUP BY 1
+UNION ALL SELECT x, 'warnings', (SELECT count(*) FROM ({ORACLE_SQL["usage_warnings"]})), NULL FROM (VALUES (1), (2)) t(x)""",
     "cached_snapshot": ORACLE_SQL["snapshot_tables"] + " UNION ALL SELECT 'workspace', workspace_name, CAST(sum(total_tokens) AS BIGINT) FROM runs GROUP BY 2",
     "persisted_range": _RANGE,
     "incremental_refresh": ORACLE_SQL["session_jsonl"],
+    "refreshed_runs": f"""WITH s AS ({ORACLE_SQL["session_jsonl"]}),
+u AS (SELECT 'u' || user_id AS id, printf('s%02d', user_id % 40) AS stem, user_id % 2 = 0 AS logged, date_trunc('millisecond', min(ts)) AS a, date_trunc('millisecond', max(ts)) AS b, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS t, CAST(sum(event_id % 7) AS BIGINT) AS i, CAST(sum(event_id % 5) AS BIGINT) AS o FROM events WHERE user_id % 13 <> 6 GROUP BY user_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY archived DESC, stem) AS n FROM s),
+j AS (SELECT u.*, k.id IS NOT NULL AS named, CASE WHEN k.id IS NOT NULL THEN struct_pack(k.start_time, k.end_time, k.active_ms, k.input, k.output, k.cached) WHEN s.stem IS NOT NULL THEN struct_pack(s.start_time, s.end_time, s.active_ms, s.input, s.output, s.cached) END AS f
+  FROM u LEFT JOIN k ON k.id = u.id AND k.n = 1 LEFT JOIN s ON s.stem = u.stem),
+r AS (SELECT id, coalesce(f.start_time, a) AS start_time, coalesce(f.end_time, b) AS end_time, coalesce(f.active_ms, 0) AS active, t, coalesce(f.input, CASE WHEN logged THEN i END) AS input, coalesce(f.output, CASE WHEN logged THEN o END) AS output, coalesce(f.cached, CASE WHEN logged THEN 0 END) AS cached FROM j)
+SELECT id, start_time, end_time, CAST(CASE WHEN active > 0 THEN active ELSE least(greatest(epoch_ms(end_time) - epoch_ms(start_time), 0), {DAY_CAP}) END AS BIGINT) AS duration_ms, CASE WHEN active > 0 THEN 'jsonl-events' ELSE 'thread-span' END AS duration_method,
+  t AS total_tokens, input, output, cached, CAST(NULL AS BIGINT) AS reasoning, {_RATE.format(i="input", c="cached")} AS cache_hit_rate, CASE WHEN coalesce(input, output, cached) IS NULL THEN 'Breakdown unavailable for this run.' END AS unavailable_reason FROM r""",
     "session_odd_lines": f"""WITH e AS (SELECT user_id % 50 AS b, user_id, event_id AS n, event_id % 6 AS k, date_trunc('second', ts) AS s, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day FROM events),
 t AS (SELECT b, CASE WHEN k = 1 THEN day WHEN k IN (0, 2) OR (k = 3 AND n % 5 = 0) THEN s END AS t FROM e),
 g AS (SELECT b, t, least(greatest(epoch_ms(t) - lag(epoch_ms(t)) OVER (PARTITION BY b ORDER BY t), 0), 10800000) AS gap FROM t WHERE t IS NOT NULL),

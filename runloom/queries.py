@@ -6,6 +6,7 @@ events for session events (a user is a session).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -602,22 +603,27 @@ def _dated(runs: DataFrame) -> DataFrame:
 
 
 def _committed(spark: SparkSession, sf_dir: str) -> SnapshotSet:
-    """Two versions of runs and workspaces: of unarchived threads, then of all."""
-    store = SnapshotSet(spark, shared_folder(spark))
+    """Two versions of runs, workspaces and warnings: of unarchived threads, then of all."""
+    store, found = SnapshotSet(spark, shared_folder(spark)), _warnings(spark, sf_dir, True)
     for archived in (False, True):
         threads, held = built(spark, sf_dir, UsageConfig(ignored=(), include_archived=archived))
-        version = store.commit({"runs": Change(_dated(held), "start_month"), "workspaces": Change(rollups.workspace_summary(held, threads))}, {"archived": str(archived)})
+        tables = {"runs": Change(_dated(held), "start_month"), "workspaces": Change(rollups.workspace_summary(held, threads))}
+        version = store.commit(tables | ({} if archived else {"warnings": Change(found)}), {"archived": str(archived)})
     assert version.number == 2
     return store
 
 
 def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both versions of a snapshot set, read after the second was committed: rows and tokens of each table."""
+    """Both versions of a snapshot set, read after the second was committed: rows and tokens of each table. Warnings were committed with the first and taken over."""
     store, made = _committed(spark, sf_dir), []
     for number in store.versions():
         for name, used in (("runs", "total_tokens"), ("workspaces", "all_time_tokens")):
             made.append(store.read(name, store.version(number)).agg(F.lit(number).cast("long").alias("version"), F.lit(name).alias("part"), F.count("*").alias("rows"), F.sum(used).alias("tokens")))
-    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+        made.append(store.read("warnings", store.version(number)).agg(F.lit(number).cast("long").alias("version"), F.lit("warnings").alias("part"), F.count("*").alias("rows"), F.lit(None).cast("long").alias("tokens")))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def cached_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -635,24 +641,55 @@ def persisted_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rollups.range_summary(rollups.filter_runs(store.read("runs"), "all", span), span)).withColumns({c: F.round(c, 4) for c in ("tokens_per_run", "tokens_per_day", "time_per_run_ms", "time_per_active_day_ms", "time_per_day_ms", "runs_per_day")})
 
 
-def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session files change after a first refresh: one is new, one longer, one gone, one moved to the archive. The second refresh reads no other."""
+def _changing_files(spark: SparkSession, sf_dir: str) -> tuple[str, Callable[[], None]]:
+    """A folder of session files, and what changes them: one is new, one longer, one gone, one moved to the archive."""
     lines, folder = _session_lines(spark, sf_dir), shared_folder(spark)
     early = lines.where("file != 's03' and not (file = 's05' and at % 3 = 0)").withColumn("archived", F.col("archived") & (F.col("file") != "s08"))
     early = early.unionByName(lines.where("file = 's07'").withColumn("file", F.lit("s99")))
     for name, wanted in (("live", ~F.col("archived")), ("archived", F.col("archived"))):
         sinks.write_session_files(early.where(wanted), f"{folder}/{name}")
+
+    def change() -> None:
+        for name in ("s99", "s05", "s08"):
+            sinks.remove(spark, f"{folder}/live/{name}.jsonl")
+        sinks.write_session_files(lines.where("file in ('s03', 's05')"), f"{folder}/live/late")
+        sinks.write_session_files(lines.where("file = 's08'"), f"{folder}/archived/late")
+
+    return folder, change
+
+
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions after a second refresh, which reads no other files than those that changed since the first."""
+    folder, change = _changing_files(spark, sf_dir)
     store = SnapshotSet(spark, f"{folder}/store")
     refresh.refresh(store, f"{folder}/live", f"{folder}/archived", cap_ms=CAP_MS)
-    for name in ("s99", "s05", "s08"):
-        sinks.remove(spark, f"{folder}/live/{name}.jsonl")
-    sinks.write_session_files(lines.where("file in ('s03', 's05')"), f"{folder}/live/late")
-    sinks.write_session_files(lines.where("file = 's08'"), f"{folder}/archived/late")
+    change()
     done = refresh.refresh(store, f"{folder}/live", f"{folder}/archived", cap_ms=CAP_MS)
     assert (done.added, done.changed, done.removed) == (3, 0, 3)
     return _session_columns(sessions.by_id(store.read("sessions")))
 
 
+def refreshed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of users as threads after a second refresh: session files have changed, and some threads are new, gone, or have other tokens."""
+    folder, change = _changing_files(spark, sf_dir)
+    n, user = F.col("event_id"), F.col("user_id")
+    users = events(spark, sf_dir).groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.sum(F.floor("value").cast("long")).alias("tokens_used"), F.sum(n % 7).alias("input"), F.sum(n % 5).alias("output"))
+
+    def threads(wanted: Column, tokens_used: Column) -> refresh.Threads:
+        named = F.concat(F.lit("u"), user)
+        held = users.where(wanted).select(
+            named.alias("id"), F.format_string("/x/s%02d.jsonl", user % 40).alias("rollout_path"), F.unix_millis("a").alias("created_at_ms"), F.unix_millis("b").alias("updated_at_ms"), tokens_used.alias("tokens_used"), "user_id", "input", "output"
+        )
+        logs = held.where(user % 2 == 0).select(F.col("id").alias("thread_id"), "input", "output", F.lit(0).cast("long").alias("cached"), F.lit(None).cast("long").alias("reasoning"))
+        return refresh.Threads(fact.normalize_threads(held, CONFIG), logs, CONFIG)
+
+    store, used = SnapshotSet(spark, f"{folder}/store"), F.col("tokens_used")
+    refresh.refresh(store, f"{folder}/live", f"{folder}/archived", cap_ms=CAP_MS, threads=threads(user % 13 != 5, F.when(user % 11 == 3, -1).otherwise(used)))
+    change()
+    refresh.refresh(store, f"{folder}/live", f"{folder}/archived", cap_ms=CAP_MS, threads=threads(user % 13 != 6, used))
+    return plain_times(flat(store.read("runs").select("id", "start_time", "end_time", "duration_ms", "duration_method", "total_tokens", "token_breakdown")))
+
+
 # streams
 
 
@@ -684,7 +721,7 @@ QUERIES = {
         all_time_bounds, workspace_summary, model_usage, recent_runs, recent_sessions, cache_hit_rate, path_normalize, workspace_id, display_name, alias_rewrite, alias_table, ignored_table,
         hidden_workspaces, anonymize_runs, anonymize_workspaces, anonymize_buckets, log_text_tokens, log_json_tokens, log_recursive_tokens, format_metrics,
         metric_cards, project_detail, project_tables, snapshot_tables, source_profile, parse_warnings_capped, session_jsonl, session_jsonl_live, session_file_count, usage_warnings, actionable_warnings, exports, stream_session_lines, daily_csv_roundtrip, runs_csv_roundtrip, summary_json, materialized_runs,
-        stream_active_time, stream_buckets, stream_week_buckets, snapshot_versions, cached_snapshot, persisted_range, incremental_refresh, session_odd_lines, observed_profile, recent_runs_by_workspace,
+        stream_active_time, stream_buckets, stream_week_buckets, snapshot_versions, cached_snapshot, persisted_range, incremental_refresh, refreshed_runs, session_odd_lines, observed_profile, recent_runs_by_workspace,
         day_bitmaps, bitmap_summary, bitmap_range, alias_rule_table, log_large_numbers,
     )
 }
