@@ -57,11 +57,11 @@ def normalize(path: Column, aliases: Iterable[AliasRule] = ()) -> Column:
 
 
 def with_path(df: DataFrame, raw: str, name: str, aliases: Iterable[AliasRule] = (), most: int = 32) -> DataFrame:
-    """``df`` with ``name``, the normalised path in ``raw``. More than ``most`` rules are no expression but a table of their ends, sent to all tasks and joined."""
+    """``df`` with ``name``, the normalised path in ``raw``. More than ``most`` rules are no expression but a table of their ends, which Spark joins as its size allows. Rules that are a table already go through with_path_by()."""
     ends = resolved(aliases)
     if len(ends) <= most:
         return df.withColumn(name, normalize(F.col(raw), aliases))
-    rules = F.broadcast(df.sparkSession.createDataFrame(list(ends.items()), "_source string, _target string"))  # as large as the job's parameter
+    rules = df.sparkSession.createDataFrame(list(ends.items()), "_source string, _target string")  # Spark knows its size
     held = df.withColumn(name, normalize(F.col(raw))).join(rules, F.lower(name) == F.col("_source"), "left")
     return held.withColumn(name, F.coalesce("_target", name)).drop("_source", "_target")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -77,6 +77,9 @@ def _lines(spark: SparkSession, wanted: DataFrame, live: str, archived: str | No
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
+Derived = Callable[[Callable[[str], DataFrame]], Mapping[str, Change]]
+
+
 @dataclass(frozen=True)
 class Threads:
     """What runs are built from beside sessions: threads as normalised, log counts (thread_id and counts), and how."""
@@ -119,6 +122,8 @@ def _run_changes(store: SnapshotSet, base: Version | None, threads: Threads, gon
         sessions_ = new.select("id", "stem") if old_sessions is None else new.select("id", "stem").union(old_sessions.join(gone, "file", "left_semi").select("id", "stem"))
         met = held.join(sessions_.select("id").distinct(), "id", "left_semi").select("id").union(held.join(sessions_.select(F.col("stem").alias("_stem")).distinct(), "_stem", "left_semi").select("id"))
         affected = saved(differ.union(met).distinct())
+        if affected.isEmpty():
+            return {}, ()
     every = new if old_sessions is None else old_sessions.join(gone, "file", "left_anti").drop(MONTH).unionByName(new.drop(MONTH))
     own = saved(held.join(affected, "id", "left_semi"))
     by_id = sessions.by_id(every.join(own.select("id").distinct(), "id", "left_semi"))
@@ -130,14 +135,15 @@ def _run_changes(store: SnapshotSet, base: Version | None, threads: Threads, gon
     return {"runs": _renewed(store, base, "runs", made, affected, "id", touched), "threads": Change(marks)}, touched
 
 
-def refresh(store: SnapshotSet, live: str, archived: str | None = None, include_archived: bool = True, cap_ms: int = 1_800_000, force: bool = False, threads: Threads | None = None) -> Refreshed:
+def refresh(store: SnapshotSet, live: str, archived: str | None = None, include_archived: bool = True, cap_ms: int = 1_800_000, force: bool = False, threads: Threads | None = None, derived: Derived | None = None) -> Refreshed:
     """Brings tables ``files`` and ``sessions`` of a snapshot set, and ``runs`` if there are threads, up to date, as one new version.
 
     A file counts as changed if its size or time of modification is not what it was. Only added and
     changed files are read. A month is written anew if it loses or gets a row: what it keeps is read
     from the version before, all other months are taken over as they are. Another idle cap or
-    configuration, or ``force``, makes every file and thread a changed one. Without any change of
-    files, and without threads, no version is made.
+    configuration, or ``force``, makes every file and thread a changed one. Without any change no
+    version is made. ``derived`` is given each table as it will be in the new version, and returns
+    further changes that belong to it.
     """
     spark, base = store.spark, store.version()
     known = base is not None and "files" in base.tables
@@ -157,12 +163,20 @@ def refresh(store: SnapshotSet, live: str, archived: str | None = None, include_
     stamps = wanted.select("file", "archived", "length", "modified").join(new.select("file", MONTH), "file", "left").na.fill(NO_MONTH, [MONTH])  # a file of blank lines has no session
     touched = _months(changes.select(F.col("month").alias(MONTH)), stamps)
     gone = changes.where("status != 'added'").select("file")
-    made = {name: _renewed(store, base if known else None, name, rows, gone, "file", touched) for name, rows in (("files", stamps), ("sessions", new))}
-    months = touched
+    made = {name: _renewed(store, base if known else None, name, rows, gone, "file", touched) for name, rows in (("files", stamps), ("sessions", new))} if counts or not known else {}
+    months: Sequence[str] = ()
     if threads is not None:
         old = store.read("sessions", base) if known else None
         more, months = _run_changes(store, None if fresh else base, threads, gone, new, old)
         made |= more
-    version = store.commit(made, settings, base)
+
+    def after(name: str) -> DataFrame:
+        change = made.get(name)
+        if change is None or change.replaced is None:
+            return store.read(name, base) if change is None else change.rows
+        rest = [p.value for p in base.tables[name].parts if p.value not in set(change.replaced)]
+        return store.read(name, base, rest).unionByName(change.rows)
+
+    version = store.commit(made | (derived(after) if derived else {}), settings, base) if made else base
     discard(now, changes, new)
     return Refreshed(version, added, changed, removed, tuple(sorted({*touched, *months})))

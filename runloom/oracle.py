@@ -250,6 +250,17 @@ c AS (SELECT b, n, CASE WHEN k = 1 THEN n % 100 WHEN k = 4 THEN n % 90 WHEN k =
 m AS (SELECT b, max_by(struct_pack(i, o), (CAST(i AS DOUBLE) + CAST(coalesce(o, 0) AS DOUBLE), n)) FILTER (WHERE i > 0) AS best FROM c GROUP BY 1),
 d AS (SELECT b, max_by('u' || user_id, n) FILTER (WHERE k = 0) AS id FROM e GROUP BY 1)
 SELECT 'u' || d.b AS stem, coalesce(id, 'u' || d.b) AS id, start_time, end_time, coalesce(active_ms, 0) AS active_ms, CAST(best.i AS BIGINT) AS input, CAST(best.o AS BIGINT) AS output, CAST(0 AS BIGINT) AS parse_warnings FROM d JOIN m ON m.b = d.b LEFT JOIN a ON a.b = d.b""",
+    "usage_reports": f"""WITH s AS ({ORACLE_SQL["session_jsonl"]}),
+u AS (SELECT 'u' || user_id AS id, user_id, printf('s%02d', user_id % 40) AS stem, date_trunc('millisecond', min(ts)) AS a, date_trunc('millisecond', max(ts)) AS b, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS t FROM events GROUP BY user_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY archived DESC, stem) AS n FROM s),
+r AS (SELECT u.*, CASE WHEN coalesce(CASE WHEN k.id IS NOT NULL THEN k.active_ms ELSE s.active_ms END, 0) > 0 THEN CASE WHEN k.id IS NOT NULL THEN k.active_ms ELSE s.active_ms END
+  ELSE greatest(0, least(epoch_ms(coalesce(CASE WHEN k.id IS NOT NULL THEN k.end_time ELSE s.end_time END, b)) - epoch_ms(coalesce(CASE WHEN k.id IS NOT NULL THEN k.start_time ELSE s.start_time END, a)), 259200000)) END AS ms
+  FROM u LEFT JOIN k ON k.id = u.id AND k.n = 1 LEFT JOIN s ON s.stem = u.stem),
+f AS (SELECT count(*) FILTER (WHERE parse_warnings > 0) AS n FROM s)
+SELECT 'totals' AS part, 'tokens' AS key, CAST(sum(t) AS BIGINT) AS value FROM u UNION ALL SELECT 'before', 'tokens', CAST(sum(t) AS BIGINT) FROM u WHERE user_id % 13 <> 5
+UNION ALL SELECT 'workspace', CAST(user_id % 5 AS VARCHAR), CAST(sum(t) AS BIGINT) FROM u GROUP BY 2 UNION ALL SELECT 'summary', 'agent_time_ms', CAST(sum(ms) AS BIGINT) FROM r
+UNION ALL SELECT 'warnings', 'parse_warning', least(n, 20) + CASE WHEN n > 20 THEN 1 ELSE 0 END FROM f WHERE n > 0 UNION ALL SELECT 'warnings', 'privacy', 1 UNION ALL SELECT 'warnings', 'missing_source', 1
+UNION ALL SELECT 'files', 'archived', count(*) FROM s WHERE archived""",
     "observed_profile": f"SELECT * FROM ({_profile()}) WHERE source IN ('region', 'nation', 'customer', 'orders', 'lineitem')",
     "recent_runs_by_workspace": f"WITH {_RUNS} SELECT id, workspace_name, start_time, total_tokens FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY start_time DESC, id) AS n FROM runs) WHERE n <= 10",
     "day_bitmaps": "SELECT user_id, strftime(ts, '%Y-%m') AS start_month, CAST(bit_or(CAST(1 AS BIGINT) << CAST(day(ts) - 1 AS INTEGER)) AS BIGINT) AS days FROM events GROUP BY 1, 2",

@@ -18,6 +18,7 @@ from runloom.functions import paths, times, tokens
 from runloom.operators import diagnostics, privacy, refresh, rollups, sessions
 from runloom.operators import runs as fact
 from runloom.plans import report
+from runloom.plans.usage import Sources, Usage
 from runloom.sources import readers, sinks
 from runloom.sources.scratch import saved, shared_folder
 from runloom.sources.snapshots import Change, SnapshotSet
@@ -690,6 +691,36 @@ def refreshed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_times(flat(store.read("runs").select("id", "start_time", "end_time", "duration_ms", "duration_method", "total_tokens", "token_breakdown")))
 
 
+def usage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: sources, a refresh, changes, another refresh, and reports of the newest version and of the one before."""
+    folder, change = _changing_files(spark, sf_dir)
+    n, user = F.col("event_id"), F.col("user_id")
+    users = events(spark, sf_dir).groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.sum(F.floor("value").cast("long")).alias("tokens_used"))
+    threads = users.select(
+        F.concat(F.lit("u"), user).alias("id"), F.format_string("/x/s%02d.jsonl", user % 40).alias("rollout_path"), F.unix_millis("a").alias("created_at_ms"), F.unix_millis("b").alias("updated_at_ms"),
+        F.concat(F.lit("c:/team/"), (user % 5).cast("string")).alias("cwd"), "tokens_used",
+    )
+    bodies = events(spark, sf_dir).where(user % 2 == 0).select(F.concat(F.lit("u"), user).alias("thread_id"), F.format_string('{"usage": {"input_tokens": %d}}', n % 7).alias("feedback_log_body"))
+    held = {"threads": threads.where(user % 13 != 5)}
+    job = Usage(spark, f"{folder}/store", Sources(f"{folder}/live", lambda: held["threads"], f"{folder}/archived", lambda: bodies), UsageConfig(idle_gap_minutes=180, ignored=()))
+    assert job.cached_snapshot(UsageFilter(preset="all"), EVENTS_NOW) is None
+    job.refresh()
+    change()
+    held["threads"] = threads
+    job.refresh()
+    tables, made = job.cached_snapshot(UsageFilter(preset="all"), EVENTS_NOW), []
+    made.append(tables["totals"].select(F.lit("totals").alias("part"), F.lit("tokens").alias("key"), F.col("all_tokens").alias("value")))
+    made.append(job.snapshot(UsageFilter(preset="all"), EVENTS_NOW, 1)["totals"].select(F.lit("before").alias("part"), F.lit("tokens").alias("key"), F.col("all_tokens").alias("value")))
+    made.append(tables["workspaces"].select(F.lit("workspace").alias("part"), F.col("workspace_name").alias("key"), F.col("all_time_tokens").alias("value")))
+    made.append(job.diagnostics()["warnings"].groupBy("code").count().select(F.lit("warnings").alias("part"), F.col("code").alias("key"), F.col("count").alias("value")))
+    made.append(tables["summary"].select(F.lit("summary").alias("part"), F.lit("agent_time_ms").alias("key"), F.col("agent_time_ms").alias("value")))
+    made.append(job.store.read("files").agg(F.lit("files").alias("part"), F.lit("archived").alias("key"), F.count_if("archived").alias("value")))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # streams
 
 
@@ -721,7 +752,7 @@ QUERIES = {
         all_time_bounds, workspace_summary, model_usage, recent_runs, recent_sessions, cache_hit_rate, path_normalize, workspace_id, display_name, alias_rewrite, alias_table, ignored_table,
         hidden_workspaces, anonymize_runs, anonymize_workspaces, anonymize_buckets, log_text_tokens, log_json_tokens, log_recursive_tokens, format_metrics,
         metric_cards, project_detail, project_tables, snapshot_tables, source_profile, parse_warnings_capped, session_jsonl, session_jsonl_live, session_file_count, usage_warnings, actionable_warnings, exports, stream_session_lines, daily_csv_roundtrip, runs_csv_roundtrip, summary_json, materialized_runs,
-        stream_active_time, stream_buckets, stream_week_buckets, snapshot_versions, cached_snapshot, persisted_range, incremental_refresh, refreshed_runs, session_odd_lines, observed_profile, recent_runs_by_workspace,
+        stream_active_time, stream_buckets, stream_week_buckets, snapshot_versions, cached_snapshot, persisted_range, incremental_refresh, refreshed_runs, usage_reports, session_odd_lines, observed_profile, recent_runs_by_workspace,
         day_bitmaps, bitmap_summary, bitmap_range, alias_rule_table, log_large_numbers,
     )
 }

@@ -10,9 +10,10 @@ from datetime import UTC, date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.config import AliasRule, UsageFilter
+from runloom.config import AliasRule, UsageConfig, UsageFilter
 from runloom.functions import paths
 from runloom.operators import diagnostics, privacy, ranks, refresh, rollups, sessions
+from runloom.operators import runs as fact
 from runloom.sources import readers
 from runloom.sources.snapshots import Change, CommitConflict, SnapshotSet
 
@@ -64,6 +65,16 @@ def test_a_failed_write_leaves_the_old_version(spark, store):
     assert store.versions() == [1]
 
 
+def test_orphans(spark, store, tmp_path):
+    store.commit({"a": Change(months(spark, ("2024-01", 1)), "month")})
+    with pytest.raises(Exception, match="no"):
+        store.commit({"b": Change(months(spark, ("y", 1))), "a": Change(months(spark, ("2024-01", 5)).withColumn("n", F.raise_error(F.lit("no")).cast("int")), "month")})
+    assert store.remove_orphans() == []
+    assert len(store.remove_orphans(0)) == 1
+    assert not list((tmp_path / "set/data/b").glob("commit_id=*"))
+    assert rows_of(store.read("a")) == [("2024-01", 1)]
+
+
 def test_two_commits_on_one_version(spark, store):
     base = store.commit({"a": Change(months(spark, ("2024-01", 1)), "month")})
     store.commit({"a": Change(months(spark, ("2024-01", 2)), "month")}, base=base)
@@ -151,6 +162,47 @@ def test_refresh_equals_a_rebuild(spark, store, tmp_path):
     assert everything(SnapshotSet(spark, store.root).read("sessions", store.version(1)).select("id")) != everything(store.read("sessions").select("id"))
 
 
+def test_refreshed_runs_are_those_of_a_rebuild(spark, store, tmp_path):
+    """Only runs whose thread, logs or sessions changed are built anew, and only their months are written."""
+    config = UsageConfig()
+    live = tmp_path / "live"
+    for i in range(6):
+        write(live / f"s{i}.jsonl", line(f"2024-0{i % 3 + 1}-10T00:00:00Z", id=f"t{i}"), line(f"2024-0{i % 3 + 1}-10T00:05:00Z"))
+
+    def threads(rows, logs=(("t1", 5),)):
+        made = spark.createDataFrame(rows, "id string, rollout_path string, created_at long, updated_at long, tokens_used long")
+        counts = spark.createDataFrame([(t, n, n, 0, None) for t, n in logs], "thread_id string, input long, output long, cached long, reasoning long")
+        return refresh.Threads(fact.normalize_threads(made, config), counts, config)
+
+    def rebuilt(rows, logs=(("t1", 5),)):
+        other = SnapshotSet(spark, f"file://{tmp_path}/other{random.random()}")
+        refresh.refresh(other, str(live), threads=threads(rows, logs))
+        return everything(other.read("runs"))
+
+    rows = [(f"t{i}", f"/x/s{i}.jsonl", 1_700_000_000 + i * 3_000_000, 1_700_000_100 + i * 3_000_000, i) for i in range(9)]
+    refresh.refresh(store, str(live), threads=threads(rows))
+    assert everything(store.read("runs")) == rebuilt(rows)
+    again = refresh.refresh(store, str(live), threads=threads(rows))
+    assert (again.version.number, again.months) == (1, ())
+
+    rows[8] = (*rows[8][:4], 99)
+    (live / "s1.jsonl").unlink()
+    before = {(p.commit, p.value) for p in store.version().tables["runs"].parts}
+    done = refresh.refresh(store, str(live), threads=threads(rows))
+    assert done.removed == 1
+    assert everything(store.read("runs")) == rebuilt(rows)
+    kept = {v for _, v in before & {(p.commit, p.value) for p in store.version().tables["runs"].parts}}
+    assert {"2024-01", "2024-03"} <= kept
+    assert not {"2024-02", "2024-08"} & kept
+
+    rows = rows[:4] + rows[5:] + [("new", "/y/s0.jsonl", 1_700_000_000, 1_700_000_500, 3)]
+    write(live / "deep/s0.jsonl", line("2023-02-01T00:00:00Z", cwd="/w"), line("2023-02-01T00:09:00Z"))
+    refresh.refresh(store, str(live), threads=threads(rows, [("t1", 5), ("t7", 8)]))
+    assert everything(store.read("runs")) == rebuilt(rows, [("t1", 5), ("t7", 8)])
+    assert {r["id"]: r["token_breakdown"]["input"] for r in store.read("runs").collect()}["t7"] == 8
+    assert len(store.versions()) == 3
+
+
 def test_refresh_with_many_changes_and_other_settings(spark, store, tmp_path, monkeypatch):
     monkeypatch.setattr(refresh, "NAMED_FILES", 2)
     live = tmp_path / "live"
