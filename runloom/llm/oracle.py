@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runloom.llm.quality_rules import COMMON, REFERENCE_WORDS, Limits
+from runloom.llm.quality_rules import COMMON, Limits
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -59,9 +59,9 @@ _BY_CLASS = " + ".join(_js(f"(d.c{i} / ({_ALL}))", f"(r.c{i} / ({_REF_ALL}))") f
 
 QUALITY_RULES = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 c AS (SELECT doc_id, lang, t, ws, len(ws) AS n, {_COUNTS} FROM d),
-r AS (SELECT lang, sum(n) AS n, {", ".join(f"sum(c{i}) AS c{i}" for i in range(7))} FROM c GROUP BY 1 HAVING sum(n) >= {REFERENCE_WORDS}),
-wd AS (SELECT doc_id, lang, w, count(*) AS k FROM (SELECT doc_id, lang, unnest(ws) AS w FROM c) GROUP BY 1, 2, 3),
-common AS (SELECT wd.lang AS lang, w, sum(k) / max(r.n) AS q FROM wd JOIN r ON r.lang = wd.lang GROUP BY 1, 2 HAVING sum(k) >= {COMMON} * max(r.n)),
+r AS (SELECT lang, count(*) FILTER (WHERE n >= {_LIMITS.word_words}) AS n, {", ".join(f"sum(d.c{i} / ({_ALL})) FILTER (WHERE n >= {_LIMITS.class_words}) AS c{i}" for i in range(7))} FROM c d GROUP BY 1),
+wd AS (SELECT doc_id, lang, w, max(n) AS n, count(*) AS k FROM (SELECT doc_id, lang, n, unnest(ws) AS w FROM c) GROUP BY 1, 2, 3),
+common AS (SELECT wd.lang AS lang, w, sum(k / wd.n) / max(r.n) AS q FROM wd JOIN r ON r.lang = wd.lang WHERE wd.n >= {_LIMITS.word_words} GROUP BY 1, 2 HAVING sum(k / wd.n) >= {COMMON} * max(r.n) * (1 - 1e-9)),
 total AS (SELECT lang, sum(q) AS q FROM common GROUP BY 1),
 met AS (SELECT wd.doc_id AS doc_id, sum(k / c.n) AS p, sum(common.q) AS q, sum({_js("(k / c.n)", "common.q")}) AS js FROM wd JOIN common ON common.lang = wd.lang AND common.w = wd.w JOIN c ON c.doc_id = wd.doc_id GROUP BY 1),
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, n - 2)) AS i FROM c WHERE n >= 3)),

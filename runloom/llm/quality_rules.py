@@ -1,19 +1,19 @@
 """Operator 7: quality rules by divergence from a language's usual distribution.
 
-Each language has a reference, taken over all its documents: the shares of character classes, and
-the shares of its common words, which are all words that make up at least COMMON of its words. A
-document is held against the reference of its language by the Jensen-Shannon distance of both
+Each language has a reference: the shares of character classes, and the shares of its common words,
+which are all words with a share of at least COMMON. A document is held against the reference of its language by the Jensen-Shannon distance of both
 histograms. Short documents are not judged, as their histograms are mostly noise.
 
+A reference is the mean of the histograms of all documents that are long enough to be judged by it,
+so one rule holds at every size: a table repeated any number of times gives the same verdicts. All
+documents have the same weight, so one long document of tables or code hardly moves the reference of
+a small language. A language's only document agrees with its own reference.
+
 Common words are found in two passes. In the first, each task counts the words of each language with
 bounded memory, dropping rare words and remembering how much was dropped, and reports every word that
-may have a share of SPOTTED in its part. What a word has over that floor, summed over the parts that
+may have a share of SPOTTED in its part; a count here is a sum of shares of documents. What a word has over that floor, summed over the parts that
 report it, plus the floors of all parts bounds its count from above; words whose bound stays below
 COMMON are out, so about 1 / (COMMON - SPOTTED) a language are left. The second pass counts these exactly.
-
-A reference is itself guarded by length: a language with under REFERENCE_WORDS words in all has none,
-as the shares of its common words would rest on counts of under 40, and its documents are not judged
-by distance.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ from runloom.llm.tables import discard, saved, text_bytes
 COMMON, SPOTTED = 0.002, 0.0002
 #: Counters of a language and task between two rounds of dropping.
 COUNTERS = 16_384
-#: A language with fewer words in all has no reference.
-REFERENCE_WORDS = 20_000
 #: References of so many languages, a few kilobytes each, are sent to all tasks; more are joined to their documents.
 SENT_LANGUAGES = 2_000
 
@@ -78,38 +76,46 @@ class Limits:
     word_distance: float = 0.36
 
 
-def _spotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that may be spotted, per language, with what they may have over a floor, and the words, floor and character classes of a language (word null, counts). A task reports in several parts if it has many counters."""
-    held: dict[str | None, _Part] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            if text := text.as_py():
-                held.setdefault(lang, _Part()).add(text)
-        if sum(len(p.seen) for p in held.values()) > 64 * COUNTERS:
-            yield from (p.report(lang) for lang, p in held.items())
-            held = {}
-    yield from (p.report(lang) for lang, p in held.items())
+def _spotted(limits: Limits):
+    """Words that may be spotted, per language, with what they may have over a floor, and the documents, floor and character classes of a language (word null, counts). A task reports in several parts if it has many counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, _Part] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py() or b""
+                if len(found := text.split()) >= min(limits.class_words, limits.word_words):
+                    held.setdefault(lang, _Part(limits)).add(text, found)
+            if sum(len(p.seen) for p in held.values()) > 64 * COUNTERS:
+                yield from (p.report(lang) for lang, p in held.items())
+                held = {}
+        yield from (p.report(lang) for lang, p in held.items())
+
+    return run
 
 
 class _Part:
     """Counts of one language in a part of a task."""
 
-    def __init__(self) -> None:
-        self.seen: Counter = Counter()
-        self.dropped, self.total, self.classes = 0, 0, np.zeros(N_CLASSES)
-
-    def add(self, text: bytes) -> None:
-        found = text.split()
-        self.classes += class_counts(text)
-        self.total += len(found)
-        self.seen.update(found)
+    def __init__(self, limits: Limits) -> None:
+        self.limits = limits
+        self.seen: dict[bytes, float] = {}
+        self.dropped, self.total, self.classes = 0.0, 0, np.zeros(N_CLASSES)
+
+    def add(self, text: bytes, found: list[bytes]) -> None:
+        if len(found) >= self.limits.class_words:
+            classes = class_counts(text)
+            self.classes += classes / classes.sum()
+        if len(found) >= self.limits.word_words:
+            self.total += 1
+            _add_shares(self.seen, found)
         if len(self.seen) > COUNTERS:
-            least = int(np.partition(np.fromiter(self.seen.values(), np.int64, len(self.seen)), COUNTERS // 4)[COUNTERS // 4])
-            self.seen = Counter({w: n for w, n in self.seen.items() if n > least})
+            least = float(np.partition(np.fromiter(self.seen.values(), float, len(self.seen)), COUNTERS // 4)[COUNTERS // 4])
+            self.seen = {w: n for w, n in self.seen.items() if n > least}
             self.dropped += least
 
     def report(self, lang: str | None) -> pa.RecordBatch:
-        floor = max(SPOTTED * self.total, float(self.dropped))  # no word that is not reported has more
+        floor = max(SPOTTED * self.total, self.dropped)  # no word that is not reported has more
         found = [(w, n + self.dropped - floor) for w, n in self.seen.items() if n + self.dropped >= floor]
         names, over = [None, *(w for w, _ in found)], [None, *(x for _, x in found)]
         counts = [[float(self.total), floor, *self.classes], *[None] * len(found)]
@@ -117,38 +123,43 @@ class _Part:
         return pa.RecordBatch.from_arrays(columns, ["lang", "word", "over", "counts"])
 
 
-def _counted(candidates: dict[str | None, frozenset[bytes]] | None):
-    """Counts of the candidates, or of all words, in each batch."""
+def _add_shares(seen: dict[bytes, float], found: list[bytes], among: frozenset[bytes] | None = None) -> None:
+    """Adds each word's share of the words ``found`` in a document."""
+    for word, n in Counter(found if among is None else filter(among.__contains__, found)).items():
+        seen[word] = seen.get(word, 0.0) + n / len(found)
+
+
+def _counted(candidates: dict[str | None, frozenset[bytes]] | None, limits: Limits):
+    """Sums of shares of the candidates, or of all words, in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str | None, Counter] = {}
+            seen: dict[str | None, dict[bytes, float]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                if (text := text.as_py()) and (candidates is None or lang in candidates):
-                    found = text.split()
-                    seen.setdefault(lang, Counter()).update(found if candidates is None else filter(candidates[lang].__contains__, found))
+                if (text := text.as_py()) and (candidates is None or lang in candidates) and len(found := text.split()) >= limits.word_words:
+                    _add_shares(seen.setdefault(lang, {}), found, candidates and candidates[lang])
             rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             langs, names, counts = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()), pa.array(counts, pa.float64())], ["lang", "word", "n"])
 
     return run
 
 
 @dataclass(frozen=True)
 class Reference:
-    """classes: characters of each class; words: the common words; counts: of each of them, and of all other words."""
+    """classes: sums of the shares of each character class; words: the common words; counts: sums of the shares of each of them, and of all other words."""
 
     classes: np.ndarray
     words: tuple[bytes, ...]
     counts: np.ndarray
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """The reference of each language of ``docs`` (lang, text) that has one: lang, classes, words and counts; a written table."""
+def references(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """The reference of each language of ``docs`` (lang, text) that has a document to be judged: lang, classes, words and counts; a written table."""
     held = docs.select("lang", text_bytes())
-    spotted = saved(held.mapInArrow(_spotted, "lang string, word binary, over double, counts array<double>"))
+    spotted = saved(held.mapInArrow(_spotted(limits), "lang string, word binary, over double, counts array<double>"))
     sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(N_CLASSES + 2)]
-    totals = spotted.where("word is null").groupBy(F.col("lang").alias("_lang")).agg(*sums).where(F.col("c0") >= REFERENCE_WORDS)
+    totals = spotted.where("word is null").groupBy(F.col("lang").alias("_lang")).agg(*sums)
     totals = saved(totals.select("_lang", F.col("c0").alias("total"), F.col("c1").alias("floor"), F.array(*(f"c{i}" for i in range(2, N_CLASSES + 2))).alias("classes")))
     same = F.col("lang").eqNullSafe(F.col("_lang"))
     over = spotted.where("word is not null").groupBy("lang", "word").agg(F.sum("over").alias("over"))
@@ -156,15 +167,15 @@ def references(docs: DataFrame) -> DataFrame:
     candidates = None
     if totals.limit(SENT_LANGUAGES + 1).count() <= SENT_LANGUAGES:  # about 1 / (COMMON - SPOTTED) words a language
         candidates = {r["lang"]: frozenset(map(bytes, r["words"])) for r in likely.groupBy("lang").agg(F.collect_list("word").alias("words")).collect()}
-    counted = held.mapInArrow(_counted(candidates), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = held.mapInArrow(_counted(candidates, limits), "lang string, word binary, n double").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     if candidates is None:
         x, y = counted.alias("x"), likely.alias("y")
         counted = x.join(y, F.col("x.lang").eqNullSafe(F.col("y.lang")) & (F.col("x.word") == F.col("y.word")), "left_semi")
-    common = counted.join(totals.select("_lang", "total"), same).where(F.col("n") >= COMMON * F.col("total"))
+    common = counted.join(totals.select("_lang", "total"), same).where(F.col("n") >= COMMON * F.col("total") * (1 - 1e-9))
     listed = common.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("common"))
-    made = totals.join(listed, same, "left").select(F.col("_lang").alias("lang"), "total", "classes", F.coalesce("common", F.array().cast("array<struct<word: binary, n: bigint>>")).alias("common"))
-    known = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    counts = F.concat(F.transform("common", lambda x: x["n"].cast("double")), F.array(F.col("total") - known))
+    made = totals.join(listed, same, "left").select(F.col("_lang").alias("lang"), "total", "classes", F.coalesce("common", F.array().cast("array<struct<word: binary, n: double>>")).alias("common"))
+    known = F.aggregate("common", F.lit(0.0), lambda a, x: a + x["n"])
+    counts = F.concat(F.transform("common", lambda x: x["n"]), F.array(F.greatest(F.col("total") - known, F.lit(0.0))))
     out = saved(made.select("lang", "classes", F.col("common.word").alias("words"), counts.alias("counts")))
     discard(spotted, likely, totals)
     return out
@@ -238,12 +249,11 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # n
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows of three.
     kept: not base_failed, and no distance above its limit. A distance is null, and does not fail a
-    document, if the document is too short for it or its language has too few words in all; null is a
-    language like others. Null and empty texts have no words and fail. Repeated rows get equal
+    document, if the document is too short for it; null is a language like others. Null and empty texts have no words and fail. Repeated rows get equal
     results; an empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    found, held, refs = references(docs), docs.select("doc_id", "lang", text_bytes()), None
+    found, held, refs = references(docs, limits), docs.select("doc_id", "lang", text_bytes()), None
     if found.limit(SENT_LANGUAGES + 1).count() <= SENT_LANGUAGES:
         refs = {r["lang"]: _reference(*r[1:]) for r in found.collect()}
     else:
