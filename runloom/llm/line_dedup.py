@@ -3,7 +3,8 @@
 A line is lower-cased and its white space collapsed; its set is all its character shingles. In a long
 line, one hash of each shingle falls into one of BINS bins and the least hash of a bin is one
 component of the signature; an empty bin borrows from the next full one. A short line has too few
-shingles for that, so each component is the least value of a hash of its own. Lines that agree in
+shingles for that, so each component is the least value of a hash of its own. A line not much shorter
+than a long one has the keys of both, so two lines that can be alike always share a form. Lines that agree in
 all ROWS components of a band are candidates. Their numbers of shingles and a sketch rule most of those
 out that are not alike, and an exact comparison of their shingle sets decides. The sketch has the
 parity of the number of shingles in each of SKETCH buckets, so two sketches differ in no more bits
@@ -37,7 +38,7 @@ SHINGLE, ROWS, BANDS, BINS = 5, 5, 12, 64
 SKETCH = 1024
 WORDS = SKETCH // 64
 _BITS = [f"bits{i}" for i in range(WORDS)]
-#: Lines with fewer shingles are short.
+#: Lines with fewer distinct shingles are short.
 SHORT = 3 * BINS
 #: Lines that are hashed together, at most 2048, and characters of such lines; a longer line is hashed in pieces.
 _SLICE, _CHARS = 2000, 1 << 19
@@ -45,10 +46,18 @@ _NONE = np.uint64(2**64 - 1)
 _PRIME = np.uint64(0x100000001B3)
 
 
+_LOW = np.uint64(2**53 - 1)
+
+
 def normal_line(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str | None) -> list[str]:
+    """normal_line() of every line. White space other than the blank is not printable, so most lines need not be split."""
+    return [x if x.isprintable() and "  " not in x and x[:1] != " " != x[-1:] else " ".join(x.split()) for x in (text or "").lower().split("\n")]
+
+
 def line_name(line: str) -> tuple[int, int]:
     """Two times 64 bits that name a normalised line."""
     digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
@@ -91,27 +100,39 @@ def _hashed(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.repeat(np.arange(len(padded)), lengths - size + 1)
 
 
-def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
-    """A row of BINS hashes for each line."""
-    return _signed(lines, size, *_hashed(lines, size))
-
-
-def _signed(lines: list[str], size: int, hashed: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    out = np.full((len(lines), BINS), _NONE)
-    counts = np.fromiter((max(1, len(line) - size + 1) for line in lines), np.int64, len(lines))
-    short, long = np.flatnonzero(counts < SHORT), np.flatnonzero(counts >= SHORT)
-    of_long = (counts >= SHORT)[owner]
-    if len(long):
-        hashes, owner = hashed[of_long], np.repeat(np.arange(len(long)), counts[long])
-        bins = np.full(len(long) * BINS, _NONE)
-        np.minimum.at(bins, owner * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(6))
-        out[long] = _filled(bins.reshape(-1, BINS))
-    if len(short):
-        hashes = hashed[~of_long]
-        starts = np.concatenate([[0], np.cumsum(counts[short])[:-1]])
+def _distinct(lines: list[str], size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of each line: 53 bits of a hash, the line's number in the bits above them, in order. A line of more than _CHARS characters comes alone."""
+    if len(lines) == 1 and len(lines[0]) > _CHARS:
+        return _pieced(lines[0], size)
+    hashed, owner = _hashed(lines, size)
+    keys = np.sort(owner.astype(np.uint64) << np.uint64(53) | hashed >> np.uint64(11))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def _pieced(line: str, size: int = SHINGLE) -> np.ndarray:
+    """_distinct() of one line, piece by piece."""
+    found = np.empty(0, np.uint64)
+    for at in range(0, len(line) - size + 1, _CHARS):
+        found = np.union1d(found, _hashed([line[at : at + _CHARS + size - 1]], size)[0] >> np.uint64(11))
+    return found
+
+
+def signatures(keys: np.ndarray, which: np.ndarray, short: bool) -> np.ndarray:
+    """A row of BINS hashes for each of the lines ``which``, out of _distinct(), in the form of short or long lines."""
+    owner = (keys >> np.uint64(53)).astype(np.int64)
+    counts = np.bincount(owner)
+    wanted = np.zeros(len(counts), bool)
+    wanted[which] = True
+    hashes, counts = keys[wanted[owner]] & _LOW, counts[which]
+    if short:
+        out = np.full((len(which), BINS), _NONE)
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         for i in range(ROWS * BANDS):
-            out[short, i] = np.minimum.reduceat((hashes ^ _SALTS[i]) * np.uint64(0xD6E8FEB86659FD93), starts)
-    return out
+            out[:, i] = np.minimum.reduceat((hashes ^ _SALTS[i]) * np.uint64(0xD6E8FEB86659FD93), starts)
+        return out
+    bins = np.full(len(which) * BINS, _NONE)
+    np.minimum.at(bins, np.repeat(np.arange(len(which)), counts) * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(6))
+    return _filled(bins.reshape(-1, BINS))
 
 
 def _filled(signature: np.ndarray) -> np.ndarray:
@@ -128,12 +149,7 @@ def _filled(signature: np.ndarray) -> np.ndarray:
 
 def sketches(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The number of distinct shingles of each line, and a row of 64-bit words with its sketch."""
-    return _sketched(len(lines), *_hashed(lines, size))
-
-
-def _sketched(n: int, hashed: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(owner.astype(np.uint64) << np.uint64(53) | hashed >> np.uint64(11))
-    return _parities(n, keys[np.concatenate([[True], keys[1:] != keys[:-1]])])
+    return _parities(len(lines), _distinct(lines, size))
 
 
 def _parities(n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +159,13 @@ def _parities(n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(owner, minlength=n), np.packbits(odd.astype(bool).reshape(n, SKETCH), axis=1).view(np.int64)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A row of BANDS keys for each line."""
-    return _banded(signatures(lines))
+def band_keys(lines: list[str], num: int = 4, den: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of lines and a row of BANDS keys for each, for both forms. Lines of similarity num/den have sizes of no smaller ratio, so they share a form."""
+    keys = _distinct(lines)
+    sizes = np.bincount((keys >> np.uint64(53)).astype(np.int64))
+    for short, which in ((True, np.flatnonzero(sizes < SHORT)), (False, np.flatnonzero(den * sizes >= num * SHORT))):
+        if len(which):
+            yield which, _banded(signatures(keys, which, short))
 
 
 def _banded(signature: np.ndarray) -> np.ndarray:
@@ -157,35 +177,13 @@ def _banded(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _pieces(line: str, size: int) -> Iterator[np.ndarray]:
-    """Hashes of a line's shingles, piece by piece."""
-    for at in range(0, len(line) - size + 1, _CHARS):
-        yield _hashed([line[at : at + _CHARS + size - 1]], size)[0]
-
-
-def _long_signature(line: str, size: int) -> np.ndarray:
-    """A row as of signatures() for a line of more than _CHARS characters."""
-    bins = np.full(BINS, _NONE)
-    for hashes in _pieces(line, size):
-        np.minimum.at(bins, (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(6))
-    return _filled(bins.reshape(1, -1))
-
-
-def _long_sketch(line: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """What sketches() gives, for a line of more than _CHARS characters."""
-    distinct = np.empty(0, np.uint64)
-    for hashes in _pieces(line, size):
-        distinct = np.union1d(distinct, hashes >> np.uint64(11))
-    return _parities(1, distinct)
-
-
 def _fresh(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
     """Lines of a batch, each once, and their names; as many together as may be hashed together."""
     seen: set[tuple[int, int]] = set()
     lines, names, chars = [], [], 0
     for text in batch.column("text"):
-        for raw in (text.as_py() or "").split("\n"):
-            if (line := normal_line(raw)) and (name := line_name(line)) not in seen:
+        for line in normal_lines(text.as_py()):
+            if line and (name := line_name(line)) not in seen:
                 seen.add(name)
                 if lines and (len(lines) >= _SLICE or chars + len(line) > _CHARS):
                     yield lines, names
@@ -202,8 +200,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, places, high, low = [], [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            for place, raw in enumerate((text.as_py() or "").split("\n")):
-                if line := normal_line(raw):
+            for place, line in enumerate(normal_lines(text.as_py())):
+                if line:
                     name = line_name(line)
                     docs.append(doc)
                     places.append(place)
@@ -212,13 +210,18 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "place", "id", "low"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and band keys of each line, once for each batch that has it."""
-    for batch in batches:
-        for lines, names in _fresh(batch):
-            signed = _long_signature(lines[0], SHINGLE) if len(lines[0]) > _CHARS else signatures(lines)
-            ends = pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(_banded(signed).ravel()))], ["id", "keys"])
+def _keys(num: int, den: int):
+    """id and band keys of each line, once for each batch that has it; in two rows if it has both forms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lines, names in _fresh(batch):
+                ids = np.fromiter((x for x, _ in names), np.int64, len(names))
+                for which, keys in band_keys(lines, num, den):
+                    ends = pa.array(np.arange(len(which) + 1) * BANDS, pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["id", "keys"])
+
+    return run
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +244,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
             if len(lines) > 1 and chars > _CHARS:
                 lines.pop()
-            counts, bits = _long_sketch(lines[0], SHINGLE) if len(lines[0]) > _CHARS else sketches(lines)
+            counts, bits = sketches(lines)
             part = batch.slice(at, len(lines))
             columns = [*part.columns, pa.array(counts.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "low", "line", "n", *_BITS])
@@ -298,7 +301,7 @@ def line_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
         kept.append(marked)
         return marked.select("id", "line", "n", F.struct("n", *_BITS).alias("mark"))
 
-    keyed = docs.select("text").mapInArrow(_keys, "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
+    keyed = docs.select("text").mapInArrow(_keys(num, den), "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
     found = linked(keyed, nodes, *_plausible(num, den), _verifier(num, den))
 
     where = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "place")

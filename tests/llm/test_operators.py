@@ -481,14 +481,15 @@ def test_sentences_that_begin_again_and_again():
 # 6
 
 
-def test_very_long_lines(spark):
-    """Lines that are hashed in pieces have the signatures and sketches of whole ones, and their near copies are found."""
+def test_very_long_lines(spark, monkeypatch):
+    """Lines that are hashed in pieces have the shingles of whole ones, and their near copies are found."""
     rng = random.Random(16)
     line = line_dedup.normal_line(prose(rng, 150_000).replace("\n", " "))
     assert len(line) > line_dedup._CHARS
-    assert (line_dedup._long_signature(line, 5) == line_dedup.signatures([line])).all()
-    for x, y in zip(line_dedup._long_sketch(line, 5), line_dedup.sketches([line]), strict=True):
-        assert (x == y).all()
+    with monkeypatch.context() as patch:
+        patch.setattr(line_dedup, "_CHARS", len(line))
+        whole = line_dedup._distinct([line])
+    assert np.array_equal(line_dedup._distinct([line]), whole)
     rare = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(4_000_000))
     texts = [(1, rare), (2, rare[:2_000_000] + "x" + rare[2_000_000:] + "\nanother line"), (3, line)]
     got = {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
@@ -530,12 +531,41 @@ def test_dropped_lines(spark):
 
 def test_signatures_estimate_similarity():
     rng = random.Random(6)
-    base = prose(rng, 60)
+    for words, short in ((60, False), (60, True), (20, True)):
+        _estimated(rng, prose(rng, words), short)
+
+
+def _estimated(rng, base, short):
     pairs = [(base, edited(rng, base, 0.03)) for _ in range(40)]
     sims = [len(line_dedup.shingles(x) & line_dedup.shingles(y)) / len(line_dedup.shingles(x) | line_dedup.shingles(y)) for x, y in pairs]
-    sigs = line_dedup.signatures([x for p in pairs for x in p])
+    sigs = line_dedup.signatures(line_dedup._distinct([x for p in pairs for x in p]), np.arange(80), short)[:, : line_dedup.ROWS * line_dedup.BANDS]
     assert abs(np.mean(sims) - (sigs[::2] == sigs[1::2]).mean()) < 0.05
-    assert (line_dedup.signatures(["short", "short", "shart"])[0] == line_dedup.signatures(["short"])[0]).all()
+    ((_, keys),) = line_dedup.band_keys(["short", "short", "shart"])
+    assert (keys[0] == keys[1]).all()
+    assert not set(keys[0]) & set(keys[2])
+
+
+def test_lines_of_any_size_share_keys():
+    """Alike lines of any two sizes meet, also where one is short and the other long, and where a long line repeats few shingles."""
+    rng = random.Random(21)
+    for n in (20, 150, 160, 180, 190, 200, 230, 300):
+        missed = 0
+        for _ in range(50):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+            found = [set() for _ in range(2)]
+            for which, keys in line_dedup.band_keys([line, line + line[: n // 8][::-1]]):
+                for at, row in zip(which, keys, strict=True):
+                    found[at] |= set(row.tolist())
+            missed += not found[0] & found[1]
+        assert missed <= 1
+    (a, b) = (set(np.concatenate([keys[list(which).index(i)] for which, keys in line_dedup.band_keys(["=-" * 90, "=-" * 400]) if i in which]).tolist()) for i in range(2))
+    assert a == b
+
+
+def test_normal_lines():
+    texts = [None, "", " a", "a ", "a  b", "A\tb", "a\u00a0b\u2003c", "x\r\ny\x0b\n\n \nΑΣ\nΑΣ α", "a\u200bb \u3000", "\u2028 q\x85"]
+    for text in texts:
+        assert line_dedup.normal_lines(text) == [line_dedup.normal_line(x) for x in (text or "").split("\n")]
 
 
 EDITS = [
