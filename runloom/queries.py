@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ CAP_MS = 180 * 60_000
 EVENTS_NOW = datetime(2024, 1, 30, 13, 30)
 RUNS_NOW = datetime(2001, 8, 1, 13, 30)
 CONFIG = UsageConfig(ignored=())
+#: Line items that one task folds, about; their slices are some 600 bytes each in its memory.
+TASK_ROWS = 500_000
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents", "embeddings", "benchmark", "labels", "conversations")
 
 
@@ -42,10 +45,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_facts(spark: SparkSession, sf_dir: str, watch: diagnostics.Observed | None = None) -> DataFrame:
     """What line items say of each order, from one scan and one shuffle: its tokens, its log counts, and ship dates as events of a session."""
     items = table(spark, sf_dir, "lineitem")
+    tasks = ceil(items.count() / TASK_ROWS)  # of the files' footers; Spark would deal any number of rows to as many tasks as there are cores, up to its size of a partition
     q, columns = F.col("l_quantity").cast("long"), items.columns
     items = items.select("l_orderkey", "l_quantity", "l_linenumber", "l_returnflag", "l_shipdate")
     items = watch.watch("lineitem", items, "l_shipdate", columns) if watch else items
-    dealt = items.withColumn("t", F.col("l_shipdate").cast("timestamp")).repartition("l_orderkey")  # slices and sessions of an order are then folded where they are
+    count = (max(tasks, spark.sparkContext.defaultParallelism),) if tasks > 1 else ()
+    dealt = items.withColumn("t", F.col("l_shipdate").cast("timestamp")).repartition(*count, "l_orderkey")  # slices and sessions of an order are then folded where they are
     sums = {"tokens_used": q, "input": q * 10, "output": F.col("l_linenumber").cast("long"), "cached": F.when(F.col("l_returnflag") == "R", q * 4).otherwise(0)}
     return saved(sessions.active_time(dealt, ["l_orderkey"], "t", CONFIG.idle_cap_ms, sums))
 

@@ -4,7 +4,9 @@ import os
 
 import pytest
 from compare import connection, rows_of_spark, rows_of_sql
+from pyspark.sql import functions as F
 
+from runloom import queries
 from runloom.oracle import ORACLE_SQL
 from runloom.queries import QUERIES
 
@@ -28,3 +30,13 @@ def test_query_equals_sql(spark, con, name):
     assert len(got) == len(expected)
     assert got == expected
     assert got
+
+
+def test_tasks_grow_with_line_items(spark, monkeypatch):
+    """Facts of orders are folded by as many tasks as line items ask for, with the same rows."""
+    before = sorted(map(tuple, queries.order_facts(spark, SF).collect()))
+    monkeypatch.setattr(queries, "TASK_ROWS", 500, raising=False)
+    facts = queries.order_facts(spark, SF)
+    each = facts.groupBy(F.input_file_name()).agg(F.sum("events").alias("n")).collect()
+    assert max(r["n"] for r in each) < 1_000 < sum(r["n"] for r in each)
+    assert sorted(map(tuple, facts.collect())) == before
