@@ -21,7 +21,7 @@ from runloom.operators import runs as fact
 from runloom.plans import report
 from runloom.plans.usage import Sources, Usage
 from runloom.sources import readers, sinks
-from runloom.sources.scratch import saved, shared_folder
+from runloom.sources.scratch import discard, saved, shared_folder
 from runloom.sources.snapshots import Change, SnapshotSet
 from runloom.streaming import usage as stream
 
@@ -579,8 +579,9 @@ def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three kinds with and without full paths, written and read back: rows, tokens and names of workspaces."""
-    held, span = runs(spark, sf_dir), UsageFilter(preset="all").resolve(RUNS_NOW)
-    buckets = rollups.usage_buckets(held, weekly=True)
+    held, span = saved(runs(spark, sf_dir)), UsageFilter(preset="all").resolve(RUNS_NOW)  # six exports and the numbers of workspaces read them
+    weeks = saved(rollups.usage_buckets(held, weekly=True))
+    buckets = weeks.orderBy("key")  # files are read in any order
     tables, made = {"buckets": buckets, "runs": held, "summary": rollups.range_summary(held, span), "models": rollups.model_usage(held)}, []
     likes = {"daily-csv": (sinks.daily_csv(buckets), "top_workspace"), "runs-csv": (sinks.runs_csv(held), "workspace")}
     for full in (True, False):
@@ -593,6 +594,7 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
                 daily = F.from_json("value", "daily array<struct<tokens: bigint, top_workspace: string>>")["daily"]
                 back = spark.read.text(path).select(F.explode(daily).alias("d")).select("d.tokens", F.col("d.top_workspace").alias("name"))
             made.append(back.agg(F.lit(kind).alias("kind"), F.lit(full).alias("full_paths"), F.count("*").alias("rows"), F.sum("tokens").alias("tokens"), F.count_distinct("name").alias("names")))
+    discard(held, weeks)
     out = made[0]
     for more in made[1:]:
         out = out.unionByName(more)

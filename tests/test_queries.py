@@ -40,3 +40,17 @@ def test_tasks_grow_with_line_items(spark, monkeypatch):
     each = facts.groupBy(F.input_file_name()).agg(F.sum("events").alias("n")).collect()
     assert max(r["n"] for r in each) < 1_000 < sum(r["n"] for r in each)
     assert sorted(map(tuple, facts.collect())) == before
+
+
+def test_exports_read_written_runs(spark, monkeypatch):
+    """Runs are made once, not by each export and each table of it."""
+    read, export = [], queries.sinks.export
+
+    def seen(kind, path, tables, full_paths):
+        read.extend(f for t in tables.values() for f in t.inputFiles())
+        export(kind, path, tables, full_paths)
+
+    monkeypatch.setattr(queries.sinks, "export", seen)
+    assert queries.exports(spark, SF).count() == 6
+    assert read
+    assert not [f for f in read if "orders.parquet" in f]
