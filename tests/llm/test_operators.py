@@ -801,3 +801,14 @@ def test_schedule_is_even_everywhere(docs):
             assert abs(order[:n].count(s) - n * share / total) < 8
     for s in shares:
         assert sorted(r["rank"] for r in slots if r["source_no"] == s) == list(range(order.count(s)))
+
+
+def test_only_lines_in_pairs_are_verified(spark, monkeypatch):
+    """Texts that no pair names are left where they are."""
+    held = []
+    keep = line_dedup.keep_ids
+    monkeypatch.setattr(line_dedup, "keep_ids", lambda *args: held.append(keep(*args)) or held[-1])
+    nodes = spark.createDataFrame([(i, "one line of text" + "s" * (i % 2) + (f" number {i}" if i > 1 else "")) for i in range(200)], "id long, line string")
+    found = line_dedup._verifier(4, 5)(nodes)(spark.createDataFrame([(0, 1), (0, 2)], "a long, b long"))
+    assert [tuple(r) for r in found.collect()] == [(0, 1)]
+    assert [df.count() for df in held] == [3]
