@@ -40,8 +40,8 @@ WORDS = SKETCH // 64
 _BITS = [f"bits{i}" for i in range(WORDS)]
 #: Lines with fewer distinct shingles are short.
 SHORT = 3 * BINS
-#: Lines that are hashed together, at most 2048, and characters of such lines; a longer line is hashed in pieces.
-_SLICE, _CHARS = 2000, 1 << 19
+#: Lines that are hashed together, at most 2048, and characters of such lines, whose numbers stay in a core's cache; a longer line is hashed in pieces.
+_SLICE, _CHARS = 2000, 1 << 17
 _NONE = np.uint64(2**64 - 1)
 _PRIME = np.uint64(0x100000001B3)
 
@@ -55,19 +55,30 @@ def normal_line(line: str) -> str:
 
 def normal_lines(text: str | None) -> list[str]:
     """normal_line() of every line. White space other than the blank is not printable, so most lines need not be split."""
-    return [x if x.isprintable() and "  " not in x and x[:1] != " " != x[-1:] else " ".join(x.split()) for x in (text or "").lower().split("\n")]
+    lines = (bare := (text or "").lower()).split("\n")
+    if bare[:1] != " " != bare[-1:] and not any(x in bare for x in ("  ", "\n ", " \n")) and "".join(lines).isprintable():  # no line of the text
+        return lines
+    return [x if x.isprintable() and "  " not in x and x[:1] != " " != x[-1:] else " ".join(x.split()) for x in lines]
 
 
-def line_name(line: str) -> tuple[int, int]:
-    """Two times 64 bits that name a normalised line."""
-    digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+def line_name(line: str) -> bytes:
+    """128 bits that name a normalised line."""
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
+def _halves(names: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """id and low, 64 bits each, of names."""
+    both = np.frombuffer(b"".join(names), ">i8").astype(np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x = x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 _SALTS = _mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -111,9 +122,9 @@ def _distinct(lines: list[str], size: int = SHINGLE) -> np.ndarray:
 
 def _pieced(line: str, size: int = SHINGLE) -> np.ndarray:
     """_distinct() of one line, piece by piece."""
-    found = np.empty(0, np.uint64)
-    for at in range(0, len(line) - size + 1, _CHARS):
-        found = np.union1d(found, _hashed([line[at : at + _CHARS + size - 1]], size)[0] >> np.uint64(11))
+    found, piece = np.empty(0, np.uint64), 4 * _CHARS
+    for at in range(0, len(line) - size + 1, piece):
+        found = np.union1d(found, _hashed([line[at : at + piece + size - 1]], size)[0] >> np.uint64(11))
     return found
 
 
@@ -127,8 +138,11 @@ def signatures(keys: np.ndarray, which: np.ndarray, short: bool) -> np.ndarray:
     if short:
         out = np.full((len(which), BINS), _NONE)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        salted = np.empty_like(hashes)
         for i in range(ROWS * BANDS):
-            out[:, i] = np.minimum.reduceat((hashes ^ _SALTS[i]) * np.uint64(0xD6E8FEB86659FD93), starts)
+            np.bitwise_xor(hashes, _SALTS[i], out=salted)
+            salted *= np.uint64(0xD6E8FEB86659FD93)
+            out[:, i] = np.minimum.reduceat(salted, starts)
         return out
     bins = np.full(len(which) * BINS, _NONE)
     np.minimum.at(bins, np.repeat(np.arange(len(which)), counts) * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(6))
@@ -162,7 +176,15 @@ def _parities(n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def band_keys(lines: list[str], num: int = 4, den: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers of lines and a row of BANDS keys for each, for both forms. Lines of similarity num/den have sizes of no smaller ratio, so they share a form."""
     keys = _distinct(lines)
-    sizes = np.bincount((keys >> np.uint64(53)).astype(np.int64))
+    yield from _forms(keys, _sizes(keys), num, den)
+
+
+def _sizes(keys: np.ndarray) -> np.ndarray:
+    """The number of distinct shingles of each line, out of _distinct()."""
+    return np.bincount((keys >> np.uint64(53)).astype(np.int64))
+
+
+def _forms(keys: np.ndarray, sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for short, which in ((True, np.flatnonzero(sizes < SHORT)), (False, np.flatnonzero(den * sizes >= num * SHORT))):
         if len(which):
             yield which, _banded(signatures(keys, which, short))
@@ -177,9 +199,9 @@ def _banded(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _fresh(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
+def _fresh(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[bytes]]]:
     """Lines of a batch, each once, and their names; as many together as may be hashed together."""
-    seen: set[tuple[int, int]] = set()
+    seen: set[bytes] = set()
     lines, names, chars = [], [], 0
     for text in batch.column("text"):
         for line in normal_lines(text.as_py()):
@@ -198,28 +220,27 @@ def _fresh(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[tuple[int, i
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, place and name of each line with words."""
     for batch in batches:
-        docs, places, high, low = [], [], [], []
+        docs, places, names = [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             for place, line in enumerate(normal_lines(text.as_py())):
                 if line:
-                    name = line_name(line)
                     docs.append(doc)
                     places.append(place)
-                    high.append(name[0])
-                    low.append(name[1])
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "place", "id", "low"])
+                    names.append(line_name(line))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), *_halves(names)], ["doc_id", "place", "id", "low"])
 
 
 def _keys(num: int, den: int):
-    """id and band keys of each line, once for each batch that has it; in two rows if it has both forms."""
+    """id, number of shingles and band keys of each line, once for each batch that has it; in two rows if it has both forms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lines, names in _fresh(batch):
-                ids = np.fromiter((x for x, _ in names), np.int64, len(names))
-                for which, keys in band_keys(lines, num, den):
+                ids, found = _halves(names)[0], _distinct(lines)
+                sizes = _sizes(found)
+                for which, keys in _forms(found, sizes, num, den):
                     ends = pa.array(np.arange(len(which) + 1) * BANDS, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["id", "keys"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(sizes[which].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["id", "n", "keys"])
 
     return run
 
@@ -228,7 +249,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Name and text of each line, once for each batch that has it."""
     for batch in batches:
         for lines, names in _fresh(batch):
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(lines, pa.string())], ["id", "low", "line"])
+            yield pa.RecordBatch.from_arrays([*_halves(names), pa.array(lines, pa.string())], ["id", "low", "line"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +279,12 @@ def shingles(line: str, size: int = SHINGLE) -> set[str]:
 def _similar(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("line_a"), batch.column("line_b"), strict=True):
-                x, y = shingles(x.as_py()), shingles(y.as_py())
-                kept.append(den * len(x & y) >= num * len(x | y))
+            kept, before = [], [("", shingles(""))] * 2  # one end is often that of the pair before
+            for pair in zip(batch.column("line_a"), batch.column("line_b"), strict=True):
+                before = [held if held[0] == line else (line, shingles(line)) for held, line in zip(before, (x.as_py() for x in pair), strict=True)]
+                (_, x), (_, y) = before
+                both = len(x & y)
+                kept.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return run
@@ -306,10 +329,10 @@ def line_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
         one = texts.groupBy("id").agg(F.min(F.struct("low", "line")).alias("one")).select("id", "one.low", "one.line")
         marked = saved(one.mapInArrow(_marked, "id long, low long, line string, n int, " + ", ".join(f"{b} long" for b in _BITS)))
         kept.append(marked)
-        return marked.select("id", "line", "n", F.struct("n", *_BITS).alias("mark"))
+        return marked.select("id", "n", F.struct("n", *_BITS).alias("mark"))
 
-    keyed = docs.select("text").mapInArrow(_keys(num, den), "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
-    found = linked(keyed, nodes, *_plausible(num, den), _verifier(num, den))
+    keyed = docs.select("text").mapInArrow(_keys(num, den), "id long, n int, keys array<long>").select(F.explode("keys").alias("key"), "id", "n")
+    found = linked(keyed, nodes, *_plausible(num, den), lambda _: _verifier(num, den)(kept[0]))  # texts stay in the first table of lines
 
     where = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "place")
     places = saved(docs.mapInArrow(_places, "doc_id long, place int, id long, low long"))

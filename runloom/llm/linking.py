@@ -28,14 +28,21 @@ HUBS = 2
 def linked(keyed: DataFrame, nodes: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], near: Callable[[str, str], Column], verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """(id, component) of the nodes that have links, a written table; component is the smallest id of it.
 
-    ``keyed``: rows (key, id); repeated ones cost time and change nothing. ``nodes`` gives, for the ids that
+    ``keyed``: rows (key, id); repeated ones cost time and change nothing. They may have n as well: then a row
+    whose n fits neither of its neighbours in the key, by n, has nothing to link with there and is left out at once
+    (``fits`` must then hold between two n if it holds for one of them and an n beyond the other). ``nodes`` gives, for the ids that
     share keys, a table (id, n, mark), unique by id. ``fits`` and ``near`` take two columns of n or
     mark and tell which pairs of nodes can be linked at all. ``verifier`` takes these nodes and gives a
     function that tells, of a written table of distinct pairs (a, b), a < b, those that are links.
     """
     by_key = W.partitionBy("key")
     several = keyed.withColumns({"least": F.min("id").over(by_key), "most": F.max("id").over(by_key)}).where("least < most")
-    shared = saved(several.select("key", "id").distinct().withColumn("company", F.count("*").over(by_key)))
+    held = several.select("key", "id").distinct()
+    if "n" in keyed.columns:
+        by_n = by_key.orderBy("n", "id")
+        beside = several.select("key", "id", "n").distinct().withColumns({"below": F.lag("n").over(by_n), "above": F.lead("n").over(by_n)})
+        held = beside.where((F.col("below").isNotNull() & fits("below", "n")) | (F.col("above").isNotNull() & fits("n", "above"))).select("key", "id").distinct()
+    shared = saved(held.withColumn("company", F.count("*").over(by_key)))
     weight = saved(shared.groupBy("id").agg(F.sum("company").alias("weight")))
     marked = saved(nodes(weight.select("id")).join(weight, "id"))
     held = shared.select("key", "id").join(marked.select("id", "n", "weight"), "id")

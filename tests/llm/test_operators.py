@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from runloom.llm import chat_format as chat
 from runloom.llm import decontaminate as decontaminate_module
 from runloom.llm import license_scan as license_scan_module
-from runloom.llm import line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, tables, warc
+from runloom.llm import line_dedup, linking, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, tables, warc
 from runloom.llm.components import components
 from runloom.llm.decontaminate import anchors, build_index, decontaminate, exact_matches, proximity_matches, windows, words_of
 from runloom.llm.license_scan import SENTENCES, _pieces, known_sentences, license_scan
@@ -812,3 +812,31 @@ def test_only_lines_in_pairs_are_verified(spark, monkeypatch):
     found = line_dedup._verifier(4, 5)(nodes)(spark.createDataFrame([(0, 1), (0, 2)], "a long, b long"))
     assert [tuple(r) for r in found.collect()] == [(0, 1)]
     assert [df.count() for df in held] == [3]
+
+
+def test_rows_that_no_size_fits_are_left_out(spark):
+    """Only lines that share a key with one of a size that can be alike are asked for; equal and repeated ones are."""
+    rows = [(1, 1, 10), (1, 1, 10), (1, 2, 12), (1, 3, 100), (2, 3, 100), (2, 4, 10), (3, 5, 7), (3, 6, 7), (4, 7, 5), (4, 7, 5), (5, 1, 10), (5, 8, 8), (5, 9, 200), (5, 10, 240)]
+    asked = []
+
+    def nodes(ids):
+        asked.extend(r["id"] for r in ids.collect())
+        return ids.join(spark.createDataFrame(sorted({r[1:] for r in rows}), "id long, n int"), "id").withColumn("mark", F.col("n"))
+
+    fits, _ = line_dedup._plausible(4, 5)
+    found = linking.linked(spark.createDataFrame(rows, "key long, id long, n int"), nodes, fits, lambda x, y: F.lit(True), lambda _: tables.saved)
+    assert sorted(asked) == [1, 2, 5, 6, 8, 9, 10]
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (5, 5), (6, 5), (8, 1), (9, 9), (10, 9)]
+
+
+def test_lines_are_hashed_in_any_pieces(monkeypatch):
+    """Names and keys of lines do not depend on how many are hashed together."""
+    rng = random.Random(31)
+    batch = pa.RecordBatch.from_pydict({"text": [None, "", "\n\n", *(prose(rng, 40) + "\n\n" + prose(rng, 3) + "\n Two  blanks " for _ in range(30))]})
+    made = []
+    for chars in (1 << 19, 300):
+        monkeypatch.setattr(line_dedup, "_CHARS", chars)
+        made.append(sorted((r["id"], r["n"], tuple(r["keys"])) for out in line_dedup._keys(4, 5)(iter([batch])) for r in out.to_pylist()))
+    assert made[0] == made[1]
+    assert {(i, n) for i, n, _ in made[0]} == {(int.from_bytes(line_dedup.line_name(x)[:8], "big", signed=True), len(line_dedup.shingles(x))) for t in batch.to_pydict()["text"] for x in map(line_dedup.normal_line, (t or "").split("\n")) if x}
+    assert sum(len(out) for out in line_dedup._places(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["", None]}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))]))) == 0
