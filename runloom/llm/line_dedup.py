@@ -11,8 +11,8 @@ parity of the number of shingles in each of SKETCH buckets, so two sketches diff
 than their sets differ in shingles, and no pair is lost by it. Links are joined to components by
 distributed union-find, and the first line of a component, by document and place, stays.
 
-Texts are read three times rather than written again with all that is known of their lines: for the
-places of lines, for band keys, and for the texts of those lines that share a band with another.
+Texts are read three times rather than written again with all that is known of their lines: for band
+keys, for the places of lines, and, by place, for the texts of those lines that share a band with another.
 
 A pair of similarity s is a candidate with the probability 1 - (1 - s ** ROWS) ** BANDS: 0.99 at 0.8,
 0.9998 at 0.9. Equal lines are one class from the start, whatever their number. A line's name has 128
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.linking import linked
-from runloom.llm.tables import discard, keep_ids, saved
+from runloom.llm.tables import SENT_ROWS, discard, keep_ids, saved
 
 SHINGLE, ROWS, BANDS, BINS = 5, 5, 12, 64
 #: Bits of a sketch.
@@ -41,12 +41,19 @@ _BITS = [f"bits{i}" for i in range(WORDS)]
 #: Lines with fewer distinct shingles are short.
 SHORT = 3 * BINS
 #: Lines that are hashed together, at most 2048, and characters of such lines, whose numbers stay in a core's cache; a longer line is hashed in pieces.
-_SLICE, _CHARS = 2000, 1 << 17
+_SLICE, _CHARS = 2000, 1 << 16
 _NONE = np.uint64(2**64 - 1)
+#: The largest number of shingles that goes with a key; more count as so many.
+NUMBER = 0xFFFF
 _PRIME = np.uint64(0x100000001B3)
 
 
 _LOW = np.uint64(2**53 - 1)
+#: Bits of a 53-bit hash below those that are its bin, and below those that are its bucket of a sketch.
+_BELOW_BIN, _BELOW_BUCKET = (np.uint64(53 - (n.bit_length() - 1)) for n in (BINS, SKETCH))
+#: Bits of a character in the exact comparison, and where the number of the pair begins; the lowest bit is the side.
+_LETTER = 10
+_PAIR = np.uint64(_LETTER * SHINGLE + 1)
 
 
 def normal_line(line: str) -> str:
@@ -94,30 +101,39 @@ def _windows(codes: np.ndarray, size: int) -> np.ndarray:
             out = held if out is None else out[:n] * np.uint64(pow(int(_PRIME), width, 2**64)) + held[out_width : out_width + n]
             out_width += width
         n = len(codes) - 2 * width + 1
-        powers.append(held[:n] * np.uint64(pow(int(_PRIME), width, 2**64)) + held[width : width + n] if n > 0 else held[:0])
+        if 2 * width <= size:
+            powers.append(held[:n] * np.uint64(pow(int(_PRIME), width, 2**64)) + held[width : width + n] if n > 0 else held[:0])
         width *= 2
     return out
 
 
 def _hashed(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of all lines, and the line of each. A line shorter than a shingle is one shingle."""
+    """Hashes of all shingles of all lines, and how many each line has. A line shorter than a shingle is one shingle."""
     padded = [line.ljust(size, "\0") for line in lines]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     ends, whole = np.cumsum(lengths), np.ones(len(codes), bool)
     for i in range(1, size):  # windows that reach over a line's end
         whole[ends - i] = False
-    hashed = _mix(_windows(codes, size)[whole[: len(codes) - size + 1]])
-    return hashed, np.repeat(np.arange(len(padded)), lengths - size + 1)
+    return _mix(_windows(codes, size)[whole[: len(codes) - size + 1]]), lengths - size + 1
 
 
 def _distinct(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of each line: 53 bits of a hash, the line's number in the bits above them, in order. A line of more than _CHARS characters comes alone."""
     if len(lines) == 1 and len(lines[0]) > _CHARS:
         return _pieced(lines[0], size)
-    hashed, owner = _hashed(lines, size)
-    keys = np.sort(owner.astype(np.uint64) << np.uint64(53) | hashed >> np.uint64(11))
-    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    keys, counts = _hashed(lines, size)
+    keys >>= np.uint64(11)
+    keys |= np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(53), counts)
+    keys.sort()
+    return keys[_begins(keys)]
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where values of ``x``, in order, occur first."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 def _pieced(line: str, size: int = SHINGLE) -> np.ndarray:
@@ -130,13 +146,13 @@ def _pieced(line: str, size: int = SHINGLE) -> np.ndarray:
 
 def signatures(keys: np.ndarray, which: np.ndarray, short: bool) -> np.ndarray:
     """A row of BINS hashes for each of the lines ``which``, out of _distinct(), in the form of short or long lines."""
-    owner = (keys >> np.uint64(53)).astype(np.int64)
-    counts = np.bincount(owner)
-    wanted = np.zeros(len(counts), bool)
-    wanted[which] = True
-    hashes, counts = keys[wanted[owner]] & _LOW, counts[which]
+    counts = _sizes(keys)
+    if len(which) < len(counts):
+        wanted = np.zeros(len(counts), bool)
+        wanted[which] = True
+        keys, counts = keys[np.repeat(wanted, counts)], counts[which]
     if short:
-        out = np.full((len(which), BINS), _NONE)
+        hashes, out = keys & _LOW, np.full((len(which), BINS), _NONE)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         salted = np.empty_like(hashes)
         for i in range(ROWS * BANDS):
@@ -144,8 +160,10 @@ def signatures(keys: np.ndarray, which: np.ndarray, short: bool) -> np.ndarray:
             salted *= np.uint64(0xD6E8FEB86659FD93)
             out[:, i] = np.minimum.reduceat(salted, starts)
         return out
+    least = keys[_begins(keys >> _BELOW_BIN)]  # a hash's upper bits are its bin, so the least of each bin comes first in it
     bins = np.full(len(which) * BINS, _NONE)
-    np.minimum.at(bins, np.repeat(np.arange(len(which)), counts) * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(6))
+    rows = np.searchsorted(which, (least >> np.uint64(53)).view(np.int64))
+    bins[rows * BINS + (least >> _BELOW_BIN & np.uint64(BINS - 1)).view(np.int64)] = least & ((np.uint64(1) << _BELOW_BIN) - np.uint64(1))
     return _filled(bins.reshape(-1, BINS))
 
 
@@ -167,10 +185,12 @@ def sketches(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 def _parities(n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and sketches out of distinct shingles, each with its line in the upper bits."""
-    owner = (keys >> np.uint64(53)).astype(np.int64)
-    odd = np.bincount(owner * SKETCH + (keys & np.uint64(SKETCH - 1)).astype(np.int64), minlength=n * SKETCH) & 1
-    return np.bincount(owner, minlength=n), np.packbits(odd.astype(bool).reshape(n, SKETCH), axis=1).view(np.int64)
+    """Numbers and sketches out of distinct shingles, each with its line in the upper bits. A hash's upper bits are its bucket, so buckets are runs."""
+    buckets = keys >> _BELOW_BUCKET
+    starts = np.flatnonzero(_begins(buckets))
+    odd = np.zeros(n * SKETCH, np.uint8)
+    odd[buckets[starts].view(np.int64)] = np.diff(starts, append=len(keys)) & 1
+    return _sizes(keys), np.packbits(odd.reshape(n, SKETCH), axis=1).view(np.int64)
 
 
 def band_keys(lines: list[str], num: int = 4, den: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -181,7 +201,7 @@ def band_keys(lines: list[str], num: int = 4, den: int = 5) -> Iterator[tuple[np
 
 def _sizes(keys: np.ndarray) -> np.ndarray:
     """The number of distinct shingles of each line, out of _distinct()."""
-    return np.bincount((keys >> np.uint64(53)).astype(np.int64))
+    return np.diff(np.searchsorted(keys, np.arange(int(keys[-1] >> np.uint64(53)) + 1, dtype=np.uint64) << np.uint64(53)), append=len(keys))
 
 
 def _forms(keys: np.ndarray, sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -245,47 +265,97 @@ def _keys(num: int, den: int):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Name and text of each line, once for each batch that has it."""
-    for batch in batches:
-        for lines, names in _fresh(batch):
-            yield pa.RecordBatch.from_arrays([*_halves(names), pa.array(lines, pa.string())], ["id", "low", "line"])
+def _meeting(num: int, den: int):
+    """Key and id of rows (at, id), in order of ``at``, that have a row of another line beside them with the same key and a number of shingles that num/den allows.
+
+    ``at`` is the key, less its lowest 16 bits, and the number there, at most NUMBER. One row is held over from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, joined = [np.empty(0, np.int64)] * 2, False
+        for batch in batches:
+            at, id_ = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("at", "id"), strict=True))
+            if not len(at):
+                continue
+            new = np.concatenate([[True], (at[1:] != at[:-1]) | (id_[1:] != id_[:-1])])
+            at, id_ = at[new], id_[new]
+            n = at & NUMBER
+            meets = ((at[1:] ^ at[:-1]) <= NUMBER) & ((at[1:] ^ at[:-1]) >= 0) & (den * n[:-1] >= num * n[1:])
+            keep = np.concatenate([[joined], meets]) | np.concatenate([meets, [False]])
+            held, joined, keep[-1] = [at[-1:], id_[-1:]], bool(keep[-1]), False
+            yield pa.RecordBatch.from_arrays([pa.array(at[keep] & ~NUMBER), pa.array(id_[keep])], ["key", "id"])
+        if joined:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0] & ~NUMBER), pa.array(held[1])], ["key", "id"])
+
+    return run
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with their number of shingles and sketch."""
+    """Name and text, number of shingles and sketch of the lines at ``places`` of each text that have these ``ids``."""
     for batch in batches:
-        at = 0
-        while at < len(batch):
-            lines, chars = [], 0
-            for line in batch.column("line")[at : at + _SLICE]:
-                lines.append(line.as_py())
-                chars += len(lines[-1])
-                if chars > _CHARS:
-                    break
-            if len(lines) > 1 and chars > _CHARS:
-                lines.pop()
-            counts, bits = sketches(lines)
-            part = batch.slice(at, len(lines))
-            columns = [*part.columns, pa.array(counts.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "low", "line", "n", *_BITS])
-            at += len(lines)
+        lines, names, chars = [], [], 0
+        for text, places, ids in zip(batch.column("text"), batch.column("places").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            found = normal_lines(text.as_py())
+            for place, id_ in zip(places, ids, strict=True):
+                # another row of the same doc_id may have another line there
+                if place < len(found) and int.from_bytes((name := line_name(line := found[place]))[:8], "big", signed=True) == id_:
+                    if lines and (len(lines) >= _SLICE or chars + len(line) > _CHARS):
+                        yield _sketched(lines, names)
+                        lines, names, chars = [], [], 0
+                    lines.append(line)
+                    names.append(name)
+                    chars += len(line)
+        if lines:
+            yield _sketched(lines, names)
+
+
+def _sketched(lines: list[str], names: list[bytes]) -> pa.RecordBatch:
+    counts, bits = sketches(lines)
+    columns = [*_halves(names), pa.array(lines, pa.string()), pa.array(counts.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "low", "line", "n", *_BITS])
 
 
 def shingles(line: str, size: int = SHINGLE) -> set[str]:
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
+def _alike(pairs: list[tuple[str, str]], num: int, den: int) -> np.ndarray:
+    """Which pairs of lines have a similarity of num/den, by whole shingles: 10 bits for each character, if there are no more kinds of them, else by sets."""
+    padded = [line.ljust(SHINGLE, "\n") for pair in pairs for line in pair]  # no line has a line feed
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+    used = np.zeros(int(codes.max()) + 1, bool)
+    used[codes] = True
+    if np.count_nonzero(used) > 1 << _LETTER:
+        return np.array([den * (both := len((x := shingles(a)) & (y := shingles(b)))) >= num * (len(x) + len(y) - both) for a, b in pairs], bool)
+    letters = (np.cumsum(used) - 1).astype(np.uint64)[codes]
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    ends, whole, n = np.cumsum(lengths), np.ones(len(codes), bool), len(codes) - SHINGLE + 1
+    keys = letters[:n]
+    for i in range(1, SHINGLE):
+        whole[ends - i] = False
+        keys = keys << np.uint64(_LETTER) | letters[i : n + i]
+    side = np.arange(len(padded), dtype=np.uint64)
+    keys = keys[whole[:n]] << np.uint64(1) | np.repeat((side >> np.uint64(1)) << _PAIR | side & np.uint64(1), lengths - SHINGLE + 1)
+    keys.sort()
+    keys = keys[_begins(keys)]
+    first = np.arange(len(pairs), dtype=np.uint64) << _PAIR
+    sizes = np.diff(np.searchsorted(keys, first), append=len(keys))
+    both = np.bincount((keys[~_begins(keys >> np.uint64(1))] >> _PAIR).view(np.int64), minlength=len(pairs))
+    return den * both >= num * (sizes - both)
+
+
 def _similar(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, before = [], [("", shingles(""))] * 2  # one end is often that of the pair before
-            for pair in zip(batch.column("line_a"), batch.column("line_b"), strict=True):
-                before = [held if held[0] == line else (line, shingles(line)) for held, line in zip(before, (x.as_py() for x in pair), strict=True)]
-                (_, x), (_, y) = before
-                both = len(x & y)
-                kept.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            kept, part, chars = [np.zeros(0, bool)], [], 0
+            for pair in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True):
+                if part and (len(part) >= _SLICE or chars + len(pair[0]) + len(pair[1]) > _CHARS):
+                    kept.append(_alike(part, num, den))
+                    part, chars = [], 0
+                part.append(pair)
+                chars += len(pair[0]) + len(pair[1])
+            if part:
+                kept.append(_alike(part, num, den))
+            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(kept)))
 
     return run
 
@@ -318,32 +388,55 @@ def _verifier(num: int, den: int):
     return of
 
 
-def line_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, place (from 0), id, low (the line's name) and kept of every line with words of ``docs``: a written table."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _sent(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """One side of a join, that is sent to all tasks if the written table ``ids`` that it is made of is short."""
+    return F.broadcast(df) if ids.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
+def _dropped(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, place, id and low (the line's name) of every line with words of ``docs``, and of those that are not the first of their class: two written tables."""
     kept: list[DataFrame] = []
+    where = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "place")
 
     def nodes(ids: DataFrame) -> DataFrame:
-        """Texts and sketches of the lines that share a band; one line for each id."""
-        texts = keep_ids(docs.select("text").mapInArrow(_texts, "id long, low long, line string"), ids, "id")
-        one = texts.groupBy("id").agg(F.min(F.struct("low", "line")).alias("one")).select("id", "one.low", "one.line")
-        marked = saved(one.mapInArrow(_marked, "id long, low long, line string, n int, " + ", ".join(f"{b} long" for b in _BITS)))
+        """Texts and sketches of the lines that share a band; one line for each id. They are read where one of their places is."""
+        kept.append(places := saved(docs.mapInArrow(_places, "doc_id long, place int, id long, low long")))
+        one = keep_ids(places, ids, "id").groupBy("id").agg(F.min(F.struct("low", where.alias("at"))).alias("one"))
+        picks = one.groupBy(F.col("one.at.doc_id").alias("_id")).agg(F.collect_list(F.struct(F.col("one.at.place").alias("place"), "id")).alias("picks"))
+        at = _sent(picks.select("_id", F.col("picks.place").alias("places"), F.col("picks.id").alias("ids")), ids)
+        texts = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "places", "ids")
+        marked = saved(texts.mapInArrow(_marked, "id long, low long, line string, n int, " + ", ".join(f"{b} long" for b in _BITS)))
+        if marked.count() > ids.count():  # equal rows of a doc_id
+            marked, twice = saved(marked.groupBy("id").agg(F.min(F.struct("low", "line", "n", *_BITS)).alias("one")).select("id", "one.*")), marked
+            discard(twice)
         kept.append(marked)
         return marked.select("id", "n", F.struct("n", *_BITS).alias("mark"))
 
-    keyed = docs.select("text").mapInArrow(_keys(num, den), "id long, n int, keys array<long>").select(F.explode("keys").alias("key"), "id", "n")
-    found = linked(keyed, nodes, *_plausible(num, den), lambda _: _verifier(num, den)(kept[0]))  # texts stay in the first table of lines
+    keyed = docs.select("text").mapInArrow(_keys(num, den), "id long, n int, keys array<long>").select(F.explode("keys").alias("key"), "n", "id")
+    at = keyed.select(F.col("key").bitwiseAND(~NUMBER).bitwiseOR(F.least("n", F.lit(NUMBER)).cast("long")).alias("at"), "id")
+    keyed = at.repartition(F.shiftright("at", 16)).sortWithinPartitions("at").mapInArrow(_meeting(num, den), "key long, id long")
+    found = linked(keyed, nodes, *_plausible(num, den), lambda _: _verifier(num, den)(kept[1]))  # texts stay in the first table of lines
 
-    where = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "place")
-    places = saved(docs.mapInArrow(_places, "doc_id long, place int, id long, low long"))
-    first = places.groupBy("id", "low").agg(F.min(where).alias("first"))
-    named = found.join(kept[0].select("id", "low"), "id")  # only these lines of their ids have links
-    placed = saved(named.join(first, ["id", "low"]))
-    stays = placed.groupBy("component").agg(F.min("first").alias("stays"))
-    linked_ = placed.join(stays, "component").select("id", "low", "stays")
-    labels = first.join(linked_, ["id", "low"], "left").select("id", "low", F.coalesce("stays", "first").alias("stays"))
-    out = saved(places.join(labels, ["id", "low"]).select("doc_id", "place", "id", "low", where.eqNullSafe(F.col("stays")).alias("kept")))
-    discard(places, placed, found, *kept)
+    places, marked = kept
+    named = found.join(marked.select("id", "low"), "id")  # only these lines of their ids have links
+    several = places.groupBy("id", "low").agg(F.count("*").alias("n")).where("n > 1").select("id", "low")
+    classes = saved(several.join(named, ["id", "low"], "full").select("id", "low", F.coalesce("component", "id").alias("class"), F.when(F.col("component").isNull(), F.col("low")).alias("own")))
+    lines = saved(places.join(_sent(classes, classes), ["id", "low"]))
+    stays = saved(lines.groupBy("class", "own").agg(F.min(where).alias("stays")))
+    of = stays.select(F.col("class").alias("_class"), F.col("own").alias("_own"), "stays")
+    later = lines.join(_sent(of, stays), F.col("class").eqNullSafe(F.col("_class")) & F.col("own").eqNullSafe(F.col("_own"))).where(~where.eqNullSafe(F.col("stays")))
+    dropped = saved(later.select("doc_id", "place", "id", "low"))
+    discard(lines, stays, classes, found, marked)
+    return places, dropped
+
+
+def line_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, place (from 0), id, low (the line's name) and kept of every line with words of ``docs``: a written table."""
+    places, dropped = _dropped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), num, den)
+    gone = dropped.distinct().select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), F.col("id").alias("_line"), F.col("low").alias("_low"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place")) & (F.col("id") == F.col("_line")) & (F.col("low") == F.col("_low"))
+    out = saved(places.join(gone, same, "left").select("doc_id", "place", "id", "low", F.col("_place").isNull().alias("kept")))
+    discard(places, dropped)
     return out
 
 
@@ -356,12 +449,17 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     if its line is. Rows without doc_id come last and form one document. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = line_classes(docs, num, den).groupBy("doc_id", "place").agg(F.max("kept").alias("kept"))
-    found = places.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("place")))).alias("dropped"))
-    found = found.select(F.col("doc_id").alias("_id"), "n_lines", "n_kept", "dropped")
-    zero = F.lit(0).cast("long")
-    rows = docs.select("doc_id").distinct().join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return rows.select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_kept", zero).alias("n_kept"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    places, dropped = _dropped(docs, num, den)
+    rows = saved(docs.groupBy("doc_id").agg(F.count("*").alias("rows")))
+    if not rows.where("rows > 1").isEmpty():  # a place that several rows have is dropped if the lines of all are
+        places = places.groupBy("doc_id", "place").agg(F.count("*").alias("n"))
+        gone = dropped.groupBy(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).agg(F.count("*").alias("_n"))
+        dropped = places.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place")) & (F.col("n") == F.col("_n")))
+    lines = places.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n_lines"))
+    lost = dropped.groupBy(F.col("doc_id").alias("_lost")).agg(F.array_sort(F.collect_list("place")).alias("dropped"))
+    of = rows.select("doc_id").join(lines, F.col("doc_id").eqNullSafe(F.col("_id")), "left").join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")), "left")
+    n_lines, places_lost = F.coalesce("n_lines", F.lit(0).cast("long")), F.coalesce("dropped", F.array().cast("array<int>"))
+    return of.select("doc_id", n_lines.alias("n_lines"), (n_lines - F.size(places_lost)).alias("n_kept"), places_lost.alias("dropped"))
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:

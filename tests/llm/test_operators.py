@@ -840,3 +840,29 @@ def test_lines_are_hashed_in_any_pieces(monkeypatch):
     assert made[0] == made[1]
     assert {(i, n) for i, n, _ in made[0]} == {(int.from_bytes(line_dedup.line_name(x)[:8], "big", signed=True), len(line_dedup.shingles(x))) for t in batch.to_pydict()["text"] for x in map(line_dedup.normal_line, (t or "").split("\n")) if x}
     assert sum(len(out) for out in line_dedup._places(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["", None]}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))]))) == 0
+
+
+def test_rows_with_a_fitting_neighbour():
+    """Of rows in order of key and number, in any batches, those stay that another line of their key fits."""
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        rows = sorted((int(key) << 16 | int(id_) + 3, int(id_)) for key, id_ in zip(rng.integers(-4, 4, 40), rng.integers(0, 9, 40), strict=True))
+        cuts = [0, *sorted(rng.integers(0, 41, 3).tolist()), 40]
+        batches = [pa.RecordBatch.from_pydict({"at": pa.array([r[0] for r in rows[a:b]], pa.int64()), "id": pa.array([r[1] for r in rows[a:b]], pa.int64())}) for a, b in itertools.pairwise(cuts)]
+        got = {tuple(r.values()) for out in line_dedup._meeting(4, 5)(iter(batches)) for r in out.to_pylist()}
+        assert got == {(x & ~0xFFFF, i) for x, i in rows if any(x >> 16 == y >> 16 and i != j and 5 * min(i + 3, j + 3) >= 4 * max(i + 3, j + 3) for y, j in rows)}
+
+
+def test_pairs_are_compared_by_whole_shingles():
+    """Many pairs at once have the verdicts of sets, also with more kinds of characters than fit a number."""
+    rng = random.Random(3)
+    for letters in ("ab cd", "abcdefghij klm", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))):
+        pairs = []
+        for _ in range(60):
+            line = [rng.choice(letters) for _ in range(rng.randrange(1, 120))]
+            other = [rng.choice(letters) if rng.random() < 0.02 else x for x in line]
+            pairs.append(("".join(line), "".join(other)[: rng.randrange(1, 130)]))
+        sets = [tuple(map(line_dedup.shingles, pair)) for pair in pairs]
+        want = [5 * len(x & y) >= 4 * len(x | y) for x, y in sets]
+        assert line_dedup._alike(pairs, 4, 5).tolist() == want
+        assert any(want)
