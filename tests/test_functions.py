@@ -210,3 +210,29 @@ def test_stream_in_batches_equals_batch(spark, tmp_path):
     got = {r["s"]: (r["events"], r["active_ms"]) for r in stream.drained(stream.active_time(read, "s", "t", 1_800_000, "2 hours"), "s", "update").collect()}
     batch = {r["s"]: (r["events"], r["active_ms"]) for r in sessions.active_time(spark.createDataFrame(rows, schema), ["s"], "t", 1_800_000).collect()}
     assert got == batch
+
+
+def test_stream_keeps_few_rows_of_state(spark, tmp_path):
+    rows = [(i % 3, datetime(2026, 1, 1) + timedelta(hours=i)) for i in range(300)]
+    spark.createDataFrame(rows, "s int, t timestamp").write.parquet(str(tmp_path / "in"))
+    held = stream.active_time(spark.readStream.schema("s int, t timestamp").parquet(str(tmp_path / "in")), "s", "t", 1_800_000, "400 days")
+    query = held.writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    assert 0 < max(kept) <= 30  # each row is a message to the JVM and back; there are 100 slices a session
+
+
+def test_stream_drops_what_comes_late_and_settles_blocks(spark, tmp_path):
+    rng, schema, cap, mark, kept = random.Random(7), "s string, t timestamp", 1000, 0, {}
+    for n in range(5):
+        rows = [(rng.choice(["a", "b", None]), datetime(2026, 1, 1) + timedelta(milliseconds=n * 1_500_000 + rng.randrange(3_000_000))) for _ in range(200)]
+        spark.createDataFrame([*rows, ("a", None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ms = [(s, round((t - datetime(1970, 1, 1)).total_seconds() * 1000)) for s, t in rows]
+        for s, at in ms:
+            kept.setdefault(s, []).extend([at] if at >= mark else [])
+        mark = max(mark, *(at - 600_000 for _, at in ms))
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["s"]: (r["events"], r["active_ms"]) for r in stream.drained(stream.active_time(read, "s", "t", cap, "10 minutes"), "s", "update").collect()}
+    wanted = {s: (len(at), sum(min(b - a, cap) for a, b in zip(sorted(at), sorted(at)[1:], strict=False))) for s, at in kept.items()}
+    assert got == wanted
+    assert sum(n for n, _ in got.values()) < 950  # some were late
