@@ -31,7 +31,7 @@ def linked(keyed: DataFrame, nodes: Callable[[DataFrame], DataFrame], fits: Call
     ``keyed``: rows (key, id); repeated ones cost time and change nothing. They may have n as well: then a row
     whose n fits neither of its neighbours in the key, by n, has nothing to link with there and is left out at once
     (``fits`` must then hold between two n if it holds for one of them and an n beyond the other). ``nodes`` gives, for the ids that
-    share keys, a written table (id, n, mark), unique by id. ``fits`` and ``near`` take two columns of n or
+    share keys, a table (id, n, mark), unique by id; it is read more than once, and from its ids if it is not written. ``fits`` and ``near`` take two columns of n or
     mark and tell which pairs of nodes can be linked at all. ``verifier`` takes these nodes and gives a
     function that tells, of a written table of distinct pairs (a, b), a < b, those that are links.
     """
@@ -47,7 +47,7 @@ def linked(keyed: DataFrame, nodes: Callable[[DataFrame], DataFrame], fits: Call
     marked = nodes(weight.select("id"))
     held = shared.select("key", "id").join(weight.join(marked.select("id", "n"), "id"), "id")
     rows = saved(held.withColumn("hub", F.max(F.struct("weight", "id", "n")).over(by_key)).select("key", "id", "n", "weight", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    discard(shared, weight)
+    discard(shared)  # nodes may still be read from ids
     verified = verifier(marked)
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def linked(keyed: DataFrame, nodes: Callable[[DataFrame], DataFrame], fits: Call
         return saved(at.withColumn("open", F.max("outside").over(by_key)).where("open").drop("open"))
 
     def done() -> DataFrame:
-        discard(open_)
+        discard(open_, weight)
         return found
 
     open_, found = rows, components(links(rows.where((F.col("id") != F.col("hub")) & fits("n", "hub_n")).select(F.col("id").alias("x"), F.col("hub").alias("y"))))
