@@ -45,6 +45,8 @@ _SLICE, _CHARS = 2000, 1 << 16
 _NONE = np.uint64(2**64 - 1)
 #: The largest number of shingles that goes with a key; more count as so many.
 NUMBER = 0xFFFF
+#: Ranges of keys, a power of two, and how many keys a task packs together, about.
+RANGES, PACKED = 1 << 13, 1 << 20
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -289,6 +291,59 @@ def _meeting(num: int, den: int):
     return run
 
 
+def _ranges(num: int, den: int):
+    """Rows (at, id) of _meeting() for all keys of lines, packed by ranges of ``at``: a packed row costs hardly more to shuffle and sort than one key would."""
+
+    def packed(at: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.stack([np.concatenate(at), np.concatenate(ids)], axis=1)
+        rows = rows[np.argsort(rows[:, 0])]
+        ranges = rows[:, 0] >> 64 - (RANGES.bit_length() - 1)
+        starts = np.flatnonzero(_begins(ranges))
+        ends = pa.py_buffer((np.append(starts, len(rows)) * rows.itemsize * 2).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(ranges[starts].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(rows)])], ["range", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, count = [], [], 0
+        for batch in _keys(num, den)(batches):
+            keys = batch.column("keys").flatten().to_numpy().reshape(-1, BANDS)
+            held.append((keys & ~NUMBER | np.minimum(batch.column("n").to_numpy(), NUMBER).astype(np.int64)[:, None]).ravel())
+            ids.append(np.repeat(batch.column("id").to_numpy(), BANDS))
+            count += keys.size
+            if count >= PACKED:
+                yield packed(held, ids)
+                held, ids, count = [], [], 0
+        if count:
+            yield packed(held, ids)
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (at, id) of each range, in order of ``at``, out of packed rows in order of their ranges. Repeated ones are left out as they pile up."""
+
+    def in_order(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+
+    def batch(parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in in_order(parts).T], ["at", "id"])
+
+    held, count, last = [], 0, None
+    for packed in batches:
+        for range_, rows in zip(packed.column("range").to_pylist(), packed.column("rows"), strict=True):
+            if held and range_ != last:
+                yield batch(held)
+                held, count = [], 0
+            elif count > 4 * PACKED and count > 2 * len(held[0]):
+                held = [in_order(held)]
+                count = len(held[0])
+            held.append(np.frombuffer(rows.as_buffer(), np.int64).reshape(-1, 2))
+            count, last = count + len(held[-1]), range_
+    if held:
+        yield batch(held)
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Name and text, number of shingles and sketch of the lines at ``places`` of each text that have these ``ids``."""
     for batch in batches:
@@ -412,9 +467,8 @@ def _dropped(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
         kept.append(marked)
         return marked.select("id", "n", F.struct("n", *_BITS).alias("mark"))
 
-    keyed = docs.select("text").mapInArrow(_keys(num, den), "id long, n int, keys array<long>").select(F.explode("keys").alias("key"), "n", "id")
-    at = keyed.select(F.col("key").bitwiseAND(~NUMBER).bitwiseOR(F.least("n", F.lit(NUMBER)).cast("long")).alias("at"), "id")
-    keyed = at.repartition(F.shiftright("at", 16)).sortWithinPartitions("at").mapInArrow(_meeting(num, den), "key long, id long")
+    packed = docs.select("text").mapInArrow(_ranges(num, den), "range int, rows binary")
+    keyed = packed.repartition("range").sortWithinPartitions("range").mapInArrow(lambda rows: _meeting(num, den)(_unpacked(rows)), "key long, id long")
     found = linked(keyed, nodes, *_plausible(num, den), lambda _: _verifier(num, den)(kept[1]))  # texts stay in the first table of lines
 
     places, marked = kept

@@ -842,6 +842,21 @@ def test_lines_are_hashed_in_any_pieces(monkeypatch):
     assert sum(len(out) for out in line_dedup._places(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["", None]}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))]))) == 0
 
 
+def test_keys_packed_by_ranges_are_the_same_rows(monkeypatch):
+    """Keys of all lines come back in order, each once, however many are packed together or pile up in a range."""
+    rng = random.Random(37)
+    texts = [prose(rng, 40) + "\n" + prose(rng, 4) + "\nthe same line in every text" for _ in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[i : i + 10]}) for i in range(0, 40, 10)]
+    wanted = {(key & ~line_dedup.NUMBER | r["n"], r["id"]) for out in line_dedup._keys(4, 5)(iter(batches)) for r in out.to_pylist() for key in r["keys"]}
+    for ranges, count in ((1 << 13, 1 << 20), (1 << 13, 50), (2, 10)):
+        monkeypatch.setattr(line_dedup, "RANGES", ranges)
+        monkeypatch.setattr(line_dedup, "PACKED", count)
+        packed = pa.Table.from_batches(line_dedup._ranges(4, 5)(iter(batches))).sort_by("range").to_batches(max_chunksize=7)
+        got = [tuple(r.values()) for out in line_dedup._unpacked(iter(packed)) for r in out.to_pylist()]
+        assert got == sorted(wanted)
+    assert sum(len(b) for b in packed) < len(wanted) / 5
+
+
 def test_rows_with_a_fitting_neighbour():
     """Of rows in order of key and number, in any batches, those stay that another line of their key fits."""
     rng = np.random.default_rng(1)
